@@ -5,6 +5,7 @@ from __future__ import annotations
 from zephyrlake.llm.chat import OP9_SQL, op9_chat_format
 from zephyrlake.llm.media import op1_media
 from zephyrlake.llm.near_dedup import op4_near_dedup
+from zephyrlake.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_near_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_media, op4_near_dedup, op7_toxicity, op9_chat_format)}
 ORACLE_SQL = {"op9_chat_format": OP9_SQL}
