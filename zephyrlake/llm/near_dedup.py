@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from zephyrlake.llm.common import ASCII_LOWER, Scratch, read
 
-UNIVERSE_BITS = 20
+UNIVERSE_BITS, SLOTS = 20, 1 << 17
 #: The hashes' odd multipliers; any odd 64-bit numbers do.
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,9 +97,10 @@ def _hashes(b: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | bytes | None) -> np.ndarray:
     """A 64-bit polynomial hash of each word [^\\x20\\x09-\\x0D]+, A-Z lower-cased, in the text's order."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER), np.uint8)
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    b = np.frombuffer(data.translate(ASCII_LOWER), np.uint8)
     if len(b) <= PIECE:
         return _hashes(b)
     gaps, out, at = np.flatnonzero(~IS_WORD[b]), [], 0
@@ -171,6 +172,21 @@ def _sign(cfg: NearDup):
     return run
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as zstd: they are shuffled several times."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield pd.DataFrame({"id": b.id, "text": [pack((t or "").encode("utf-8", "surrogatepass")) for t in b.text]})
+
+
+def _unpack(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(bytes(b))
+
+
 def _verify(cfg: NearDup):
     """Pairs (a, b, text_a, text_b) to those that are linked."""
 
@@ -180,8 +196,8 @@ def _verify(cfg: NearDup):
             keep = []
             for a, x, y in zip(p.a, p.text_a, p.text_b, strict=True):
                 if a != last:
-                    last, left = a, shingles(word_hashes(x), cfg.words)
-                right = shingles(word_hashes(y), cfg.words)
+                    last, left = a, shingles(word_hashes(_unpack(x)), cfg.words)
+                right = shingles(word_hashes(_unpack(y)), cfg.words)
                 keep.append(bool(cfg.linked(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right))))
             yield p.loc[keep, ["a", "b"]]
 
@@ -195,7 +211,7 @@ def _block_links(cfg: NearDup):
         _, i, j = key
         rows = left[left.block == j]
         asks = rows if i == j else left[left.block == i]
-        sets = [shingles(word_hashes(t), cfg.words) for t in rows.text]
+        sets = [shingles(word_hashes(_unpack(t)), cfg.words) for t in rows.text]
         sizes = np.array([len(s) for s in sets], np.int64)
         flat, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
@@ -205,7 +221,7 @@ def _block_links(cfg: NearDup):
         for c, text in zip(asks.comp, asks.text, strict=True):
             if not (comp != c).any():
                 continue
-            s = shingles(word_hashes(text), cfg.words)
+            s = shingles(word_hashes(_unpack(text)), cfg.words)
             lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
             hits = hi - lo
             if not hits.any():
@@ -255,7 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.write(member.filter("hub < class").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
 
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = scratch.write(docs.join(ends, "id").dropDuplicates(["id"]), "texts")
+    # of the texts only those are packed and shuffled whose id's residue belongs to an end of a pair:
+    # at most SLOTS integers, small enough to send to every executor
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    may = docs.join(F.broadcast(ends.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    packed = may.mapInPandas(_pack, "id long, text binary")
+    texts = scratch.write(packed.join(ends, "id").dropDuplicates(["id"]), "texts")
     sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     stars = scratch.write(sides.select("a", "b", "text_a", "text_b").mapInPandas(_verify(cfg), "a long, b long"), "stars")
     first = components(stars, scratch, "first")
