@@ -7,8 +7,9 @@ from zephyrlake.llm.decontaminate import OP5_SQL, op5_decontaminate
 from zephyrlake.llm.line_dedup import OP8_SQL, op8_line_dedup
 from zephyrlake.llm.media import op1_media
 from zephyrlake.llm.near_dedup import op4_near_dedup
+from zephyrlake.llm.pieces import op10_sentencepiece
 from zephyrlake.llm.toxicity import op7_toxicity
 from zephyrlake.llm.url_graph import OP3_SQL, op3_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_url_filter, op4_near_dedup, op5_decontaminate, op7_toxicity, op8_line_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_media, op3_url_filter, op4_near_dedup, op5_decontaminate, op7_toxicity, op8_line_dedup, op9_chat_format, op10_sentencepiece)}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}

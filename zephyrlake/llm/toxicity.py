@@ -332,6 +332,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return made.withColumnRenamed("id", id_col)
 
 
+def score_column(text: Column, model: Model) -> Column:
+    """The score of a text column, for frames whose other columns should stay."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(model.terms, model.fuzzy)
+        a, b = model.weights
+        for texts in batches:
+            e = np.array([evidence(t, m, model.config) for t in texts], float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(a + b * np.log1p(4 * e), -30, 30))))
+
+    return run(text)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no training sees: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
