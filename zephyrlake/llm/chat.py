@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,11 +102,13 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         w = Window.partitionBy("tree").orderBy(F.desc("total"), "steps", "node")
         chosen = leaves.select("tree", F.col("node").alias("leaf"), F.row_number().over(w).alias("path_rank"), F.col("total").alias("path_score"))
         chosen = chosen if top is None else chosen.filter(F.col("path_rank") <= top)
-    on_path = chosen.withColumn("at", F.col("leaf"))
+    parts = [scratch.write(chosen.withColumn("at", F.col("leaf")), "path")]
     for jump in reversed(jumps[:-1]):  # each offset is a sum of different powers of two, so each ancestor comes once
+        on_path = reduce(DataFrame.unionByName, parts)
         j = jump.filter("far is not null").select(F.col("tree").alias("t"), F.col("node").alias("at_"), "far")
         further = on_path.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("at_"))).withColumn("at", F.col("far"))
-        on_path = on_path.unionByName(further.select(*on_path.columns))
+        parts.append(scratch.write(further.select(*on_path.columns), f"path-{len(parts)}"))
+    on_path = reduce(DataFrame.unionByName, parts)
     told = kept.join(depth.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("steps").alias("depth")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     told = told.select(F.col("tree").alias("t"), "node", "role", "text", "depth")
     joined = on_path.join(told, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("node")))
