@@ -151,11 +151,11 @@ def _(s, d):
     return w.groupBy(scalars.direction_bin(scalars.circular_degrees(F.col("a"), F.col("b"))).alias("bin")).agg(F.count("*").alias("forecasts"))
 
 
-@query("hub_height", G16 + ", x AS (SELECT forecast_kst_dtm, grid_id, t, t * 1.1e0 + 0.5e0 AS hi FROM grid WHERE t > 0), y AS (SELECT *, greatest(-0.2e0, least(0.6e0, ln(hi / t) / ln(10e0))) AS a FROM x) SELECT forecast_kst_dtm, grid_id, " + r("a") + " AS alpha, " + r("hi * pow(1.17e0, a)") + " AS hub_speed, " + r("0.5e0 * (101325e0 / (287.05e0 * 288.15e0)) * t * t * t") + " AS power_density FROM y")
+@query("hub_height", G16 + ", x AS (SELECT forecast_kst_dtm, grid_id, t, t * 1.1e0 + 0.5e0 AS hi FROM grid WHERE t > 0), y AS (SELECT *, greatest(-0.2e0, least(0.6e0, ln(hi / t) / ln(10e0))) AS a FROM x) SELECT forecast_kst_dtm, grid_id, " + r("a") + " AS alpha, " + r("hi * pow(1.17e0, a)") + " AS hub_speed, " + "round(0.5e0 * (101325e0 / (287.05e0 * 288.15e0)) * t * t * t, 3) + 0e0" + " AS power_density FROM y")
 def _(s, d):
     x = fx.grid(s, d).filter("t > 0").withColumn("hi", F.col("t") * 1.1 + 0.5).withColumn("a", scalars.shear_exponent(F.col("t"), F.col("hi"), 10.0, 100.0))
     density = scalars.air_density(F.lit(101325.0), F.lit(288.15))
-    return x.select(FORECAST, GRID, F.col("a").alias("alpha"), scalars.at_height(F.col("hi"), F.col("a"), 100.0, 117.0).alias("hub_speed"), scalars.power_density(density, F.col("t")).alias("power_density"))
+    return x.select(FORECAST, GRID, F.col("a").alias("alpha"), scalars.at_height(F.col("hi"), F.col("a"), 100.0, 117.0).alias("hub_speed"), F.round(scalars.power_density(density, F.col("t")), 3).alias("power_density"))
 
 
 # --- calendar and assembly ---

@@ -15,7 +15,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
 
     Only the given columns are read where `columns` says so.
     """
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST", nullValue="", timestampNTZFormat="yyyy-MM-dd HH:mm:ss", encoding="UTF-8")
+    reader = spark.read.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+    df = reader.csv(path, header=True, schema=schema, enforceSchema=False, mode="FAILFAST", nullValue="", encoding="UTF-8")
     return nan_to_null(df if columns is None else df.select(*columns))
 
 
