@@ -60,3 +60,24 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+#: Residues of a hash, for tables that are broadcast: their size is bounded whatever they are made from.
+SLOTS = 1 << 20
+
+
+def slot_of(*columns) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+
+
+def split_by_slots(rows: DataFrame, slot: Column, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose slot is among slots, the others): at most SLOTS integers are broadcast, and only the first part needs a shuffle."""
+    name = free_name(rows, "some_slot")
+    some = F.broadcast(slots.select(F.col(slots.columns[0]).alias(name)).distinct())
+    return rows.join(some, slot == F.col(name), "left_semi"), rows.join(some, slot == F.col(name), "left_anti")
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """rows whose id isn't among gone's; rows without id stay. Merge joins at every size, so that a large id can be split."""
+    may, clear = split_by_slots(rows, slot_of(id_col), gone.select(slot_of(id_col)))
+    return clear.unionByName(may.join(gone.hint("merge"), id_col, "left_anti").select(*[f"`{c}`" for c in rows.columns]))

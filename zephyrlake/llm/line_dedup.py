@@ -9,8 +9,9 @@ A chunk counts if it has two lines or more and `least_words` words, or `long_wor
 Where such a chunk occurs more than once in the corpus, all its copies but the first (by id, then
 place in the text) are removed after their bytes have been compared with the first's.
 
-Only hashes and places are shuffled to find repeats. Texts of chunks are shuffled where a
-bounded table (`slots` hash residues of repeated chunks, broadcast) says that they may repeat.
+Only hashes and places are shuffled to find repeats. Texts of chunks, and of documents that lose some, are
+shuffled where a bounded table of hash residues, broadcast, says that they may be meant. These joins
+are merge joins at every size, so a hash with very many rows can be split.
 
 Defined results: a null text stays null and an empty one empty; a text all of whose chunks go
 becomes empty; a chunk of the same hash but other bytes than the first stays; rows of equal id
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import Scratch, free_name, read
+from zephyrlake.llm.common import Scratch, free_name, read, slot_of, split_by_slots
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,6 @@ class LineDedup:
     every: int = 2
     least_words: int = 20
     long_words: int = 50
-    slots: int = 1 << 17
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -85,25 +85,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     seen = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "pos")).alias("first"))
     seen = scratch.write(seen.filter("n > 1").select("h", "first"), "repeated")
-    slot = lambda c: F.pmod(c, F.lit(cfg.slots)).cast("int")
-    # at most cfg.slots integers: small enough to send to every executor
-    may = rows.join(F.broadcast(seen.select(slot(F.col("h")).alias("slot")).distinct()), slot(F.col("h")) == F.col("slot"), "left_semi")
+    may, _ = split_by_slots(rows, slot_of("h"), seen.select(slot_of("h")))
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version")) & (F.col("pos") == F.col("first.pos"))
-    may = scratch.write(may.join(seen, "h").select("h", "id", "version", "pos", "text", is_first.alias("is_first")), "may")
+    may = scratch.write(may.join(seen.hint("merge"), "h").select("h", "id", "version", "pos", "text", is_first.alias("is_first")), "may")
 
     first = may.filter("is_first").select("h", F.col("text").alias("first_text")).dropDuplicates(["h"])
-    gone = may.filter("not is_first").join(first, "h").filter(F.col("text") == F.col("first_text"))
+    gone = may.filter("not is_first").join(first.hint("merge"), "h").filter(F.col("text") == F.col("first_text"))
     gone = gone.groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
 
     v, g, i = (free_name(docs, x) for x in ("text_version", "gone_chunks", "gone_id"))
     gone = scratch.write(gone.select(F.col("id").alias(i), F.col("version").alias(v), F.col("gone").alias(g)), "gone")
     scratch.drop("may")
     scratch.drop("repeated")
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(v)), "left")
+    touched, clear = split_by_slots(docs, slot_of(id_col, F.xxhash64(text_col)), gone.select(slot_of(i, v)))
+    joined = touched.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(v)), "left")
     left = F.filter(line_chunks(F.col(text_col), cfg), lambda c: ~F.array_contains(F.col(g), c["pos"]))
     rest = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda c: c["text"]), "\n"))
-    columns = [rest.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "removed_chunks"]
-    return joined.select(*columns, F.coalesce(F.size(g), F.lit(0)).cast("long").alias("removed_chunks"))
+    names = [c for c in docs.columns if c != "removed_chunks"]
+    columns = [rest.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    joined = joined.select(*columns, F.coalesce(F.size(g), F.lit(0)).cast("long").alias("removed_chunks"))
+    return clear.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("removed_chunks")).unionByName(joined)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
