@@ -38,9 +38,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import ASCII_LOWER, Scratch, read
+from zephyrlake.llm.common import ASCII_LOWER, Scratch, read, slot_of, split_by_slots
 
-UNIVERSE_BITS, SLOTS = 20, 1 << 17
+UNIVERSE_BITS = 20
 #: The hashes' odd multipliers; any odd 64-bit numbers do.
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -271,13 +271,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.write(member.filter("hub < class").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
 
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    # of the texts only those are packed and shuffled whose id's residue belongs to an end of a pair:
-    # at most SLOTS integers, small enough to send to every executor
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
-    may = docs.join(F.broadcast(ends.select(slot.alias("slot")).distinct()), slot == F.col("slot"), "left_semi")
+    # of the texts only those are packed and shuffled whose id's residue belongs to an end of a pair
+    may, _ = split_by_slots(docs, slot_of("id"), ends.select(slot_of("id")))
     packed = may.mapInPandas(_pack, "id long, text binary")
-    texts = scratch.write(packed.join(ends, "id").dropDuplicates(["id"]), "texts")
-    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = scratch.write(packed.join(ends.hint("merge"), "id").dropDuplicates(["id"]), "texts")
+    sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    sides = sides.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     stars = scratch.write(sides.select("a", "b", "text_a", "text_b").mapInPandas(_verify(cfg), "a long, b long"), "stars")
     first = components(stars, scratch, "first")
 
@@ -291,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = sized.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("nb")).cast("int")).drop("n")
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("bucket", "class", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    dealt = dealt.join(texts.withColumnRenamed("id", "class"), "class").select("bucket", "i", "j", "block", "comp", "text")
+    dealt = dealt.join(texts.withColumnRenamed("id", "class").hint("merge"), "class").select("bucket", "i", "j", "block", "comp", "text")
     links = scratch.write(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links(cfg), "a long, b long").distinct(), "links")
     second = components(links, scratch, "second")
 
