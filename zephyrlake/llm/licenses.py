@@ -4,7 +4,8 @@ Words are runs of letters, digits and +, with dots inside, lower case. A templat
 at least `coverage` of its words align, in order, with words of a stretch of text. As at most m of
 a template's words may be missing, any m + 1 of them hold one that is there: texts without the template's longest
 m + 1 words are passed over, and stretches of twice the template's length around those words are
-aligned (overlapping ones as one). Nothing else is skipped.
+aligned (overlapping ones as one). Nothing else is skipped. Of what aligns, the most words within twice the
+template's length count.
 
 Patience alignment of a stretch: equal words at both ends are matched; words that occur once in
 the stretch and once in the template are anchors if they lie on the longest increasing subsequence of
@@ -91,6 +92,17 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def densest(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
+    """The most pairs that lie within span words of text; the first of equals."""
+    best, i = (0, 0), 0
+    for j in range(len(pairs)):
+        while pairs[j][0] - pairs[i][0] >= span:
+            i += 1
+        if j + 1 - i > best[1] - best[0]:
+            best = (i, j + 1)
+    return pairs[best[0] : best[1]]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
@@ -118,7 +130,7 @@ class Scanner:
                     else:
                         stretches.append([lo, hi])
             for lo, hi in stretches:
-                pairs = align(tokens[lo:hi], t)
+                pairs = densest(align(tokens[lo:hi], t), 2 * len(t))
                 if len(pairs) >= self.coverage * len(t) - 1e-9:
                     out.append((name, len(pairs) / len(t), len(pairs), lo + pairs[0][0], lo + pairs[-1][0], len(tokens)))
         return out
