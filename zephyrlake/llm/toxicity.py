@@ -230,7 +230,7 @@ def choose_terms(rows: Iterable[tuple[str, int, int]], pos: int, neg: int, cfg:
     """Terms with weights from document counts; a stem only where no word of it makes up most of it."""
     score = {}
     for term, p, n in rows:
-        ratio = ((p + 0.5) / (pos + 1)) / ((n + 0.5) / (neg + 1))
+        ratio = (p / (pos + 1)) / ((n + 1) / (neg + 1))  # one clean text more than seen, so that few texts prove little
         if p >= cfg.least_docs and ratio >= cfg.least_ratio:
             score[term] = (p, min(1.0, math.log(ratio) / math.log(cfg.least_ratio * 8)))
     words: dict[str, int] = defaultdict(int)
