@@ -36,6 +36,7 @@ SPACE = "▁"
 #: A symbol for the mark where a text itself has it: two characters, so no piece of a text's single ones.
 LITERAL = "\x00" + SPACE
 MASK = (1 << 64) - 1
+NO_PIECE = float("inf")
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,12 @@ class Dropout:
     dropout: float = 0.1
     seed: int = 20
     variants: int = 2
-    memo: int = 250_000
+    memo: int = 400_000
+
+
+def skipped(key: int, i: int, k: int, bar: int) -> bool:
+    """Is the merge of the symbols that begin at i and k left out?"""
+    return (key ^ i * 0x9E3779B97F4A7C15 ^ k * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 & MASK < bar
 
 
 class Pieces:
@@ -59,7 +65,7 @@ class Pieces:
         names = [sp.id_to_piece(i) for i in range(n)]
         self.bytes_ = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.score = {names[i]: sp.get_score(i) for i in plain}
+        self.cost = {names[i]: -sp.get_score(i) for i in plain}
         self.id = {names[i]: i for i in plain}
         self.unknown = sp.unk_id()
         self.out: list[str | int] = [""] * n
@@ -73,39 +79,57 @@ class Pieces:
 
     def run(self, text: str, key: int, bar: int) -> list[int]:
         """The ids of a run. bar: a candidate is skipped whose hash is under it, of 2**64."""
-        sym: list[str] = [SPACE if c == " " else LITERAL if c == SPACE else c for c in text]
-        n, score = len(sym), self.score
+        if " " not in text[1:] and SPACE not in text:
+            sym = [SPACE, *text[1:]] if text[:1] == " " else list(text)
+        else:
+            sym = [SPACE if c == " " else LITERAL if c == SPACE else c for c in text]
+        if len(sym) > 1:
+            sym = self._short(sym, key, bar) if len(sym) <= 48 else self._long(sym, key, bar)
+        ids, known = [], self.id
+        for s in sym:
+            if s in known:
+                ids.append(known[s])
+            else:
+                ids += [self.bytes_.get(b, self.unknown) for b in (SPACE if s == LITERAL else s).encode("utf-8", "surrogatepass")]
+        return ids
+
+    def _short(self, sym: list[str], key: int, bar: int) -> list[str]:
+        """The agenda as a list by place: few symbols are scanned faster than a heap is kept."""
+        cost, none = self.cost.get, NO_PIECE
+        agenda = [cost(a + b, none) for a, b in zip(sym, sym[1:])]
+        at = list(range(len(sym)))
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            if bar and skipped(key, at[i], at[i + 1], bar):
+                agenda[i] = none
+                continue
+            sym[i] += sym[i + 1]
+            del sym[i + 1], at[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = cost(sym[i - 1] + sym[i], none)
+            if i < len(agenda):
+                agenda[i] = cost(sym[i] + sym[i + 1], none)
+        return sym
+
+    def _long(self, sym: list[str], key: int, bar: int) -> list[str]:
+        n, cost = len(sym), self.cost
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-score[j], i, j) for i in range(n - 1) if (j := sym[i] + sym[i + 1]) in score]
+        agenda = [(cost[j], i, j) for i in range(n - 1) if (j := sym[i] + sym[i + 1]) in cost]
         heapq.heapify(agenda)
         while agenda:
             _, i, joined = heapq.heappop(agenda)
             k = after[i]
-            if not sym[i] or k >= n or sym[i] + sym[k] != joined:
+            if not sym[i] or k >= n or sym[i] + sym[k] != joined or bar and skipped(key, i, k, bar):
                 continue
-            if bar:
-                h = (key ^ (i * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F)) & MASK
-                h = ((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) & MASK
-                h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
-                if h < bar:
-                    continue
             sym[i], sym[k] = joined, ""
             after[i] = m = after[k]
             if m < n:
                 before[m] = i
-                if (j := joined + sym[m]) in score:
-                    heapq.heappush(agenda, (-score[j], i, j))
-            if (m := before[i]) >= 0 and (j := sym[m] + joined) in score:
-                heapq.heappush(agenda, (-score[j], m, j))
-        ids: list[int] = []
-        for s in sym:
-            if not s:
-                continue
-            if (known := self.id.get(s)) is not None:
-                ids.append(known)
-            else:
-                ids += [self.bytes_.get(b, self.unknown) for b in (SPACE if s == LITERAL else s).encode("utf-8", "surrogatepass")]
-        return ids
+                if (j := joined + sym[m]) in cost:
+                    heapq.heappush(agenda, (cost[j], i, j))
+            if (m := before[i]) >= 0 and (j := sym[m] + joined) in cost:
+                heapq.heappush(agenda, (cost[j], m, j))
+        return [s for s in sym if s]
 
     def decode(self, ids) -> str:
         out, parts, raw = self.out, [], bytearray()
@@ -155,6 +179,12 @@ class Encoder:
         return ids
 
 
+@lru_cache(maxsize=2)
+def worker_encoder(path: str, cfg: Dropout) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that what it remembers outlives a task."""
+    return Encoder(load(path), cfg)
+
+
 def variant_of(row_id, variants: int) -> int:
     """A row's variant by its id; 0 for a null id."""
     import xxhash
@@ -167,8 +197,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     cfg = cfg or Dropout()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = load(model)
-        e = Encoder(pieces, cfg)
+        pieces, e = load(model), worker_encoder(model, cfg)
         for b in batches:
             for at in range(0, len(b), 256):  # ids of few rows at a time
                 c = b.iloc[at : at + 256]
