@@ -1 +1 @@
-"""See the package README."""
+"""Missing values and scalar expressions."""

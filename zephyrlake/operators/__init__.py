@@ -1 +1 @@
-"""See the package README."""
+"""Contracts, grid statistics, wind vectors, pooling, imputation, forests, scores and audits."""

@@ -1 +1 @@
-"""See the package README."""
+"""Submissions, lineage, command lines and the named queries."""

@@ -1 +1 @@
-"""See the package README."""
+"""File sources."""

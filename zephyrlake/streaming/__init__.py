@@ -1 +1 @@
-"""See the package README."""
+"""Forecast blocks as a stream."""
