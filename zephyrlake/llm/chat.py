@@ -80,19 +80,22 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
 
     up = kept.select(F.col("tree"), F.col("node").alias("above")).alias("u")
     links = kept.alias("n").join(up, F.col("n.tree").eqNullSafe(F.col("u.tree")) & (F.col("n.parent") == F.col("u.above")), "left")
-    # far: the ancestor 2**k up; steps, total: how many messages and what score from there (not included) to here
-    jumps = [scratch.write(links.select("n.tree", "n.node", F.col("u.above").alias("far"), F.lit(1).cast("long").alias("steps"), F.col("n.score").alias("total")), "jump-0")]
-    open_before = None
+    # far: the ancestor 2**k up; steps, total: how many messages and what score from there (not included) to here.
+    # Rows that have reached their root are done and are only looked up, so a round costs what is still open.
+    start = scratch.write(links.select("n.tree", "n.node", F.col("u.above").alias("far"), F.lit(1).cast("long").alias("steps"), F.col("n.score").alias("total")), "jump-0")
+    jumps, done, open_before = [start.filter("far is not null")], [start.filter("far is null")], None
     while True:
-        open_now = jumps[-1].filter("far is not null").count()
+        open_now = jumps[-1].count()
         if open_now == 0 or open_now == open_before:  # what doesn't shrink hangs on cycles
             break
         open_before = open_now
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        met = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.far") == F.col("b.node")), "left")
-        jumps.append(scratch.write(met.select("a.tree", "a.node", "b.far", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), f"jump-{len(jumps)}"))
+        a, b = jumps[-1].alias("a"), reduce(DataFrame.unionByName, [jumps[-1], *done]).alias("b")
+        met = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.far") == F.col("b.node")))
+        met = scratch.write(met.select("a.tree", "a.node", "b.far", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")), f"jump-{len(jumps)}")
+        jumps.append(met.filter("far is not null"))
+        done.append(met.filter("far is null"))
 
-    depth = jumps[-1].filter("far is null").select("tree", "node", "steps", "total")
+    depth = reduce(DataFrame.unionByName, done).select("tree", "node", "steps", "total")
     parents = kept.filter("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = depth.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     if top == 1:
@@ -105,7 +108,7 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     parts = [scratch.write(chosen.withColumn("at", F.col("leaf")), "path")]
     for jump in reversed(jumps[:-1]):  # each offset is a sum of different powers of two, so each ancestor comes once
         on_path = reduce(DataFrame.unionByName, parts)
-        j = jump.filter("far is not null").select(F.col("tree").alias("t"), F.col("node").alias("at_"), "far")
+        j = jump.select(F.col("tree").alias("t"), F.col("node").alias("at_"), "far")
         further = on_path.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("at_"))).withColumn("at", F.col("far"))
         parts.append(scratch.write(further.select(*on_path.columns), f"path-{len(parts)}"))
     on_path = reduce(DataFrame.unionByName, parts)
