@@ -46,7 +46,7 @@ class Dropout:
     dropout: float = 0.1
     seed: int = 20
     variants: int = 2
-    memo: int = 400_000
+    memo: int = 600_000
 
 
 def skipped(key: int, i: int, k: int, bar: int) -> bool:
