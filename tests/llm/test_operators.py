@@ -417,6 +417,53 @@ def test_dropout_varies_and_stays_lossless(spark):
     assert pieces.encode(df.limit(0)).count() == 0
 
 
+def plain_dropout(p, text, key, bar):
+    """Each run's candidates one after another, each with its own draw, without memory or shortcuts; and the draws."""
+    ids, drawn = [], []
+    for r, run in enumerate(p.runs.findall(" " + text)):
+        sym, gone, n = [pieces.SPACE if c == " " else pieces.LITERAL if c == pieces.SPACE else c for c in run], set(), 0
+        at = list(range(len(sym)))
+        while True:
+            can = [(p.cost[a + b], i) for i, (a, b) in enumerate(zip(sym, sym[1:])) if a + b in p.cost and (at[i], a, b) not in gone]
+            if not can:
+                break
+            i = min(can)[1]
+            drawn.append(bool(pieces.skips(key, [r], [n], bar)[0]))
+            n += 1
+            if drawn[-1]:
+                gone.add((at[i], sym[i], sym[i + 1]))
+            else:
+                sym[i : i + 2] = [sym[i] + sym[i + 1]]
+                del at[i + 1]
+        for s in sym:
+            ids += [p.id[s]] if s in p.id else [p.bytes_[b] for b in (pieces.SPACE if s == pieces.LITERAL else s).encode()]
+    return ids, drawn
+
+
+def test_dropout_against_plain_agenda():
+    import xxhash
+
+    p, drawn = pieces.load(pieces.MODEL), []
+    for rate in (0.1, 0.5):
+        e = pieces.Encoder(p, pieces.Dropout(dropout=rate, memo=50))
+        for k, t in enumerate([prose(3, 300), prose(3, 300), "unbelievable ▁ 日本 " * 9, "internationalisation" * 8, "a", " "]):
+            want, d = plain_dropout(p, t, xxhash.xxh64_intdigest(b"%d" % k, e.cfg.seed * 2), e.bar)
+            assert e.encode(t, k) == want
+            drawn += d if rate == 0.1 else []
+    assert len(drawn) > 2000 and 0.08 < sum(drawn) / len(drawn) < 0.12
+
+
+def test_dropout_varies_by_occurrence_and_document(spark):
+    p = pieces.load(pieces.MODEL)
+    copies = [r.ids for r in pieces.encode(docs(spark, ["the internationalisation of information"] * 300)).select("ids").collect()]
+    assert len(set(map(tuple, copies))) > 30
+    once = pieces.Encoder(p, pieces.Dropout()).encode(" ".join(["information"] * 400), 7)
+    assert len(set("|".join(p.out[i] for i in once).split("| "))) > 10
+    rows = spark.createDataFrame([(None, "some information"), (None, "some information"), (4, None)], "doc_id long, text string")
+    got = [r.ids for r in pieces.encode(rows).collect() if r.ids]
+    assert got[0] == got[1] and len(got) == 2
+
+
 # --- the registered queries ---
 
 

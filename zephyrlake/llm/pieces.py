@@ -3,17 +3,18 @@
 The model file gives pieces and scores. A text gets a space in front; spaces become the
 model's mark for them, and the text falls into runs that no piece crosses (a run of spaces with the word
 after it). In each run adjacent symbols whose join is a piece are candidates on an agenda, best score
-first, then leftmost. A candidate that comes up is skipped with probability `dropout`, which
-a keyed hash of (seed, variant, run, place) decides: the same input gives the same pieces on any
-executor and after any retry, and another seed or another row's variant gives others. What stays no
-piece is spelled in bytes. With dropout 0 the result is the model's own encoding.
+first, then leftmost. Each candidate that comes up is skipped with probability `dropout`, which a keyed
+hash of (seed, the row's id, the run's place in the text, how many came up in the run before) decides:
+occurrences of a word vary by themselves, in a text and between texts, while the same input gives the same pieces
+on any executor and after any retry. What is remembered of a run is its pieces by what was skipped, which no key
+changes. What stays no piece is spelled in bytes. With dropout 0 the result is the model's own encoding.
 
 Decoding joins pieces and bytes and takes the space in front away: the text comes back exactly,
 with runs of spaces, line feeds and unknown letters. The mark for spaces itself, where a text has it, is
 spelled in bytes, so it stays apart from spaces.
 
-Defined results: null and empty texts have no pieces and decode to the empty text; equal texts in rows of equal
-variant get equal pieces. Other columns aren't read.
+Defined results: null and empty texts have no pieces and decode to the empty text; rows of equal id and text
+get equal pieces; a row without id is keyed by its text. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,21 +39,35 @@ SPACE = "▁"
 LITERAL = "\x00" + SPACE
 MASK = (1 << 64) - 1
 NO_PIECE = float("inf")
+#: Runs of so many letters are remembered, and have their agenda as a list.
+SHORT = 48
+#: Skips are drawn for so many candidates at a time.
+DRAWN = 1 << 18
 
 
 @dataclass(frozen=True)
 class Dropout:
-    """Chance that a candidate merge is skipped; seed; variants: rows are dealt to so many keys by their id."""
+    """Chance that a candidate merge is skipped; seed; how many encodings of short runs are remembered, with and without skips."""
 
     dropout: float = 0.1
     seed: int = 20
-    variants: int = 2
     memo: int = 600_000
 
 
-def skipped(key: int, i: int, k: int, bar: int) -> bool:
-    """Is the merge of the symbols that begin at i and k left out?"""
-    return (key ^ i * 0x9E3779B97F4A7C15 ^ k * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 & MASK < bar
+def skips(key: int, runs, nth, bar: int) -> np.ndarray:
+    """Is the nth candidate (from 0) of each run, by its place in the text, left out? bar: of 2**64."""
+    x = np.asarray(runs, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(nth, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(key)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31) < np.uint64(min(bar, MASK))
+
+
+def skipped(key: int, r: int, k: int, bar: int) -> bool:
+    """skips() of one candidate, without an array."""
+    x = r * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F + key & MASK
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31 < min(bar, MASK)
 
 
 class Pieces:
@@ -77,49 +93,55 @@ class Pieces:
         lines = any("\n" in p and len(p) > 1 for p in self.id)
         self.runs = re.compile(r"[\s\S]+" if crossing else r" +[^ ]*|[^ ]+" if lines else r" +[^ \n]*|[^ \n]+|\n+")
 
-    def run(self, text: str, key: int, bar: int) -> list[int]:
-        """The ids of a run. bar: a candidate is skipped whose hash is under it, of 2**64."""
+    def run(self, text: str, left_out: int | bytes = 0) -> tuple[list[int], int]:
+        """The ids of a run, and how many candidates came up. left_out: of which the nth is skipped if the nth bit of it
+        is 1; for runs of more than SHORT letters the nth byte, as a heap has no use for so long a number."""
         if " " not in text[1:] and SPACE not in text:
             sym = [SPACE, *text[1:]] if text[:1] == " " else list(text)
         else:
             sym = [SPACE if c == " " else LITERAL if c == SPACE else c for c in text]
+        came = 0
         if len(sym) > 1:
-            sym = self._short(sym, key, bar) if len(sym) <= 48 else self._long(sym, key, bar)
+            sym, came = self._short(sym, left_out) if len(sym) <= SHORT else self._long(sym, left_out)
         ids, known = [], self.id
         for s in sym:
             if s in known:
                 ids.append(known[s])
             else:
                 ids += [self.bytes_.get(b, self.unknown) for b in (SPACE if s == LITERAL else s).encode("utf-8", "surrogatepass")]
-        return ids
+        return ids, came
 
-    def _short(self, sym: list[str], key: int, bar: int) -> list[str]:
+    def _short(self, sym: list[str], left_out: int) -> tuple[list[str], int]:
         """The agenda as a list by place: few symbols are scanned faster than a heap is kept."""
         cost, none = self.cost.get, NO_PIECE
         agenda = [cost(a + b, none) for a, b in zip(sym, sym[1:])]
-        at = list(range(len(sym)))
+        came = 0
         while agenda and (best := min(agenda)) < none:
             i = agenda.index(best)
-            if bar and skipped(key, at[i], at[i + 1], bar):
+            came += 1
+            if left_out >> came - 1 & 1:
                 agenda[i] = none
                 continue
             sym[i] += sym[i + 1]
-            del sym[i + 1], at[i + 1], agenda[i]
+            del sym[i + 1], agenda[i]
             if i:
                 agenda[i - 1] = cost(sym[i - 1] + sym[i], none)
             if i < len(agenda):
                 agenda[i] = cost(sym[i] + sym[i + 1], none)
-        return sym
+        return sym, came
 
-    def _long(self, sym: list[str], key: int, bar: int) -> list[str]:
-        n, cost = len(sym), self.cost
+    def _long(self, sym: list[str], left_out: int | bytes) -> tuple[list[str], int]:
+        n, cost, came = len(sym), self.cost, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(cost[j], i, j) for i in range(n - 1) if (j := sym[i] + sym[i + 1]) in cost]
         heapq.heapify(agenda)
         while agenda:
             _, i, joined = heapq.heappop(agenda)
             k = after[i]
-            if not sym[i] or k >= n or sym[i] + sym[k] != joined or bar and skipped(key, i, k, bar):
+            if not sym[i] or k >= n or sym[i] + sym[k] != joined:
+                continue
+            came += 1
+            if left_out and left_out[came - 1]:
                 continue
             sym[i], sym[k] = joined, ""
             after[i] = m = after[k]
@@ -129,7 +151,7 @@ class Pieces:
                     heapq.heappush(agenda, (cost[j], i, j))
             if (m := before[i]) >= 0 and (j := sym[m] + joined) in cost:
                 heapq.heappush(agenda, (cost[j], m, j))
-        return [s for s in sym if s]
+        return [s for s in sym if s], came
 
     def decode(self, ids) -> str:
         out, parts, raw = self.out, [], bytearray()
@@ -152,31 +174,72 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts, and remembers short runs (at most cfg.memo)."""
+    """Encodes texts, and remembers short runs: without skips, and by what was skipped (at most cfg.memo of each)."""
 
     def __init__(self, pieces: Pieces, cfg: Dropout):
         self.pieces, self.cfg, self.bar = pieces, cfg, int(cfg.dropout * (1 << 64))
-        self.memo: list[dict[str, list[int]]] = [{} for _ in range(max(1, cfg.variants))]
+        self.whole: dict[str, tuple[list[int], int]] = {}
+        self.split: dict[tuple[str, int], tuple[list[int], int]] = {}
 
-    def encode(self, text: str | None, variant: int = 0) -> list[int]:
+    def encode(self, text: str | None, row: int | None = 0) -> list[int]:
+        """The text's ids; row: what else the skips are keyed by, None for the text itself."""
         import xxhash
 
         if not text:
             return []
-        variant %= len(self.memo)
-        memo, ids = self.memo[variant], []
-        get, seed = memo.get, self.cfg.seed * 1_000_003 + variant
-        for run in self.pieces.runs.findall(" " + text):
-            made = get(run)
+        runs = self.pieces.runs.findall(" " + text)
+        get, made = self.whole.get, []
+        for run in runs:
+            made.append(get(run) or self._whole(run))
+        if self.bar:
+            name = text.encode("utf-8", "surrogatepass") if row is None else b"%d" % row
+            self._skip(runs, made, xxhash.xxh64_intdigest(name, self.cfg.seed * 2 + (row is None) & MASK))
+        return list(chain.from_iterable([ids for ids, _ in made]))
+
+    def _whole(self, run: str) -> tuple[list[int], int]:
+        if len(run) > SHORT:
+            return ([], -1) if self.bar else self.pieces.run(run)
+        if len(self.whole) >= self.cfg.memo:
+            self.whole.clear()
+        self.whole[run] = made = self.pieces.run(run)
+        return made
+
+    def _skip(self, runs: list[str], made: list[tuple[list[int], int]], key: int) -> None:
+        """Puts what comes of runs with skips, and of long ones, into made, which has the short runs without skips."""
+        came = np.array([n for _, n in made])
+        for r in np.flatnonzero(came < 0).tolist():
+            most = 3 * len(runs[r])  # each merge makes two candidates at most
+            out = [skips(key, [r], np.arange(lo, min(lo + DRAWN, most)), self.bar).tobytes() for lo in range(0, most, DRAWN)]
+            made[r] = self.pieces.run(runs[r], b"".join(out))
+        came = np.maximum(came, 0)
+        for lo in range(0, len(runs), DRAWN // SHORT):
+            n = came[lo : lo + DRAWN // SHORT]
+            of = np.repeat(np.arange(lo, lo + len(n)), n)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            out = skips(key, of, nth, self.bar)
+            hits: dict[int, int] = {}
+            for r, k in zip(of[out].tolist(), nth[out].tolist(), strict=True):
+                hits[r] = hits.get(r, 0) | 1 << k
+            for r, left_out in hits.items():
+                made[r] = self._split(runs[r], left_out, made[r][1], key, r)
+
+    def _split(self, run: str, left_out: int, known: int, key: int, r: int) -> tuple[list[int], int]:
+        """left_out has the first `known` candidates; where skips make more come up, these are asked for."""
+        while True:
+            made = self.split.get((run, left_out))
             if made is None:
-                key = xxhash.xxh64_intdigest(run.encode("utf-8", "surrogatepass"), seed & MASK) if self.bar else 0
-                made = self.pieces.run(run, key, self.bar)
-                if len(run) <= 48:
-                    if len(memo) >= self.cfg.memo:
-                        memo.clear()
-                    memo[run] = made
-            ids += made
-        return ids
+                if len(self.split) >= self.cfg.memo:
+                    self.split.clear()
+                self.split[run, left_out] = made = self.pieces.run(run, left_out)
+            if made[1] <= known:
+                return made
+            more = 0
+            for k in range(known, made[1]):
+                if skipped(key, r, k, self.bar):
+                    more |= 1 << k
+            left_out, known = left_out | more, made[1]
+            if not more:
+                return made
 
 
 @lru_cache(maxsize=2)
@@ -185,13 +248,6 @@ def worker_encoder(path: str, cfg: Dropout) -> Encoder:
     return Encoder(load(path), cfg)
 
 
-def variant_of(row_id, variants: int) -> int:
-    """A row's variant by its id; 0 for a null id."""
-    import xxhash
-
-    return 0 if pd.isna(row_id) else xxhash.xxh32_intdigest(str(int(row_id))) % max(1, variants)
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, cfg: Dropout | None = None) -> DataFrame:
     """(id, ids, n_pieces, lossless) of each row's whole text; lossless: decoding the ids gave the text back."""
     cfg = cfg or Dropout()
@@ -201,7 +257,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for b in batches:
             for at in range(0, len(b), 256):  # ids of few rows at a time
                 c = b.iloc[at : at + 256]
-                ids = [e.encode(t, variant_of(i, cfg.variants)) for i, t in zip(c.id, c.text, strict=True)]
+                ids = [e.encode(t, None if pd.isna(i) else int(i)) for i, t in zip(c.id, c.text, strict=True)]
                 ok = [pieces.decode(x) == (t or "") for x, t in zip(ids, c.text, strict=True)]
                 yield pd.DataFrame({"id": c.id.to_numpy(), "ids": [np.array(x, np.int32) for x in ids], "n_pieces": [len(x) for x in ids], "lossless": ok})
 
