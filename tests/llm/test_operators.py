@@ -125,6 +125,14 @@ def test_url_verdicts_and_graph(spark):
     assert url_graph.judge(df.limit(0)).count() == 0
 
 
+def test_linkers_of_a_popular_blocked_host(spark):
+    pages = [(f"http://bad{n}.net/fr/", "") for n in (10, 100, 10_000)] + [("http://weak.net/fr/", ""), *[(f"http://weak.net/en/{k}", "") for k in range(999)]]
+    pages += [(f"http://l{k}of{n}.org/", f'<a href="http://bad{n}.net/">') for n in (10, 100, 10_000) for k in range(n)] + [("http://ofweak.org/", '<a href="http://weak.net/">')]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = Counter((r.host.split("of")[1], r.verdict) for r in url_graph.judge(df).collect() if "of" in r.host)
+    assert got == {("10.org", "block"): 10, ("100.org", "block"): 100, ("10000.org", "block"): 10_000, ("weak.org", "allow"): 1}
+
+
 def test_walk_against_brute_force(spark, tmp_path):
     from zephyrlake.llm.common import Scratch
 

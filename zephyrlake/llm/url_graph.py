@@ -5,8 +5,10 @@ the longest wins. Hosts of pages that an allow rule takes are trusted seeds, tho
 distrusted seeds, each with the share of its pages so ruled. Over the distinct host edges of the
 pages' absolute links, personalised PageRank carries trust from seeds along links, and the same walk
 over reversed links carries distrust from blocked seeds to the hosts that link to them. A page without a rule is blocked
-where its host's distrust exceeds `margin` times its trust and the host has `least` times the mean
-distrust of a seed; else it is allowed.
+where its host's distrust exceeds `margin` times its trust and either links brought it distrust of a seed that has
+`least` times the mean share of a seed, or it has that much itself; else it is allowed. How much links brought
+isn't asked, as each of n hosts that link to a seed gets an nth: a seed's linkers are judged alike at any n.
+(OP3_SQL asks for `least` of links too, so on pages with absolute links it can allow more.)
 
 Ranks are fixed-point integers (2**24 to 1), so sums don't depend on their order. Edges and ranks
 stay distributed; each round is a join on the source host, where Spark can split a host with many edges, and a
@@ -108,13 +110,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     edges = scratch.write(edges, "edges")
     share = lambda v: F.floor(F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)) * F.lit(ONE) / F.count("*")).cast("long")
     hosts = scratch.write(ruled.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
-    mean = hosts.agg(F.coalesce(F.floor(F.avg(F.when(F.col("blocked") > 0, F.col("blocked")))), F.lit(0)).cast("long")).first()[0]
+    some = F.when(F.col("blocked") > 0, F.col("blocked"))
+    mean, least = hosts.agg(F.coalesce(F.floor(F.avg(some)), F.lit(0)).cast("long"), F.coalesce(F.min(some), F.lit(0))).first()
     trust = walk(edges, hosts.filter("allowed > 0").select("host", F.col("allowed").alias("mass")), cfg, scratch, "trust")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     distrust = walk(turned, hosts.filter("blocked > 0").select("host", F.col("blocked").alias("mass")), cfg, scratch, "distrust")
-
-    known = hosts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0, ["trust", "distrust"])
-    bad = (F.col("distrust") > cfg.margin * F.col("trust")) & (F.col("distrust") * 10_000 >= F.lit(mean) * cfg.least_percent * (100 - cfg.damping)) & (F.col("distrust") > 0)
+    strong = (F.col("blocked") > 0) & (F.col("blocked") * 100 >= F.lit(mean) * cfg.least_percent)
+    reach = distrust
+    if least * 100 < mean * cfg.least_percent:
+        reach = walk(turned, hosts.filter(strong).select("host", F.col("blocked").alias("mass")), cfg, scratch, "reach")
+    own = F.when(strong, F.expr(f"blocked * {100 - cfg.damping} div 100")).otherwise(0)
+
+    known = hosts.select("host", own.alias("own")).join(reach.withColumnRenamed("rank", "reach"), "host", "left").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0, ["trust", "distrust", "reach"])
+    much = (F.col("distrust") * 10_000 >= F.lit(mean) * cfg.least_percent * (100 - cfg.damping)) | (F.col("reach") > F.col("own"))
+    bad = (F.col("distrust") > cfg.margin * F.col("trust")) & much & (F.col("distrust") > 0)
     known = known.select("host", "trust", "distrust", bad.alias("bad"))
     out = ruled.join(known, "host", "left")
     return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
