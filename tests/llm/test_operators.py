@@ -86,6 +86,21 @@ def test_licenses(spark):
     assert all(not found[k] for k in range(n))
 
 
+def test_licenses_side_by_side():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    for name in ("MIT", "CC-BY-4.0", "MIT-permission", "BSD-3-Clause"):
+        notice = licenses.TEMPLATES[name].split()
+        for gap in range(1, 21):
+            for damage in (0, 1):
+                some = notice[:2] + notice[3:] if damage and len(notice) > 5 else notice
+                text = [*prose(1, 9).split(), *some, *prose(2, gap).split(), *notice, *prose(3, gap).split(), *some, *prose(4, 9).split()]
+                n, m = len(licenses.words(" ".join(some))), len(licenses.words(" ".join(notice)))
+                at = [(9, n), (9 + n + gap, m), (9 + n + gap + m + gap, n)]
+                assert [(f, k) for x, _, k, f, _, _ in scan(" ".join(text)) if x == name] == at, (name, gap, damage)
+    text = "foo bar Released under the MIT License baz Released under the MIT License qux"
+    assert [h[:1] + h[3:5] for h in scan(text)] == [("MIT", 2, 6), ("MIT", 8, 12)]
+
+
 def test_rising_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):

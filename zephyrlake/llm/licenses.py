@@ -3,16 +3,18 @@
 Words are runs of letters, digits and +, with dots inside, lower case. A template is found where
 at least `coverage` of its words align, in order, with words of a stretch of text. As at most m of
 a template's words may be missing, any m + 1 of them hold one that is there: texts without the template's longest
-m + 1 words are passed over, and stretches of twice the template's length around those words are
-aligned (overlapping ones as one). Nothing else is skipped. Of what aligns, the most words within twice the
-template's length count.
+m + 1 words are passed over. Around each place of those words, what is before it in the text and in the template is
+aligned, and what is after it, up to several distances: the template's own, also with m words more, to the
+next place of the same word, and twice the template's length. So words that occur again in a notice nearby hide none. Stretches of
+twice the template's length around those words (overlapping ones as one) are aligned as well. Of what aligns, the most words
+within twice the template's length count; of hits that overlap, the one with the most words, then the shortest, stays.
 
 Patience alignment of a stretch: equal words at both ends are matched; words that occur once in
 the stretch and once in the template are anchors if they lie on the longest increasing subsequence of
 places; each gap between anchors is aligned in the same way; a gap without anchors is left unmatched.
 
 Defined results: null and empty texts hold no license; repeated rows give repeated results; a null id stays null;
-a template with several places in a text gives a row for each stretch. Other columns are not read.
+a template with several places in a text gives a row for each. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -103,6 +105,16 @@ def densest(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
     return pairs[best[0] : best[1]]
 
 
+def apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of hits (order, words from first to last, first) the least that don't overlap with lesser ones, by place."""
+    kept: list[tuple[int, int, int]] = []
+    for hit in sorted(set(hits)):
+        at = bisect_left(kept, hit[2], key=lambda h: h[2])
+        if (at == 0 or kept[at - 1][2] + kept[at - 1][1] < hit[2]) and (at == len(kept) or hit[2] + hit[1] < kept[at][2]):
+            kept.insert(at, hit)
+    return kept
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
@@ -112,12 +124,12 @@ class Scanner:
             missing = len(t) - math.ceil(coverage * len(t) - 1e-9)
             # the longest words, each as often as it occurs, so that missing + 1 of the template's words are meant
             order = sorted(range(len(t)), key=lambda k: (-len(t[k]), k))[: missing + 1]
-            self.templates.append((name, t, frozenset(t[k] for k in order)))
+            self.templates.append((name, t, frozenset(t[k] for k in order), missing))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
         """(name, coverage, matched words, first and last place in the text's words, words in the text)."""
         low, out, tokens = (text or "").lower(), [], None
-        for name, t, marks in self.templates:
+        for name, t, marks, missing in self.templates:
             if not t or not any(m in low for m in marks):
                 continue
             tokens = words(text) if tokens is None else tokens
@@ -129,12 +141,37 @@ class Scanner:
                         stretches[-1][1] = hi
                     else:
                         stretches.append([lo, hi])
+            hits = []
             for lo, hi in stretches:
-                pairs = densest(align(tokens[lo:hi], t), 2 * len(t))
-                if len(pairs) >= self.coverage * len(t) - 1e-9:
-                    out.append((name, len(pairs) / len(t), len(pairs), lo + pairs[0][0], lo + pairs[-1][0], len(tokens)))
+                found = [[(lo + x, y) for x, y in align(tokens[lo:hi], t)], *self._around(tokens, lo, hi, t, marks, missing)]
+                for pairs in (densest(f, 2 * len(t)) for f in found):
+                    if len(pairs) >= self.coverage * len(t) - 1e-9:
+                        hits.append((-len(pairs), pairs[-1][0] - pairs[0][0], pairs[0][0]))
+            for n, more, first in apart(hits):
+                out.append((name, -n / len(t), -n, first, first + more, len(tokens)))
         return out
 
+    def _around(self, tokens: list[str], lo: int, hi: int, t: list[str], marks: frozenset[str], missing: int) -> Iterator[list[tuple[int, int]]]:
+        """What aligns on both sides of each mark from lo to hi, with the mark itself."""
+        need, whole = self.coverage * len(t) - 1e-9, Counter(t)
+        places = {w: [k for k, x in enumerate(t) if x == w] for w in marks}
+        at: dict[str, list[int]] = {w: [] for w in marks}
+        for k in range(lo, hi):
+            if tokens[k] in marks:
+                at[tokens[k]].append(k)
+        for w, found in at.items():
+            for n, k in enumerate(found):
+                p, q = max(lo, k - 2 * len(t)), min(hi, k + 2 * len(t) + 1)
+                if (whole & Counter(tokens[p:q])).total() < need:
+                    continue
+                before, after = (found[n - 1] + 1 if n else p), (found[n + 1] if n + 1 < len(found) else q)
+                for j in places[w]:
+                    begins = {max(p, b) for b in (p, k - j, k - j - missing, before)}
+                    ends = {min(q, e) for e in (q, k + len(t) - j, k + len(t) - j + missing, after)}
+                    left = [[(b + x, y) for x, y in align(tokens[b:k], t[:j])] for b in begins]
+                    right = [[(k + 1 + x, j + 1 + y) for x, y in align(tokens[k + 1 : e], t[j + 1 :])] for e in ends]
+                    yield from ([*x, (k, j), *y] for x in left for y in right if len(x) + len(y) + 1 >= need)
+
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """(id, license_id, coverage, matched_words, first_word, last_word, text_words) of each template found in a text."""
