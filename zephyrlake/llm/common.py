@@ -73,7 +73,7 @@ def slot_of(*columns) -> Column:
 def split_by_slots(rows: DataFrame, slot: Column, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose slot is among slots, the others): at most SLOTS integers are broadcast, and only the first part needs a shuffle."""
     name = free_name(rows, "some_slot")
-    some = F.broadcast(slots.select(F.col(slots.columns[0]).alias(name)).distinct())
+    some = F.broadcast(slots.toDF(name).distinct())
     return rows.join(some, slot == F.col(name), "left_semi"), rows.join(some, slot == F.col(name), "left_anti")
 
 
