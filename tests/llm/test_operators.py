@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -197,13 +198,16 @@ def mutate(text, rate, rng):
     return " ".join(f"{w}{rng.randrange(999)}" if rng.random() < rate else w for w in text.split())
 
 
-@pytest.mark.parametrize("block", [1_500_000, 2_000])
-def test_near_duplicates_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "block_rows"), [(1_500_000, 256), (2_000, 7)])
+def test_near_duplicates_against_brute_force(spark, block, block_rows, monkeypatch):
+    if block_rows == 7:  # numbers of classes that clash are drawn anew
+        key = near_dedup.class_number
+        monkeypatch.setattr(near_dedup, "class_number", lambda digest, salt: key(digest, salt) if salt else F.pmod(key(digest, salt), F.lit(60)))
     rng = random.Random(9)
     base = prose(5, 260, words=5000)
     texts = [*ODD, *ODD, base, base.upper(), *[mutate(base, rng.choice([0.005, 0.02, 0.03, 0.05, 0.08]), rng) for _ in range(90)]]
     texts += [prose(100 + k, rng.randrange(1, 60), 3000) for k in range(60)] + [mutate(prose(100 + k, 50, 3000), 0.03, rng) for k in range(20)]
-    cfg = near_dedup.NearDup(words=3, num=85, block=block)
+    cfg = near_dedup.NearDup(words=3, num=85, block=block, block_rows=block_rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts).repartition(5), cfg=cfg).collect()}
     assert got == brute_components(texts, cfg)
 
@@ -225,38 +229,61 @@ def test_near_duplicates_of_nothing(spark):
     assert got == [(-1, 3), (3, 3), (3, 3)]
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    a, b, c = (prose(k, 60) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (9, f"{a} x"), (12, f"{b} x"), (7, c), (None, f"{c} x"), (None, c)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect())
+        assert got == Counter({(5, 5): 2, (9, 5): 1, (12, 5): 1, (7, 7): 1, (None, 7): 2})
+
+
+def test_signatures_of_large_sets_differ():
+    import numpy as np
+
+    rng, signer = np.random.default_rng(3), near_dedup.Signer(near_dedup.NearDup())
+    a, b = (rng.integers(0, 2**63, 3_000_000).astype(np.uint64) for _ in range(2))
+    assert not (signer.bands(a) == signer.bands(b)).any()
+    mixed = np.concatenate([a[:2_850_000], b[:150_000]])  # similarity 0.9
+    same = (signer.signature(a) == signer.signature(mixed)).mean()
+    assert 0.83 < same < 0.97
+
+
 # --- 5: decontamination ---
 
 
-def test_containment_against_brute_force(spark):
-    rng = random.Random(6)
-    items = [prose(200 + k, rng.choice([3, 5, 9, 30, 60, 400]), 4000) for k in range(30)] + [None, "", "four words only here"]
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_containment_against_brute_force(spark, broadcast_rows):
+    rng, cfg = random.Random(6), Decontamination(broadcast_rows=broadcast_rows)
+    items = [prose(200 + k, rng.choice([2, 3, 4, 5, 9, 30, 60, 400, 900]), 4000) for k in range(30)] + [None, "", " ... ", "four words only here", "again"]
     texts = list(ODD)
     for _ in range(60):
         t = prose(rng.random(), rng.randrange(5, 900), 4000).split()
         it = mutate(rng.choice([i for i in items if i]), rng.choice([0, 0.01, 0.04, 0.08]), rng)
         at = rng.randrange(len(t) + 1)
         texts.append(" ".join([*t[:at], it.upper(), *t[at:]]).replace(" ", rng.choice([" ", ", ", "\n"])))
-    import re
-
-    sh = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall(r"[^\W_]+", (t or "").lower()))
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    sh = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
     want = set()
     for d, t in enumerate(texts):
-        a = sh(t)
-        for i, b in enumerate(map(sh, items)):
+        for i, w in enumerate(map(words, items)):
+            a, b = sh(words(t), min(5, len(w))), sh(w, min(5, len(w))) if w else set()
             if b and 100 * len(a & b) >= 80 * len(b):
                 want.add((d, i, len(b), len(a & b)))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = find_items(docs(spark, texts + texts[-5:]).filter(F.col("doc_id") < len(texts)), bench)
-    assert {(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got.collect()} == want and len(want) > 20
-    assert find_items(docs(spark, texts).limit(0), bench).count() == 0 and find_items(docs(spark, texts), bench.limit(0)).count() == 0
+    got = find_items(docs(spark, texts).union(docs(spark, texts[-5:], len(texts) - 5)), bench, cfg=cfg).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got) == sorted(want) and len(want) > 20
+    assert any(len(words(items[i])) < 5 for _, i, _, _ in want)
+    assert find_items(docs(spark, texts).limit(0), bench, cfg=cfg).count() == 0 and find_items(docs(spark, texts), bench.limit(0), cfg=cfg).count() == 0
+    two = spark.createDataFrame([(None, items[1], 1), (7, "other", 1), (7, items[1], 1), (None, None, 1)], "doc_id long, text string, item_id int")
+    assert sorted(r.doc_id or -1 for r in find_items(two, bench, cfg=cfg).collect() if r.item_id == 1) == [-1, 7]
 
 
 def test_needed_picks_lose_nothing():
     import math
 
     cfg = Decontamination()
-    for size in (1, 4, 5, 30, 200):
+    for size in (1, 4, 5, 30, 200, 513, 2000, 5003):
         for picks in range(1, min(24, size) + 1):
             n, lost = cfg.needed(picks, size), size - math.ceil(0.8 * size)
             under = sum(math.comb(lost, picks - f) * math.comb(size - lost, f) for f in range(n) if picks - f <= lost) / math.comb(size, picks)
@@ -463,12 +490,29 @@ def plain_dropout(p, text, key, bar):
     return ids, drawn
 
 
+def test_runs_and_parts_of_texts():
+    import numpy as np
+
+    p, rng = pieces.load(pieces.MODEL), random.Random(2)
+    for cut_spaces, cut_lines, pattern in ((True, True, p.runs.pattern), (True, False, r" +[^ ]*|[^ ]+"), (False, False, r"[\s\S]+")):
+        q = pieces.Pieces(pieces.MODEL)
+        q.cut_spaces, q.cut_lines = cut_spaces, cut_lines
+        for _ in range(200):
+            text = " " + "".join(rng.choice("ab \n\t▁é") for _ in range(rng.randrange(12)))
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            starts = q.run_starts(points, np.array([0])).tolist()
+            assert [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])] == re.findall(pattern, text)
+    texts = [*ODD, prose(4, 900), None, "日本 " * 300]
+    whole, parts = (pieces.Encoder(p, pieces.Dropout(letters=n)).encode_all(texts, list(range(len(texts)))) for n in (10**6, 70))
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+
+
 def test_dropout_against_plain_agenda():
     import xxhash
 
     p, drawn = pieces.load(pieces.MODEL), []
     for rate in (0.1, 0.5):
-        e = pieces.Encoder(p, pieces.Dropout(dropout=rate, memo=50))
+        e = pieces.Encoder(p, pieces.Dropout(dropout=rate, letters=50))
         for k, t in enumerate([prose(3, 300), prose(3, 300), "unbelievable ▁ 日本 " * 9, "internationalisation" * 8, "a", " "]):
             want, d = plain_dropout(p, t, xxhash.xxh64_intdigest(b"%d" % k, e.cfg.seed * 2), e.bar)
             assert e.encode(t, k) == want

@@ -6,15 +6,21 @@ after it). In each run adjacent symbols whose join is a piece are candidates on
 first, then leftmost. Each candidate that comes up is skipped with probability `dropout`, which a keyed
 hash of (seed, the row's id, the run's place in the text, how many came up in the run before) decides:
 occurrences of a word vary by themselves, in a text and between texts, while the same input gives the same pieces
-on any executor and after any retry. What is remembered of a run is its pieces by what was skipped, which no key
-changes. What stays no piece is spelled in bytes. With dropout 0 the result is the model's own encoding.
+on any executor and after any retry. What stays no piece is spelled in bytes. With dropout 0 the result is the
+model's own encoding.
+
+The agendas of all runs of some texts are worked off together: runs of equal length are the rows of a matrix, and
+each step takes the best candidate of every row, draws its skip, and merges or strikes it out. Nothing is
+remembered between runs, so memory is bounded by `letters`, the letters that are worked on at a time; longer texts
+are cut where runs begin. Runs of more than SHORT letters have an agenda of their own, a heap.
 
 Decoding joins pieces and bytes and takes the space in front away: the text comes back exactly,
 with runs of spaces, line feeds and unknown letters. The mark for spaces itself, where a text has it, is
 spelled in bytes, so it stays apart from spaces.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; rows of equal id and text
-get equal pieces; a row without id is keyed by its text. Other columns aren't read.
+get equal pieces; a row without id is keyed by its text; an empty table gives no rows; a very long text is encoded
+whole, in parts. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,38 +44,38 @@ SPACE = "▁"
 #: A symbol for the mark where a text itself has it: two characters, so no piece of a text's single ones.
 LITERAL = "\x00" + SPACE
 MASK = (1 << 64) - 1
-NO_PIECE = float("inf")
-#: Runs of so many letters are remembered, and have their agenda as a list.
+#: Runs of so many letters have their agenda as a row of a matrix.
 SHORT = 48
-#: Skips are drawn for so many candidates at a time.
+#: Skips of a long run are drawn for so many candidates at a time.
 DRAWN = 1 << 18
+#: Symbols: ids of pieces, from LETTER on code points that are no piece, then LITERAL and GONE.
+SYMBOL_BITS = 22
+LETTER = 1 << 21
+LITERAL_SYMBOL, GONE = LETTER + 0x110000, (1 << SYMBOL_BITS) - 1
+NO_RANK = np.int32(2**31 - 1)
 
 
 @dataclass(frozen=True)
 class Dropout:
-    """Chance that a candidate merge is skipped; seed; how many encodings of short runs are remembered, with and without skips."""
+    """Chance that a candidate merge is skipped; seed; letters that are worked on at a time (about)."""
 
     dropout: float = 0.1
     seed: int = 20
-    memo: int = 600_000
+    letters: int = 500_000
+
 
+def skips(key, runs, nth, bar: int) -> np.ndarray:
+    """Is the nth candidate (from 0) of each run, by its place in the text, left out? key: of the text; bar: of 2**64."""
+    return _under(np.asarray(runs, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(key, np.uint64), nth, bar)
 
-def skips(key: int, runs, nth, bar: int) -> np.ndarray:
-    """Is the nth candidate (from 0) of each run, by its place in the text, left out? bar: of 2**64."""
-    x = np.asarray(runs, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(nth, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(key)
+
+def _under(run_key: np.ndarray, nth, bar: int) -> np.ndarray:
+    x = run_key + np.asarray(nth, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31) < np.uint64(min(bar, MASK))
 
 
-def skipped(key: int, r: int, k: int, bar: int) -> bool:
-    """skips() of one candidate, without an array."""
-    x = r * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F + key & MASK
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
-    return x ^ x >> 31 < min(bar, MASK)
-
-
 class Pieces:
     """A model's pieces, the agenda and the way back."""
 
@@ -89,69 +95,175 @@ class Pieces:
             self.out[i] = names[i].replace(SPACE, " ")
         for b, i in self.bytes_.items():
             self.out[i] = b
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        lines = any("\n" in p and len(p) > 1 for p in self.id)
-        self.runs = re.compile(r"[\s\S]+" if crossing else r" +[^ ]*|[^ ]+" if lines else r" +[^ \n]*|[^ \n]+|\n+")
-
-    def run(self, text: str, left_out: int | bytes = 0) -> tuple[list[int], int]:
-        """The ids of a run, and how many candidates came up. left_out: of which the nth is skipped if the nth bit of it
-        is 1; for runs of more than SHORT letters the nth byte, as a heap has no use for so long a number."""
-        if " " not in text[1:] and SPACE not in text:
-            sym = [SPACE, *text[1:]] if text[:1] == " " else list(text)
-        else:
-            sym = [SPACE if c == " " else LITERAL if c == SPACE else c for c in text]
-        came = 0
-        if len(sym) > 1:
-            sym, came = self._short(sym, left_out) if len(sym) <= SHORT else self._long(sym, left_out)
-        ids, known = [], self.id
-        for s in sym:
-            if s in known:
-                ids.append(known[s])
-            else:
-                ids += [self.bytes_.get(b, self.unknown) for b in (SPACE if s == LITERAL else s).encode("utf-8", "surrogatepass")]
-        return ids, came
-
-    def _short(self, sym: list[str], left_out: int) -> tuple[list[str], int]:
-        """The agenda as a list by place: few symbols are scanned faster than a heap is kept."""
-        cost, none = self.cost.get, NO_PIECE
-        agenda = [cost(a + b, none) for a, b in zip(sym, sym[1:])]
-        came = 0
-        while agenda and (best := min(agenda)) < none:
-            i = agenda.index(best)
+        self.cut_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.id)
+        self.cut_lines = self.cut_spaces and not any("\n" in p and len(p) > 1 for p in self.id)
+        self.runs = re.compile(r" +[^ \n]*|[^ \n]+|\n+" if self.cut_lines else r" +[^ ]*|[^ ]+" if self.cut_spaces else r"[\s\S]+")
+        self.pair: dict[int, tuple[int, int]] | None = None
+        self._letters()
+        self._joins()
+
+    def _letters(self) -> None:
+        """The symbol of each code point."""
+        self.letter = np.arange(LETTER, LITERAL_SYMBOL, dtype=np.int32)
+        for name, i in self.id.items():
+            if len(name) == 1:
+                self.letter[ord(name)] = i
+        self.letter[ord(" ")], self.letter[ord(SPACE)] = self.letter[ord(SPACE)], LITERAL_SYMBOL
+
+    def _symbol(self, name: str) -> int:
+        """Of a piece or letter of the model's own names; GONE for what is neither."""
+        return self.id.get(name, LETTER + ord(name) if len(name) == 1 else GONE)
+
+    def _joins(self) -> None:
+        """An open-addressed table of the pairs of symbols whose join is a piece: key, rank of its cost, its symbol."""
+        ranks = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
+        pairs = {}
+        for name, i in self.id.items():
+            for k in range(1, len(name)):
+                a, b = self._symbol(name[:k]), self._symbol(name[k:])
+                if a != GONE and b != GONE:
+                    pairs[a << SYMBOL_BITS | b] = (ranks[self.cost[name]], i)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        self.shift = np.uint64(64 - max(10, int(np.ceil(np.log2(3 * len(keys) + 1)))))
+        size = 1 << 64 - int(self.shift)
+        self.keys, self.rank, self.join = np.full(size + 1, -1, np.int64), np.full(size + 1, NO_RANK, np.int32), np.full(size + 1, GONE, np.int32)
+        for at, key in zip(self._slot(keys).tolist(), keys.tolist(), strict=True):
+            while self.keys[at] != -1:
+                at = (at + 1) & (size - 1)
+            self.keys[at] = key
+            self.rank[at], self.join[at] = pairs[key]
+        self.none = size  # the slot of pairs that join to nothing
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each pair in the table."""
+        keys = a.astype(np.int64) << SYMBOL_BITS | b
+        at = self._slot(keys)
+        there = self.keys[at]
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (self.none - 1)
+            there = self.keys[at[todo]]
+            todo = todo[(there != keys[todo]) & (there != -1)]
+        at[self.keys[at] != keys] = self.none
+        return at
+
+    def run_starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where runs begin, as the pattern `runs` cuts texts: points are the code points of texts that begin at first."""
+        starts = np.zeros(len(points), bool)
+        starts[first] = True
+        if self.cut_spaces:
+            space = points == 32
+            starts[1:] |= space[1:] & ~space[:-1]
+            if self.cut_lines:
+                line = points == 10
+                starts[1:] |= (line[1:] != line[:-1])
+        return np.flatnonzero(starts)
+
+    def work(self, sym: np.ndarray, starts: np.ndarray, run_key: np.ndarray, bar: int) -> None:
+        """Works off the agendas of the runs that begin at starts, in place: a run's symbols come first in its place, GONE fills the rest."""
+        sizes = np.diff(starts, append=len(sym))
+        slot = self.joins(sym[:-1], sym[1:]) if len(sym) > 1 else np.empty(0, np.int64)
+        order = np.argsort(sizes, kind="stable")
+        of = sizes[order]
+        for size in np.unique(of).tolist():
+            rows = order[np.searchsorted(of, size) : np.searchsorted(of, size, "right")]
+            if size > SHORT:
+                for r in rows.tolist():
+                    at = int(starts[r])
+                    sym[at : at + size] = self._long(sym[at : at + size].tolist(), int(run_key[r]), bar)
+            elif size > 1:
+                self._short(sym, slot, starts[rows], size, run_key[rows], bar)
+
+    def _short(self, sym: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int, run_key: np.ndarray, bar: int) -> None:
+        """Agendas of runs of one size: a row of symbols each, and of the slots and ranks of neighbours' joins."""
+        where = at[:, None] + np.arange(size)
+        s = np.full((len(at), size + 1), GONE, np.int32)
+        s[:, :-1] = sym[where]
+        j = np.full((len(at), size + 1), self.none, np.int32)
+        j[:, : size - 1] = slot[where[:, :-1]]
+        r = self.rank[j]
+        column, came = np.arange(size), 0
+        while True:
+            best = r.argmin(1)
+            row = np.arange(len(r))
+            live = r[row, best] < NO_RANK
+            if not live.all():
+                done = ~live
+                sym[at[done, None] + column] = s[done, :-1]
+                at, run_key, s, j, r, best = at[live], run_key[live], s[live], j[live], r[live], best[live]
+                if not len(at):
+                    return
+                row = np.arange(len(r))
+            skip = _under(run_key, came, bar) if bar else np.zeros(len(r), bool)
             came += 1
-            if left_out >> came - 1 & 1:
-                agenda[i] = none
-                continue
-            sym[i] += sym[i + 1]
-            del sym[i + 1], agenda[i]
-            if i:
-                agenda[i - 1] = cost(sym[i - 1] + sym[i], none)
-            if i < len(agenda):
-                agenda[i] = cost(sym[i] + sym[i + 1], none)
-        return sym, came
-
-    def _long(self, sym: list[str], left_out: int | bytes) -> tuple[list[str], int]:
-        n, cost, came = len(sym), self.cost, 0
+            if skip.any():
+                r[row[skip], best[skip]] = NO_RANK
+                best[skip] = size  # nothing moves
+            x = row[~skip]
+            k = best[x]
+            joined = self.join[j[x, k]]
+            move = column + (column > best[:, None])
+            s[:, :-1] = np.take_along_axis(s, move, 1)
+            move = column + (column >= best[:, None])
+            j[:, :-1] = np.take_along_axis(j, move, 1)
+            r[:, :-1] = np.take_along_axis(r, move, 1)
+            s[x, k] = joined
+            # a joined symbol's neighbours: the pair that it begins, and the pair that it ends
+            new = self.joins(joined, s[x, k + 1])
+            j[x, k], r[x, k] = new, self.rank[new]
+            y = k > 0
+            x, k = x[y], k[y] - 1
+            new = self.joins(s[x, k], joined[y])
+            j[x, k], r[x, k] = new, self.rank[new]
+
+    def _long(self, sym: list[int], run_key: int, bar: int) -> list[int]:
+        """The agenda of one long run as a heap."""
+        if self.pair is None:
+            there = np.flatnonzero(self.keys != -1)
+            self.pair = dict(zip(self.keys[there].tolist(), zip(self.rank[there].tolist(), self.join[there].tolist(), strict=True), strict=True))
+        n, pair, came, draws = len(sym), self.pair.get, 0, b""
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(cost[j], i, j) for i in range(n - 1) if (j := sym[i] + sym[i + 1]) in cost]
+        agenda = [(j[0], i, sym[i], sym[i + 1], j[1]) for i in range(n - 1) if (j := pair(sym[i] << SYMBOL_BITS | sym[i + 1]))]
         heapq.heapify(agenda)
         while agenda:
-            _, i, joined = heapq.heappop(agenda)
+            _, i, a, b, joined = heapq.heappop(agenda)
             k = after[i]
-            if not sym[i] or k >= n or sym[i] + sym[k] != joined:
+            if k >= n or sym[i] != a or sym[k] != b:
                 continue
+            if bar and came % DRAWN == 0:
+                draws = _under(np.uint64(run_key), np.arange(came, came + DRAWN if n > DRAWN else came + 3 * n), bar).tobytes()
             came += 1
-            if left_out and left_out[came - 1]:
+            if bar and draws[(came - 1) % DRAWN]:
                 continue
-            sym[i], sym[k] = joined, ""
+            sym[i], sym[k] = joined, GONE
             after[i] = m = after[k]
             if m < n:
                 before[m] = i
-                if (j := joined + sym[m]) in cost:
-                    heapq.heappush(agenda, (cost[j], i, j))
-            if (m := before[i]) >= 0 and (j := sym[m] + joined) in cost:
-                heapq.heappush(agenda, (cost[j], m, j))
-        return [s for s in sym if s], came
+                if j := pair(joined << SYMBOL_BITS | sym[m]):
+                    heapq.heappush(agenda, (j[0], i, joined, sym[m], j[1]))
+            if (m := before[i]) >= 0 and (j := pair(sym[m] << SYMBOL_BITS | joined)):
+                heapq.heappush(agenda, (j[0], m, sym[m], joined, j[1]))
+        left = [x for x in sym if x != GONE]
+        return left + [GONE] * (n - len(left))
+
+    def spelled(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many come before each symbol and after the last): symbols without a piece in bytes, GONE in nothing."""
+        count = (sym != GONE).astype(np.int64)
+        odd = np.flatnonzero((sym >= LETTER) & (sym != GONE))
+        kinds, of = np.unique(sym[odd], return_inverse=True)
+        spelling = [[self.bytes_.get(b, self.unknown) for b in (SPACE if k == LITERAL_SYMBOL else chr(k - LETTER)).encode("utf-8", "surrogatepass")] for k in kinds.tolist()]
+        if len(odd):
+            count[odd] = np.array([len(x) for x in spelling])[of]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = np.repeat(sym, count)
+        for k, x in enumerate(spelling):
+            at = upto[odd[of == k]]
+            for n, i in enumerate(x):
+                ids[at + n] = i
+        return ids, upto
 
     def decode(self, ids) -> str:
         out, parts, raw = self.out, [], bytearray()
@@ -174,95 +286,82 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts, and remembers short runs: without skips, and by what was skipped (at most cfg.memo of each)."""
+    """Encodes texts, some letters at a time."""
 
     def __init__(self, pieces: Pieces, cfg: Dropout):
         self.pieces, self.cfg, self.bar = pieces, cfg, int(cfg.dropout * (1 << 64))
-        self.whole: dict[str, tuple[list[int], int]] = {}
-        self.split: dict[tuple[str, int], tuple[list[int], int]] = {}
 
-    def encode(self, text: str | None, row: int | None = 0) -> list[int]:
-        """The text's ids; row: what else the skips are keyed by, None for the text itself."""
+    def key(self, text: str, row: int | None) -> int:
         import xxhash
 
-        if not text:
-            return []
-        runs = self.pieces.runs.findall(" " + text)
-        get, made = self.whole.get, []
-        for run in runs:
-            made.append(get(run) or self._whole(run))
-        if self.bar:
-            name = text.encode("utf-8", "surrogatepass") if row is None else b"%d" % row
-            self._skip(runs, made, xxhash.xxh64_intdigest(name, self.cfg.seed * 2 + (row is None) & MASK))
-        return list(chain.from_iterable([ids for ids, _ in made]))
-
-    def _whole(self, run: str) -> tuple[list[int], int]:
-        if len(run) > SHORT:
-            return ([], -1) if self.bar else self.pieces.run(run)
-        if len(self.whole) >= self.cfg.memo:
-            self.whole.clear()
-        self.whole[run] = made = self.pieces.run(run)
-        return made
-
-    def _skip(self, runs: list[str], made: list[tuple[list[int], int]], key: int) -> None:
-        """Puts what comes of runs with skips, and of long ones, into made, which has the short runs without skips."""
-        came = np.array([n for _, n in made])
-        for r in np.flatnonzero(came < 0).tolist():
-            most = 3 * len(runs[r])  # each merge makes two candidates at most
-            out = [skips(key, [r], np.arange(lo, min(lo + DRAWN, most)), self.bar).tobytes() for lo in range(0, most, DRAWN)]
-            made[r] = self.pieces.run(runs[r], b"".join(out))
-        came = np.maximum(came, 0)
-        for lo in range(0, len(runs), DRAWN // SHORT):
-            n = came[lo : lo + DRAWN // SHORT]
-            of = np.repeat(np.arange(lo, lo + len(n)), n)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            out = skips(key, of, nth, self.bar)
-            hits: dict[int, int] = {}
-            for r, k in zip(of[out].tolist(), nth[out].tolist(), strict=True):
-                hits[r] = hits.get(r, 0) | 1 << k
-            for r, left_out in hits.items():
-                made[r] = self._split(runs[r], left_out, made[r][1], key, r)
-
-    def _split(self, run: str, left_out: int, known: int, key: int, r: int) -> tuple[list[int], int]:
-        """left_out has the first `known` candidates; where skips make more come up, these are asked for."""
-        while True:
-            made = self.split.get((run, left_out))
-            if made is None:
-                if len(self.split) >= self.cfg.memo:
-                    self.split.clear()
-                self.split[run, left_out] = made = self.pieces.run(run, left_out)
-            if made[1] <= known:
-                return made
-            more = 0
-            for k in range(known, made[1]):
-                if skipped(key, r, k, self.bar):
-                    more |= 1 << k
-            left_out, known = left_out | more, made[1]
-            if not more:
-                return made
-
+        name = text.encode("utf-8", "surrogatepass") if row is None else b"%d" % row
+        return xxhash.xxh64_intdigest(name, self.cfg.seed * 2 + (row is None) & MASK)
 
-@lru_cache(maxsize=2)
-def worker_encoder(path: str, cfg: Dropout) -> Encoder:
-    """One encoder for all tasks of a Python worker, so that what it remembers outlives a task."""
-    return Encoder(load(path), cfg)
+    def encode(self, text: str | None, row: int | None = 0) -> list[int]:
+        """The text's ids; row: what else the skips are keyed by, None for the text itself."""
+        return self.encode_all([text], [row])[0].tolist()
+
+    def encode_all(self, texts: list[str | None], rows: list[int | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = []
+        lo = 0
+        while lo < len(texts):
+            hi, letters = lo, 0
+            while hi < len(texts) and (hi == lo or letters + len(texts[hi] or "") <= self.cfg.letters):
+                letters += len(texts[hi] or "") + 1
+                hi += 1
+            out += self._some(texts[lo:hi], rows[lo:hi])
+            lo = hi
+        return out
+
+    def _some(self, texts: list[str | None], rows: list[int | None]) -> list[np.ndarray]:
+        whole = [" " + t if t else "" for t in texts]
+        points = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum([0, *map(len, whole)])
+        if not len(points):
+            return [np.empty(0, np.int32) for _ in texts]
+        some = [k for k, t in enumerate(texts) if t]
+        starts = self.pieces.run_starts(points, first[some])
+        runs = np.diff(np.searchsorted(starts, first[[*some, len(texts)]]))
+        keys = np.array([self.key(texts[k], rows[k]) for k in some], np.uint64)
+        place = np.arange(len(starts)) - np.repeat(np.cumsum(runs) - runs, runs)
+        run_key = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(keys, runs)
+        ids, before = [], [np.zeros(1, np.int64)]
+        at = 0
+        while at < len(starts):  # a text of more letters in parts, between runs
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + self.cfg.letters, "right")) - 1) if len(points) - starts[at] > self.cfg.letters else len(starts)
+            end = int(starts[to]) if to < len(starts) else len(points)
+            sym = self.pieces.letter[points[starts[at] : end]]
+            self.pieces.work(sym, starts[at:to] - starts[at], run_key[at:to], self.bar)
+            made, upto = self.pieces.spelled(sym)
+            ids.append(made)
+            before.append(before[-1][-1] + upto[1:])
+            at = to
+        ids, before = np.concatenate(ids), np.concatenate(before)
+        return np.split(ids, before[first[1:-1]])
+
+
+def _ids_column(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, cfg: Dropout | None = None) -> DataFrame:
     """(id, ids, n_pieces, lossless) of each row's whole text; lossless: decoding the ids gave the text back."""
     cfg = cfg or Dropout()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, e = load(model), worker_encoder(model, cfg)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(model)
+        e = Encoder(pieces, cfg)
         for b in batches:
             for at in range(0, len(b), 256):  # ids of few rows at a time
-                c = b.iloc[at : at + 256]
-                ids = [e.encode(t, None if pd.isna(i) else int(i)) for i, t in zip(c.id, c.text, strict=True)]
-                ok = [pieces.decode(x) == (t or "") for x, t in zip(ids, c.text, strict=True)]
-                yield pd.DataFrame({"id": c.id.to_numpy(), "ids": [np.array(x, np.int32) for x in ids], "n_pieces": [len(x) for x in ids], "lossless": ok})
+                c = b.slice(at, 256)
+                rows, texts = c.column("id").to_pylist(), c.column("text").to_pylist()
+                ids = e.encode_all(texts, rows)
+                ok = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([c.column("id"), _ids_column(ids), pa.array(list(map(len, ids)), pa.int64()), pa.array(ok)], ["id", "ids", "n_pieces", "lossless"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
