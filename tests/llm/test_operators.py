@@ -297,7 +297,7 @@ def test_shards_against_brute_force(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(40), rng.choice([None, *range(9)]), rng.randrange(1, 50), k) for k in range(3000)] + [(5, 5, 9, -1)] * 900 + [(6, 6, 40_000, -2)]
     df = spark.createDataFrame(rows, "h long, i long, size long, n long").repartition(7)
-    out = shards.assign(df, "h", "i", "size", shards.Sharding(least_ranges=32))
+    out = shards.assign(df, "h", "i", "size", shards.Sharding(least_ranges=32, rows_per_range=100))
     got = sorted((r.h, -1 if r.i is None else r.i, r.size, r.shard, r.slot) for r in out.collect())
     keyed = sorted((h, -1 if i is None else i, z) for h, i, z, _ in rows)
     total, at, filled, want = sum(r[2] for r in rows), 0, Counter(), []
@@ -308,20 +308,65 @@ def test_shards_against_brute_force(spark):
         at += z
     assert sorted(want) == got
     assert shards.assign(df.limit(0), "h", "i", "size").count() == 0
+    clash = df.withColumns({c: F.col("n") for c in ("Shard", "slot", "start", "copy", "row", "range", "part", "place")})
+    out = shards.assign(clash, "h", "i", "size", shards.Sharding(least_ranges=32))
+    assert sorted((r.h, -1 if r.i is None else r.i, r.size, r.shard, r.slot) for r in out.collect()) == got
+    assert out.columns == ["h", "i", "size", "n", "start", "copy", "row", "range", "part", "place", "shard", "slot"] and out.filter("start <> n").isEmpty()
+
+
+def test_overfull_ranges_are_divided(spark):
+    from zephyrlake.llm.common import Scratch
+
+    rng, cfg = random.Random(3), shards.Sharding(least_ranges=16, oversample=1)
+    keys = sorted({(rng.randrange(50) if k % 3 else rng.randrange(10**9), k): rng.choice([1, 5, 90]) for k in range(4000)}.items())
+    df = spark.createDataFrame([(h, i, z, 1, z) for (h, i), z in keys], "h long, i long, size long, n long, bytes long").repartition(5)
+    total = sum(z for _, z in keys)
+    placed = {(r.h, r.i): (r.start, r.place) for r in shards._placed(df, cfg, Scratch(spark, "t"), total, len(keys)).collect()}
+    at = 0
+    for n, (key, z) in enumerate(keys):
+        assert placed[key] == (at, n)
+        at += z
 
 
 # --- 7: toxicity ---
 
 
-def test_levenshtein_product_against_brute_force():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_evidence_against_brute_force():
+    """Every word against every term, and contexts told by whole-text rules."""
+    terms = {"idiot": 0.5, "worthless": 1.0, "scum": 0.75, "pathetic": 0.25}
+    fuzzy, cfg, rng = {t: toxicity.allowed(t) for t in terms}, toxicity.ToxicConfig(window=3), random.Random(6)
+    m = toxicity.Matcher(terms, fuzzy)
+    pool = [*terms, "idiott", "Worthles!", "scums", "said", "you", "plain", "words", "here", "and", "there", '"', '"idiot', 'scum"', "\n", "\n>"]
+    for _ in range(800):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(25))).replace(" \n ", "\n").replace("\n> ", "\n> ")
+        tokens, want, line, quoted_line = [], 0.0, 0, []
+        for line in text.split("\n"):
+            tokens += line.split()
+            quoted_line += [line.lstrip().startswith(">")] * len(line.split())
+        clean = [t.lower().strip('"!>') for t in tokens]
+        marks = [t.count('"') for t in tokens]
+        for k, w in enumerate(clean):
+            near = [(d, -terms[t], t) for t in terms if (d := distance(w, t)) <= fuzzy[t]]
+            if not near:
+                continue
+            d, weight, _ = min(near)
+            inside = sum(marks) % 2 == 0 and (sum(marks[:k]) % 2 == 1 or marks[k] > 0)
+            quoted = inside or quoted_line[k] or any(x in cfg.reporting for x in clean[max(0, k - 3) : k])
+            context = 0.2 if quoted else 1.25 if any(x in cfg.address for x in clean[max(0, k - 3) : k + 4]) else 1.0
+            want += -weight * context * (1.0, 0.85, 0.7)[d]
+        assert toxicity.evidence(text, m, cfg) == pytest.approx(want), text
 
+
+def test_levenshtein_product_against_brute_force():
     rng = random.Random(3)
     terms = ["idiot", "worthless", "scum", "moron", "pathetic", "disgusting", "lowe*"]
     m = toxicity.Matcher(dict.fromkeys(terms, 1.0), {t: toxicity.allowed(t) for t in terms})
@@ -363,6 +408,8 @@ def test_toxicity_held_out(spark):
     right = [(got[k] >= 0.7) == bool(y) for k, y, _ in labels if zlib.crc32(str(k).encode()) % 3 == 1]
     assert len(right) > 200 and sum(right) >= 0.98 * len(right)
     assert len({round(got[900 + k], 9) for k in range(len(ODD))}) == 1
+    twice = toxicity.fit(df.union(df.filter("doc_id < 900")), lab, ~toxicity.held_out())
+    assert (twice.terms, twice.fuzzy, twice.weights) == (model.terms, model.fuzzy, model.weights)
     empty = toxicity.fit(df, lab.limit(0), ~toxicity.held_out())
     assert empty.terms == {} and toxicity.score(df, empty).first().score == pytest.approx(0.5)
     assert toxicity.score(df.limit(0), model).count() == 0

@@ -1,8 +1,9 @@
 """Toxicity scores from a learned lexicon, misspelling-tolerant matching and context windows.
 
-Lexicon. Words and word stems that are much commoner in toxic training texts than in others
-(document frequencies over a bounded sample of labelled rows). A stem, written with a final *,
-stands for all words that begin with it, and is taken only where many words share it.
+Lexicon. All words and word stems that are much commoner in toxic training texts than in others
+(document frequencies over a bounded sample of labelled ids, one text of each). A stem, written with a final *,
+stands for all words that begin with it, and is taken only where many words share it; words of five letters or more under it
+stay, for their misspellings.
 
 Matching. The lexicon is a trie; the Levenshtein automaton of each word is run over it. The product
 of the two is determinised as texts need it: a state is the set of (trie node, edits so far),
@@ -12,13 +13,16 @@ two; a term whose misspellings turn up in clean training texts has to be spelled
 have stems.
 
 Context. A hit inside quotation marks, in a line that begins with >, or shortly after a verb of
-reporting is a quotation: it counts for less than abuse, and for more near a word of address.
-The score is a logistic function of the text's evidence, fitted on the same sample.
+reporting is a quotation: it counts for less than abuse, and for more near a word of address (both are lists of the
+configuration). The score is a logistic function of the text's evidence, fitted on the same sample.
+
+What comes to the driver is bounded by the sample: terms that pass, counts by term, two numbers for each of its texts.
 
 Defined results: null, empty and blank texts have no evidence and get the base score; repeated rows
-and equal texts get equal scores; labels that are null, or that disagree for an id, are left out; with no
+and equal texts get equal scores; a very long text is scored whole; labels that are null, or that disagree for an id, are left out;
+of documents with equal id the smallest text is learned from; with no
 labelled rows, or none of one class, the lexicon is empty and every text gets the share of toxic
-labels, (p + 1) / (n + 2). Other columns are never read.
+labels, (p + 1) / (n + 2); an empty table gets no scores. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import read
+from zephyrlake.llm.common import Scratch, read
 
 #: Verbs of reporting and words of address, lower case.
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes replied shouted dit disait écrit sagte schrieb nannte dijo escribió llamó".split())
@@ -47,15 +51,20 @@ _EDGE = re.compile(r"^[^\w*@$]+|[^\w*@$]+$")
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    """sample: labelled rows that the lexicon and the score are fitted on, at most (about); terms: lexicon size, at most."""
+    """sample: labelled ids that the lexicon and the score are fitted on, at most (about); reporting, address: words that tell the context."""
 
     sample: int = 20_000
-    terms: int = 400
     least_docs: int = 4
     least_ratio: float = 25.0
     window: int = 12
     quoted: float = 0.2
     threshold: float = 0.7
+    reporting: frozenset[str] = REPORTING
+    address: frozenset[str] = ADDRESS
+
+
+#: Spellings that a matcher remembers, their letters at most, and states of its automaton: bounds of its memory.
+SPELLINGS, REMEMBERED, STATES = 150_000, 64, 50_000
 
 
 def word(raw: str) -> str:
@@ -73,8 +82,8 @@ class Matcher:
     terms: weight by term; fuzzy: edits by term. find(word) gives (term, edits) of the best term or None.
     """
 
-    def __init__(self, terms: dict[str, float], fuzzy: dict[str, int], memo: int = 400_000):
-        self.terms, self.memo = terms, memo
+    def __init__(self, terms: dict[str, float], fuzzy: dict[str, int]):
+        self.terms = terms
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[str, int]]] = [[]]
         self.most = [0]  # edits that some term below allows
@@ -154,12 +163,14 @@ class Matcher:
         try:
             return self.seen[raw]
         except KeyError:
-            if len(self.seen) >= self.memo:
+            if len(self.seen) >= SPELLINGS:
                 self.seen.clear()
-            if len(self.sets) > self.memo:  # forget the automaton, not the trie
+            if len(self.sets) > STATES:  # forget the automaton, not the trie
                 self.states, self.sets, self.said, self.stem, self.steps = {}, [], [], [], []
                 self.start = self._state({0: 0})
-            self.seen[raw] = hit = self._find(word(raw)) if self.terms else None
+            hit = self._find(word(raw)) if self.terms else None
+            if len(raw) <= REMEMBERED:
+                self.seen[raw] = hit
             return hit
 
 
@@ -197,8 +208,8 @@ def hits(text: str | None, m: Matcher, cfg: ToxicConfig) -> list[tuple[str, int,
             at += n
     for i, (term, edits) in found:
         near = [word(t) for t in tokens[max(0, i - cfg.window) : i + cfg.window + 1]]
-        quoted = i in inside or i in cited or any(w in REPORTING for w in near[: min(i, cfg.window)][-4:])
-        context = cfg.quoted if quoted else 1.25 if any(w in ADDRESS for w in near) else 1.0
+        quoted = i in inside or i in cited or any(w in cfg.reporting for w in near[: min(i, cfg.window)][-4:])
+        context = cfg.quoted if quoted else 1.25 if any(w in cfg.address for w in near) else 1.0
         out.append((term, edits, context))
     return out
 
@@ -216,14 +227,22 @@ def training_rows(labels: DataFrame, id_col: str, label_col: str, keep: Column,
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Document counts by term, some texts at a time."""
+    counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+    def told() -> pd.DataFrame:
+        terms = list(counts[0].keys() | counts[1].keys())
+        made = pd.DataFrame({"term": terms, "pos": [counts[1][t] for t in terms], "neg": [counts[0][t] for t in terms]})
+        counts.update({0: Counter(), 1: Counter()})
+        return made
+
     for b in batches:
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, y in zip(b.text, b.y, strict=True):
-            words = {w for t in set((text or "").split()) if 3 <= len(w := word(t)) <= 40}
-            stems = {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
-            counts[1 if y else 0].update(words | stems | {""})
-        terms = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"term": terms, "pos": [counts[1][t] for t in terms], "neg": [counts[0][t] for t in terms]})
+            words = {w for t in set((text or "").split()) if (w := word(t))}
+            counts[1 if y else 0].update(words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k})
+            if len(counts[0]) + len(counts[1]) > 200_000:
+                yield told()
+    yield told()
 
 
 def choose_terms(rows: Iterable[tuple[str, int, int]], pos: int, neg: int, cfg: ToxicConfig) -> dict[str, float]:
@@ -244,22 +263,30 @@ def choose_terms(rows: Iterable[tuple[str, int, int]], pos: int, neg: int, cfg:
         if not any(t.startswith(s[:-1]) for s in taken):
             taken.append(t)
     heads = tuple(s[:-1] for s in taken)
-    plain = [t for t in score if not t.endswith("*") and not (heads and t.startswith(heads))]
-    best = sorted([*taken, *plain], key=lambda t: (-score[t][0] * score[t][1], t))[: cfg.terms]
-    return {t: score[t][1] for t in best}
+    plain = [t for t in score if not t.endswith("*") and (allowed(t) or not (heads and t.startswith(heads)))]
+    return {t: score[t][1] for t in sorted([*taken, *plain])}
 
 
-def _features(model: Model):
-    """(y, exact and fuzzy evidence) and, in rows with a term, the misspellings of clean texts."""
+def _misspelt(model: Model):
+    """(term, edits) of the misspellings in clean texts, each once for a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(model.terms, {t: allowed(t) for t in model.terms})
         for b in batches:
-            rows = []
-            for text, y in zip(b.text, b.y, strict=True):
-                found = hits(text, m, model.config)
-                rows.append((y, [t for t, _, _ in found], [e for _, e, _ in found], [c for _, _, c in found]))
-            yield pd.DataFrame(rows, columns=["y", "terms", "edits", "context"])
+            rows = [x for text in b.text for x in {(t, e) for t, e, _ in hits(text, m, model.config) if e}]
+            yield pd.DataFrame(rows, columns=["term", "edits"])
+
+    return run
+
+
+def _weighed(model: Model):
+    """(y, evidence) of each text with any."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Matcher(model.terms, model.fuzzy)
+        for b in batches:
+            rows = [(y, e) for text, y in zip(b.text, b.y, strict=True) if (e := evidence(text, m, model.config)) > 0]
+            yield pd.DataFrame(rows, columns=["y", "evidence"])
 
     return run
 
@@ -282,36 +309,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-5, rounds: int = 40
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cfg: ToxicConfig | None = None) -> Model:
     """A model from the labelled rows that keep (a condition on labels) admits."""
     cfg = cfg or ToxicConfig()
+    scratch = Scratch(docs.sparkSession, "toxicity")
     rows = training_rows(labels.select(F.col(id_col), F.col(label_col)), id_col, label_col, keep, cfg)
     # at most about cfg.sample rows of twelve bytes: small enough to send to every executor
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").select("text", "y")
-    counts = train.mapInPandas(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ratio = (F.col("pos") + 0.5) / (F.col("neg") + 0.5)
-    some = counts.filter((F.col("term") == "") | (F.col("pos") >= cfg.least_docs)).orderBy(F.expr("term = ''").desc(), F.desc(F.col("pos") * F.log(ratio)), "term").limit(20 * cfg.terms).collect()
-    totals = {r.term: (r.pos, r.neg) for r in some}
-    pos, neg = totals.pop("", (0, 0))
-    base = (pos + 1) / (pos + neg + 2)
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
+    train = scratch.write(train.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "train")
+    pos, n = train.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    neg = n - pos
+    base = (pos + 1) / (n + 2)
     prior = math.log(base / (1 - base))
     if not pos or not neg:
         return Model(weights=(prior, 0.0), config=cfg)
-    model = Model(choose_terms(((t, p, n) for t, (p, n) in totals.items()), pos, neg, cfg), config=cfg)
+    counts = train.mapInPandas(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ratio = F.col("pos") / (pos + 1) / ((F.col("neg") + 1) / (neg + 1))
+    # terms of the sample that pass: choose_terms decides, this only spares the driver the others
+    some = counts.filter((F.col("pos") >= cfg.least_docs) & (ratio >= 0.99 * cfg.least_ratio)).collect()
+    model = Model(choose_terms(((r["term"], r["pos"], r["neg"]) for r in some), pos, neg, cfg), config=cfg)
     if not model.terms:
         return Model(weights=(prior, 0.0), config=cfg)
-    found = train.mapInPandas(_features(model), "y int, terms array<string>, edits array<int>, context array<double>")
-    told = found.filter("size(terms) > 0").select(F.col("y"), F.arrays_zip("terms", "edits", "context").alias("h")).collect()
-    wrong = Counter((h.terms, h.edits) for r in told if not r.y for h in {x: x for x in r.h}.values() if h.edits)
+    clean = train.filter("y = 0").mapInPandas(_misspelt(model), "term string, edits int")
+    wrong = {(r["term"], r["edits"]): r["n"] for r in clean.groupBy("term", "edits").agg(F.count("*").alias("n")).collect()}
     for t in model.terms:
         most = 0
-        while most < allowed(t) and wrong[(t, most + 1)] <= 0.0005 * neg:
+        while most < allowed(t) and wrong.get((t, most + 1), 0) <= 0.0005 * neg:
             most += 1
         model.fuzzy[t] = most
-    x, y = [], []
-    for r in told:
-        x.append(sum(model.terms[h.terms] * h.context * (1.0, 0.85, 0.7)[h.edits] for h in r.h if h.edits <= model.fuzzy[h.terms]))
-        y.append(float(r.y))
-    rest = [(0.0, 1.0)] * (pos - int(sum(y))) + [(0.0, 0.0)] * (neg - (len(y) - int(sum(y))))
-    x, y = np.array([*x, *(a for a, _ in rest)]), np.array([*y, *(b for _, b in rest)])
+    told = train.mapInPandas(_weighed(model), "y int, evidence double").toPandas().sort_values(["y", "evidence"])
+    rest = [pos - int(told.y.sum()), neg - int((1 - told.y).sum())]
+    x = np.concatenate([told.evidence.to_numpy(float), np.zeros(sum(rest))])
+    y = np.concatenate([told.y.to_numpy(float), np.ones(rest[0]), np.zeros(rest[1])])
     model.weights = logistic(np.log1p(4 * x), y)
+    scratch.drop("train")
     return model
 
 
