@@ -58,6 +58,61 @@ def test_media_round_trip_and_faults():
     assert media.read_stream(bytes(broken)).bad_sections == 1
     for bad in (None, b"", b"\x47" * 1000, rng.randbytes(5000)):
         media.read_stream(bad)
+    short = media.read_stream(lost)
+    assert [k for k, u in enumerate(short.units) if u[5]] == [next(k for k, u in enumerate(short.units) if u[3] < 576)] and not any(u[5] for u in s.units)
+    apart = stream[: 188 * 3] + stream[: 188 * 2] + stream[188 * 2 : 188 * 3] + stream[188 * 3 :]  # a repeat after packets of other streams
+    assert media.read_stream(apart).repeats == 3 and media.read_stream(apart).payload == s.payload
+    marked = bytearray(stream)
+    marked[188 * 9 + 1] |= 0x80
+    assert (media.read_stream(bytes(marked)).errors, media.read_stream(bytes(marked)).jumps) == (1, 1)
+
+
+def plain_demux(stream):
+    """The elementary stream's payload by the letter of the packet headers, without any other checks."""
+    out, pes = b"", b""
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47
+        if (p[1] & 0x1F) << 8 | p[2] == 0x100:
+            body = p[5 + p[4] :] if p[3] & 0x20 else p[4:]
+            if p[1] & 0x40:
+                out, pes = out + pes[14:], b""
+            pes += body
+    return out + pes[14:]
+
+
+def ts_packets(pid, body, first=0, start=True):
+    """Packets that hold body, the last one with an adaptation field as stuffing."""
+    out, k = [], first
+    while body:
+        part, body = body[:184], body[184:]
+        gap = 184 - len(part)
+        head = bytes([0x47, (0x40 if start and k == first else 0) | pid >> 8, pid & 255, (0x30 if gap else 0x10) | k & 15])
+        out.append(head + (bytes([gap - 1]) + (b"\x00" + b"\xff" * (gap - 2) if gap > 1 else b"") if gap else b"") + part)
+        k += 1
+    return out
+
+
+def test_media_tables_over_several_packets():
+    pat = media._section(0, 1, b"\x00\x01" + (0xE000 | 0x100).to_bytes(2, "big") + b"\x00\x02" + (0xE000 | 0x101).to_bytes(2, "big"))
+    streams = {0x200 + k: 6 + k % 3 for k in range(70)}
+    pmt = lambda some, number: media._section(2, number, b"\xff\xff\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p, kind in some.items()))
+    one, two = dict(list(streams.items())[:60]), dict(list(streams.items())[60:])
+    unit = lambda k: ts_packets(0x200 + k, media._pes(k, bytes([k]) * 300))
+    tables = ts_packets(0, b"\x00" + pat) + ts_packets(0x100, b"\x00" + pmt(one, 1)) + ts_packets(0x101, b"\x00" + pmt(two, 2) + pmt({0x900: 9}, 2))
+    assert len(tables) >= 4
+    data = unit(0) + unit(69) + ts_packets(0x300, media._pes(1, b"unnamed"))
+    for packets in (tables + data, data + tables, tables[:2] + data[:2] + tables[2:] + data[2:]):  # wherever the tables are
+        s = media.read_stream(b"".join(packets))
+        assert s.programs == {1: 0x100, 2: 0x101} and s.streams == streams | {0x900: 9} and s.bad_sections == 0
+        assert s.payload == {0x200: b"\x00" * 300, 0x245: bytes([69]) * 300} and [u[0] for u in s.units] == [0x200, 0x245]
+    assert media.read_stream(b"".join(tables[:2] + tables[3:])).bad_sections >= 1  # a lost part
+    later = bytearray(pmt(two, 2)[:-4])
+    later[5] &= 0xFE
+    later += media.crc_mpeg(bytes(later)).to_bytes(4, "big")
+    assert media.read_stream(b"".join(ts_packets(0, b"\x00" + pat) + ts_packets(0x101, b"\x00" + bytes(later)))).streams == {}
+    whole = media.read_stream(b"".join(ts_packets(0, b"\x00" + pat) + ts_packets(0x101, b"\x00" + pmt({0x200: 6}, 2)) + unit(0)[:1]))
+    assert [(u[3], u[5]) for u in whole.units] == [(170, True)]
 
 
 def test_media_columns(spark):
@@ -65,6 +120,7 @@ def test_media_columns(spark):
     rows = {r.doc_id: r for r in media.index(media.store(df)).collect()}
     for k, t in enumerate(ODD):
         assert media.read_stream(rows[k].media).payload[media.ES_PID] == media.pad((t or "").encode())
+        assert rows[k].media_index.programs == {1: media.PMT_PID} and not any(u.damaged for u in rows[k].media_index.units)
         assert len(rows[k].media_index.units) == max(1, -(-len((t or "").encode()) // 576))
     assert media.store(df.limit(0)).count() == 0
 
@@ -605,6 +661,7 @@ def test_op1_digests(spark, db):
         payload = media.pad(data)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         stored = media.write_stream(payload)
+        assert plain_demux(stored) == payload
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 

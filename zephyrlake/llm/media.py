@@ -5,15 +5,16 @@ of 90 kHz each). A unit is one PES packet of private stream 1 with its presentat
 dealt to transport packets of 188 bytes. Every 16th unit is a random-access point: its first
 packet says so and carries a clock reference, and the program tables (PAT, PMT) come before it.
 
-`read_stream` takes any byte string: it finds sync, parses program tables (sections whose CRC
-is wrong don't count), checks continuity counters (a repeat of a packet is dropped, a jump is
-counted), reassembles the elementary packets and returns units with timestamps, places and
-random-access flags.
+`read_stream` takes any byte string: it finds sync, leaves out packets marked as faulty, puts program tables together over
+packets (sections whose CRC is wrong, or that aren't in force yet, don't count), checks continuity counters (a repeat of a stream's
+last packet is dropped, a jump is counted), reassembles the elementary packets of the streams that tables name, wherever in
+the value the tables are, and returns units with timestamps, places and random-access flags. A unit that lost a packet, or is
+shorter than it says, is marked as damaged.
 
 Defined results: a null text is stored as an empty one; empty payloads become one unit of bytes
-255; a null or damaged media value gives what can be read, never an error. Equal texts give
-equal bytes. Other columns pass through; `store` and `index` replace a column of the name that
-they are told to write.
+255; a very long text is stored whole, its timestamps modulo 2**33; a null or damaged media value gives what can be read, never an
+error; an empty table gives no rows. Equal texts give equal bytes. Other columns pass through, whatever their names; `store` and
+`index` replace a column of the name that they are told to write.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from zephyrlake.llm.common import read
 
 PACKET, UNIT, TICKS, RAP_EVERY = 188, 576, 6480, 16
 PAT_PID, PMT_PID, ES_PID, PRIVATE = 0, 0x1000, 0x0100, 0xBD
-UNITS = "array<struct<pid:int,pts:bigint,offset:bigint,size:int,random_access:boolean>>"
+UNITS = "array<struct<pid:int,pts:bigint,offset:bigint,size:int,random_access:boolean,damaged:boolean>>"
 
 
 @lru_cache(maxsize=256)
@@ -103,59 +104,105 @@ def write_stream(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds. units: (pid, pts or None, offset in its stream's payload, size, random access)."""
+    """What a transport stream holds. units: (pid, pts or None, offset in its stream's payload, size, random access, damaged)."""
 
     packets: int = 0
+    errors: int = 0
     lost_sync: int = 0
     jumps: int = 0
     repeats: int = 0
     bad_sections: int = 0
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
-    units: list[tuple[int, int | None, int, int, bool]] = field(default_factory=list)
+    units: list[tuple[int, int | None, int, int, bool, bool]] = field(default_factory=list)
     payload: dict[int, bytes] = field(default_factory=dict)
 
 
-def _tables(s: Stream, pid: int, body: bytes) -> None:
-    section = body[1 + body[0] :] if body else b""
-    if len(section) < 12 or section[0] not in (0, 2):
+class _Sections:
+    """Sections of one table's packets, put together over packets."""
+
+    def __init__(self):
+        self.held: bytearray | None = None
+
+    def lose(self) -> bool:
+        """Gives up what has begun; was there any?"""
+        had, self.held = bool(self.held), None
+        return had
+
+    def take(self, start: bool, body: bytes) -> Iterator[bytes]:
+        if start:
+            after = 1 + body[0] if body else 0
+            if self.held is not None:
+                self.held += body[1:after]
+                yield from self._whole()
+            self.held = bytearray(body[after:])
+        elif self.held is not None:
+            self.held += body
+        yield from self._whole()
+
+    def _whole(self) -> Iterator[bytes]:
+        while self.held:
+            if self.held[0] == 0xFF:  # stuffing up to the packet's end
+                self.held = None
+            elif len(self.held) >= 3 and len(self.held) >= (end := 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)):
+                yield bytes(self.held[:end])
+                del self.held[:end]
+            else:
+                break
+
+
+def _table(s: Stream, pid: int, section: bytes) -> None:
+    """Takes a section of the program tables in; others are passed over."""
+    if section[0] not in (0, 2) or section[0] == 0 and pid != PAT_PID or section[0] == 2 and pid not in s.programs.values():
         return
-    end = 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)
-    if end > len(section) or end < 12 or crc_mpeg(section[:end]):
+    end = len(section) - 4
+    if end < 8 or crc_mpeg(section):
         s.bad_sections += 1
-        return
-    if section[0] == 0 and pid == PAT_PID:
-        for i in range(8, end - 4, 4):
+    elif not section[5] & 1:
+        return  # not in force yet
+    elif section[0] == 0:
+        for i in range(8, end - 3, 4):
             number, at = int.from_bytes(section[i : i + 2], "big"), int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
             if number:
                 s.programs[number] = at
-    elif section[0] == 2 and pid in s.programs.values():
+    else:
         i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-        while i + 5 <= end - 4:
+        while i + 5 <= end:
             s.streams[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
             i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
 
 
+#: Stream ids whose packets have no header of their own after the length; padding is one of them.
+PLAIN_IDS, PADDING = frozenset((0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF)), 0xBE
+
+
+def _unit(pes: bytes) -> tuple[bytes, int | None, bool] | None:
+    """(data, timestamp, is it shorter than it says) of an elementary packet; None for what is none."""
+    if pes[:3] != b"\x00\x00\x01" or len(pes) < 6 or pes[3] == PADDING:
+        return None
+    size, body, pts = int.from_bytes(pes[4:6], "big"), 6, None
+    if pes[3] not in PLAIN_IDS:
+        if len(pes) < 9:
+            return None
+        body = 9 + pes[8]
+        if pes[7] & 0x80 and len(pes) >= 14:
+            pts = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | pes[11] >> 1 << 15 | pes[12] << 7 | pes[13] >> 1
+    return pes[body : 6 + size] if size else pes[body:], pts, size > 0 and len(pes) < 6 + size
+
+
 def read_stream(media: bytes | None) -> Stream:
     s, at, media = Stream(), 0, bytes(media or b"")
-    last: dict[int, int] = {}
-    open_: dict[int, tuple[list[bytes], bool]] = {}
-    done: dict[int, list[bytes]] = {}
-    length: dict[int, int] = {}
+    last: dict[int, tuple[int, int]] = {}  # a stream's last counter, and where its packet began
+    open_: dict[int, list] = {}  # parts, random access, damaged
+    done: dict[int, list[tuple[bytes, int | None, bool, bool]]] = {}
+    order: list[int] = []
+    tables: dict[int, _Sections] = {PAT_PID: _Sections()}
 
     def close(pid: int) -> None:
-        parts, rap = open_.pop(pid)
-        pes = b"".join(parts)
-        if pes[:3] != b"\x00\x00\x01" or len(pes) < 9:
-            return
-        size, body = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
-        data = pes[body : 6 + size] if size else pes[body:]
-        pts = None
-        if pes[7] & 0x80 and len(pes) >= 14:
-            pts = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | pes[11] >> 1 << 15 | pes[12] << 7 | pes[13] >> 1
-        s.units.append((pid, pts, length.get(pid, 0), len(data), rap))
-        length[pid] = length.get(pid, 0) + len(data)
-        done.setdefault(pid, []).append(data)
+        parts, rap, damaged = open_.pop(pid)
+        if (unit := _unit(b"".join(parts))) is not None:
+            order.append(pid)
+            done.setdefault(pid, []).append((unit[0], unit[1], rap, damaged or unit[2]))
 
     while at + PACKET <= len(media):
         if media[at] != 0x47:
@@ -167,36 +214,57 @@ def read_stream(media: bytes | None) -> Stream:
                 break
             continue
         b1, b2, b3 = media[at + 1], media[at + 2], media[at + 3]
-        start, pid, counter, body = b1 & 0x40, (b1 & 0x1F) << 8 | b2, b3 & 15, at + 4
-        end, rap, jump_ok = at + PACKET, False, False
-        at = end
+        start, pid, counter, body, begin = b1 & 0x40, (b1 & 0x1F) << 8 | b2, b3 & 15, at + 4, at
+        at = end = at + PACKET
         s.packets += 1
+        if b1 & 0x80:
+            s.errors += 1
+            continue
+        rap = False
         if b3 & 0x20:
             n = media[body]
             if n:
-                rap, jump_ok = bool(media[body + 1] & 0x40), bool(media[body + 1] & 0x80)
+                rap = bool(media[body + 1] & 0x40)
+                if media[body + 1] & 0x80:  # counters may jump here
+                    last.pop(pid, None)
             body += 1 + n
         if pid == 0x1FFF or not b3 & 0x10 or body > end:
             continue
-        was = last.get(pid)
-        if was == counter and not jump_ok and media[end - PACKET : end] == media[end - 2 * PACKET : end - PACKET]:
-            s.repeats += 1
-            continue
-        if was is not None and counter != was + 1 & 15 and not jump_ok:
-            s.jumps += 1
-        last[pid] = counter
-        if pid == PAT_PID or pid in s.programs.values():
-            if start:
-                _tables(s, pid, media[body:end])
+        if pid in last:
+            was, where = last[pid]
+            if was == counter and media[begin:end] == media[where : where + PACKET]:
+                s.repeats += 1
+                continue
+            if counter != was + 1 & 15:
+                s.jumps += 1
+                if pid in open_:
+                    open_[pid][2] = True
+                if pid in tables and tables[pid].lose():
+                    s.bad_sections += 1
+        last[pid] = counter, begin
+        if pid in tables:
+            for section in tables[pid].take(bool(start), media[body:end]):
+                _table(s, pid, section)
+            for p in s.programs.values():
+                if p not in tables:
+                    tables[p] = _Sections()
+                    open_.pop(p, None)
         elif start:
             if pid in open_:
                 close(pid)
-            open_[pid] = ([media[body:end]], rap)
+            open_[pid] = [[media[body:end]], rap, False]
         elif pid in open_:
             open_[pid][0].append(media[body:end])
     for pid in list(open_):
         close(pid)
-    s.payload = {pid: b"".join(parts) for pid, parts in done.items()}
+    s.bad_sections += sum(t.lose() for t in tables.values())
+    length, nth = dict.fromkeys(s.streams, 0), dict.fromkeys(s.streams, 0)
+    for pid in order:
+        if pid in s.streams:
+            data, pts, rap, damaged = done[pid][nth[pid]]
+            s.units.append((pid, pts, length[pid], len(data), rap, damaged))
+            length[pid], nth[pid] = length[pid] + len(data), nth[pid] + 1
+    s.payload = {pid: b"".join(x[0] for x in units) for pid, units in done.items() if pid in s.streams}
     return s
 
 
@@ -205,7 +273,7 @@ def feature(s: Stream) -> str:
     stamps = [u[1] for u in s.units if u[1] is not None]
     return (
         f"mpegts packets={s.packets} programs={len(s.programs)} streams={','.join(f'{p}:{k}' for p, k in sorted(s.streams.items()))} units={len(s.units)} "
-        f"random_access={sum(u[4] for u in s.units)} pts={min(stamps, default=-1)}..{max(stamps, default=-1)} jumps={s.jumps} lost_sync={s.lost_sync} bad_sections={s.bad_sections}"
+        f"random_access={sum(u[4] for u in s.units)} pts={min(stamps, default=-1)}..{max(stamps, default=-1)} jumps={s.jumps} lost_sync={s.lost_sync} bad_sections={s.bad_sections} errors={s.errors} damaged={sum(u[5] for u in s.units)}"
     )
 
 
@@ -225,12 +293,16 @@ def store(df: DataFrame, text_col: str = "text", media_col: str = "media") -> Da
 
 def index(df: DataFrame, media_col: str = "media", index_col: str = "media_index") -> DataFrame:
     """df with index_col: programs, streams, units with timestamps and random-access points, and counts of faults."""
-    kind = f"struct<packets:bigint,programs:map<int,int>,streams:map<int,int>,jumps:bigint,repeats:bigint,lost_sync:bigint,bad_sections:bigint,units:{UNITS}>"
+    kind = f"struct<packets:bigint,programs:map<int,int>,streams:map<int,int>,errors:bigint,jumps:bigint,repeats:bigint,lost_sync:bigint,bad_sections:bigint,units:{UNITS}>"
+    names = ("pid", "pts", "offset", "size", "random_access", "damaged")
 
-    @F.udf(kind)
-    def run(media):
-        s = read_stream(media)
-        return s.packets, s.programs, s.streams, s.jumps, s.repeats, s.lost_sync, s.bad_sections, s.units
+    @F.pandas_udf(kind)
+    def run(media: pd.Series) -> pd.DataFrame:
+        rows = []
+        for m in media:
+            s = read_stream(m)
+            rows.append((s.packets, s.programs, s.streams, s.errors, s.jumps, s.repeats, s.lost_sync, s.bad_sections, [dict(zip(names, u, strict=True)) for u in s.units]))
+        return pd.DataFrame(rows, columns=["packets", "programs", "streams", "errors", "jumps", "repeats", "lost_sync", "bad_sections", "units"])
 
     return df.withColumn(index_col, run(F.col(media_col)))
 
