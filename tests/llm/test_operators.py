@@ -490,6 +490,31 @@ def test_lines_against_sql(spark):
     left = {r.doc_id: r.text for r in line_dedup.remove_repeats(pair).collect()}
     assert left == {0: f"one line\n{passage}\nlast", 1: "other", 2: "one line\nother"}
     assert line_dedup.remove_repeats(df.limit(0)).count() == 0
+    named = pair.withColumns({c: F.lit(7) for c in ("removed_chunks", "gone_chunks", "text_version", "id", "pos", "c")})
+    kept = {r.doc_id: r for r in line_dedup.remove_repeats(named, count_col="n").collect()}
+    assert {k: r.text for k, r in kept.items()} == left and kept[1].n == 1 and all(r.removed_chunks == r.pos == r.gone_chunks == 7 for r in kept.values())
+
+
+def test_passages_of_lines_of_any_length(spark):
+    """Passages of over 50 words, each in two texts: of lines of 12 words or more all goes, of shorter ones what is between boundaries."""
+    rng, texts, of = random.Random(21), [], {}
+    line = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n))
+    for words in (5, 8, 12, 20, 30, 49, 60):
+        for lines in range(max(1, -(-51 // words)), 13):
+            passage = [line(words) for _ in range(lines)]
+            for _ in range(2):
+                around = [line(rng.randrange(1, 30)) for _ in range(6)]
+                of[len(texts)] = (words, passage, around)
+                texts.append("\n".join([*around[:3], *passage, *around[3:]]))
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.remove_repeats(docs(spark, texts)).collect()}
+    had = gone = 0
+    for k, (words, passage, around) in of.items():
+        assert [x for x in out[k] if x not in passage] == around  # nothing else goes
+        left = [x for x in out[k] if x in passage]
+        assert left == passage if k % 2 == 0 else words < 12 or left == []
+        if k % 2 and words < 12:
+            had, gone = had + len(passage), gone + len(passage) - len(left)
+    assert gone > 0.6 * had
 
 
 # --- 9: chat ---
