@@ -1,8 +1,12 @@
 """The corpus pipeline: documents in, token ids of the documents that stay out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last
-return the columns of documents. Rows that share a doc_id are one document and stay or go
-together; a row without doc_id can't be named by a decision and stays.
+return the columns of documents, whatever their names.
+
+Defined results: rows that share a doc_id are one document for near_dedup and decontaminate, and stay or go
+together (near_dedup asks whether any of their texts is another document's); toxicity and line_dedup judge each row's text; a row
+without doc_id can't be named by a decision of those two and stays; null and empty texts stay; very long texts are worked on
+whole; empty tables give no rows, and without labels or benchmark items nothing is taken out by them.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import Scratch, read, without
+from zephyrlake.llm.common import Scratch, free_name, read, without
 from zephyrlake.llm.decontaminate import find_items
 from zephyrlake.llm.line_dedup import remove_repeats
 from zephyrlake.llm.near_dedup import NearDup, near_duplicates
@@ -26,9 +30,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines; those go that had text and are left with none."""
-    left = remove_repeats(docs).filter((F.col("removed_chunks") == 0) | (F.trim("text") != ""))
-    changed = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return left.select(*[changed if c == "n_chars" else F.col(c) for c in docs.columns])
+    n = free_name(docs, "removed_chunks")
+    left = remove_repeats(docs, count_col=n).filter((F.col(n) == 0) | (F.trim("text") != ""))
+    changed = F.when(F.col(n) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if "n_chars" in docs.columns else None
+    return left.select(*[changed if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
