@@ -77,12 +77,12 @@ def _under(run_key: np.ndarray, nth, bar: int) -> np.ndarray:
 
 
 class Pieces:
-    """A model's pieces, the agenda and the way back."""
+    """A model's pieces, the agenda and the way back. model: the model file's bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         self.bytes_ = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -281,8 +281,18 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
+def of_model(model: bytes) -> Pieces:
+    """Of a model's bytes, once in a Python worker."""
+    return Pieces(model)
+
+
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    return of_model(read_model(path))
 
 
 class Encoder:
@@ -346,11 +356,14 @@ def _ids_column(ids: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, cfg: Dropout | None = None) -> DataFrame:
-    """(id, ids, n_pieces, lossless) of each row's whole text; lossless: decoding the ids gave the text back."""
-    cfg = cfg or Dropout()
+    """(id, ids, n_pieces, lossless) of each row's whole text; lossless: decoding the ids gave the text back.
+
+    The driver reads the model file, and executors get its bytes.
+    """
+    cfg, held = cfg or Dropout(), docs.sparkSession.sparkContext.broadcast(read_model(model))  # a vocabulary: a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model)
+        pieces = of_model(held.value)
         e = Encoder(pieces, cfg)
         for b in batches:
             for at in range(0, len(b), 256):  # ids of few rows at a time
@@ -366,10 +379,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """rows with text_col: the text of each row's ids."""
+    held = rows.sparkSession.sparkContext.broadcast(read_model(model))
 
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
-        pieces = load(model)
+        pieces = of_model(held.value)
         return ids.map(lambda x: pieces.decode(x) if x is not None else "")
 
     return rows.withColumn(text_col, run(F.col(ids_col)))
