@@ -158,6 +158,50 @@ def test_licenses_side_by_side():
     assert [h[:1] + h[3:5] for h in scan(text)] == [("MIT", 2, 6), ("MIT", 8, 12)]
 
 
+def common_words(a, b):
+    """The longest common subsequence: no alignment in order has more."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_planted_licenses_are_found():
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES, 0.8), random.Random(11)
+    names = sorted(licenses.TEMPLATES)
+    for _ in range(120):
+        text, plants = prose(rng.random(), rng.randrange(30)).split(), []
+        for name in [rng.choice(names) for _ in range(rng.randrange(5))]:
+            notice = licenses.words(licenses.TEMPLATES[name])
+            some = [w for w in notice if len(notice) < 25 or rng.random() > 0.06]
+            plants.append((name, len(text), len(some)))
+            text += [*some, *prose(rng.random(), rng.choice([1, 2, 5, 40, 400])).split()]
+        found = scanner.scan(" ".join(text))
+        for name, at, n in plants:
+            near = [(k, f) for x, _, k, f, l, _ in found if x == name and f < at + n and l >= at]
+            assert len(near) == 1 and near[0][0] >= 0.97 * n, (name, at, n, near)  # a stray word before it may align as well
+        for name, share, n, first, last, _ in found:
+            t = licenses.words(licenses.TEMPLATES[name])
+            assert n <= common_words(t, text[first : last + 1]) and share == n / len(t) >= 0.8
+            assert any(first < at + k and last >= at for _, at, k in plants)
+
+
+def test_whole_licenses_from_files(spark, tmp_path):
+    rng = random.Random(5)
+    own = {"GPL-like": prose(71, 2500, 900), "MPL-like": prose(72, 1200, 900)}
+    for name, text in own.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    templates = licenses.load_templates(spark, str(tmp_path))
+    assert templates == own
+    cut = " ".join(w for w in own["GPL-like"].split() if rng.random() > 0.05)
+    texts = [f"{prose(1, 50)} {own['MPL-like']} {prose(2, 9)} {cut}", prose(3, 3000, 900), *ODD]
+    found = licenses.find_licenses(docs(spark, texts), templates=templates).collect()
+    assert [(r.doc_id, r.license_id) for r in found] == [(0, "GPL-like"), (0, "MPL-like")] and 0.9 < found[0].coverage < 1 == found[1].coverage
+    assert licenses.find_licenses(docs(spark, texts).limit(0)).count() == 0
+
+
 def test_rising_against_brute_force():
     rng = random.Random(4)
     for _ in range(200):
@@ -623,7 +667,7 @@ def test_runs_and_parts_of_texts():
 
     p, rng = pieces.load(pieces.MODEL), random.Random(2)
     for cut_spaces, cut_lines, pattern in ((True, True, p.runs.pattern), (True, False, r" +[^ ]*|[^ ]+"), (False, False, r"[\s\S]+")):
-        q = pieces.Pieces(pieces.MODEL)
+        q = pieces.Pieces(pieces.read_model(pieces.MODEL))
         q.cut_spaces, q.cut_lines = cut_spaces, cut_lines
         for _ in range(200):
             text = " " + "".join(rng.choice("ab \n\t▁é") for _ in range(rng.randrange(12)))

@@ -2,7 +2,7 @@
 
 Words are runs of letters, digits and +, with dots inside, lower case. A template is found where
 at least `coverage` of its words align, in order, with words of a stretch of text. As at most m of
-a template's words may be missing, any m + 1 of them hold one that is there: texts without the template's longest
+a template's words may be missing, any m + 1 of them hold one that is there: texts without one of the template's longest
 m + 1 words are passed over. Around each place of those words, what is before it in the text and in the template is
 aligned, and what is after it, up to several distances: the template's own, also with m words more, to the
 next place of the same word, and twice the template's length. So words that occur again in a notice nearby hide none. Stretches of
@@ -13,8 +13,11 @@ Patience alignment of a stretch: equal words at both ends are matched; words tha
 the stretch and once in the template are anchors if they lie on the longest increasing subsequence of
 places; each gap between anchors is aligned in the same way; a gap without anchors is left unmatched.
 
-Defined results: null and empty texts hold no license; repeated rows give repeated results; a null id stays null;
-a template with several places in a text gives a row for each. Other columns are not read.
+Templates are notices and whole licenses; `load_templates` reads more from text files.
+
+Defined results: null and empty texts hold no license; repeated rows give repeated results; a null id stays null; an empty table
+gives no rows; a very long text is scanned whole; a template with several places in a text gives a row for each, and so does
+a notice that is part of a whole license found there. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from zephyrlake.llm.common import read
 
 _WORD = re.compile(r"[^\W_+]+(?:\.[^\W_]+)*\+*")
 
-#: Notices of public licenses, by name.
+#: Notices and whole texts of public licenses, by name.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -45,9 +48,41 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+        "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+        "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        'permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER "
+        "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MIT-text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software '
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
+        'or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
 }
 
 
+def load_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of text files, each named as its file: a handful of license texts, read through Spark."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.txt)?$", 1).alias("name"), "value")
+    return {r["name"]: r["value"] for r in files.collect()}
+
+
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
@@ -125,14 +160,15 @@ class Scanner:
             # the longest words, each as often as it occurs, so that missing + 1 of the template's words are meant
             order = sorted(range(len(t)), key=lambda k: (-len(t[k]), k))[: missing + 1]
             self.templates.append((name, t, frozenset(t[k] for k in order), missing))
+        self.marks = frozenset().union(*[marks for _, _, marks, _ in self.templates])
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int, int]]:
         """(name, coverage, matched words, first and last place in the text's words, words in the text)."""
-        low, out, tokens = (text or "").lower(), [], None
-        for name, t, marks, missing in self.templates:
-            if not t or not any(m in low for m in marks):
+        out, tokens = [], words(text)
+        have = self.marks.intersection(tokens)
+        for name, t, marks, missing in self.templates if have else ():
+            if marks.isdisjoint(have):
                 continue
-            tokens = words(text) if tokens is None else tokens
             stretches: list[list[int]] = []
             for k, w in enumerate(tokens):
                 if w in marks:
