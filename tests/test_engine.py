@@ -5,6 +5,7 @@ import json
 import math
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,18 +216,23 @@ def test_baseline_end_to_end(spark, tmp_path):
     model, meta, registry = (str(tmp_path / x) for x in ("model", "meta.json", "registry.csv"))
     config = lineage.RunConfig("first try", model_params=small)
     doc = lineage.save_artifact(made["bundle"], model, meta, config=config, profile=profile, commit="abcdef0123", manifest_sha="a" * 64, at="2024-05-01T10:00:00")
-    assert doc["run_id"].startswith("20240501T100000-first-try-")
-    lineage.append_run(registry, lineage.registry_entry(doc, model, meta))
+    assert doc["run"]["id"].startswith("20240501T100000-first-try-")
+    book = lineage.Registry(spark, registry)
+    book.append(lineage.registry_entry(spark, doc, model, meta))
     with pytest.raises(ContractError, match="registered"):
-        lineage.append_run(registry, lineage.registry_entry(doc, model, meta))
-    bundle, _ = lineage.load_registered(model, meta, registry)
+        book.append(lineage.registry_entry(spark, doc, model, meta))
+    with pytest.raises(ContractError, match="exists"):
+        lineage.save_artifact(made["bundle"], model, meta, config=config, profile=profile, commit="abcdef0123", manifest_sha="a" * 64)
+    bundle, _ = lineage.load_registered(spark, model, meta, registry)
     rows, _ = baseline.inference_features(sample, baseline.baseline_weather(ldaps, gfs))
     assert submission.canonical_bytes(baseline.build_submission(sample, baseline.predict(bundle, rows, ["forecast_id"]))) == submission.canonical_bytes(sub)
 
     out = str(tmp_path / "sub.csv")
-    record = lambda sha: lineage.record_submission(registry, doc["run_id"], "sub.csv", sha, 20, "utf-8-sig")
+    record = lambda sha: book.record_submission(doc["run"]["id"], "sub.csv", sha, 20, "utf-8-sig")
     sha = submission.write_validated(sub, sample, out, rows=20, after=record)
-    assert lineage.find_run(registry, doc["run_id"])["submission_sha256"] == sha and lineage.read_registry(spark, registry).count() == 1
+    assert sha == submission.sha256(open(out, "rb").read()) and sorted(os.listdir(tmp_path)) == ["meta.json", "model", "registry.csv", "sub.csv"]
+    row = book.frame().first()
+    assert (row.csv_hash, row.csv_rows, row.state, row.seed, row.chosen) == (sha, 20, "submission_validated", 42, False)
     with pytest.raises(ContractError, match="exists"):
         submission.write_validated(sub, sample, out, rows=20)
     other = str(tmp_path / "other.csv")
@@ -235,11 +241,17 @@ def test_baseline_end_to_end(spark, tmp_path):
     assert not os.path.exists(other)
 
     tampered = json.loads(open(meta).read())
-    tampered["seed"] = 1
+    tampered["config"]["seed"] = 1
     open(meta, "w").write(lineage.canonical_json(tampered) + "\n")
-    with pytest.raises(ContractError):
-        lineage.load_registered(model, meta, registry)
-    assert lineage.ledger_frame(spark, lineage.ledger_entry(config, sub, "abcdef0123", "a" * 64, at="2024-05-01")).columns == lineage.LEDGER_COLUMNS
+    with pytest.raises(ContractError, match="document's hash"):
+        lineage.load_registered(spark, model, meta, registry)
+    with pytest.raises(ContractError, match="hash of config"):
+        lineage.load_artifact(spark, model, meta)
+    open(f"{model}/bundle.json", "a").write(" ")
+    with pytest.raises(ContractError, match="model's hash"):
+        lineage.load_registered(spark, model, meta, registry)
+    row = lineage.ledger_frame(spark, [lineage.ledger_entry(config, sub, "abcdef0123", "a" * 64, at="2024-05-01", board_score=0.5)]).first()
+    assert (row.csv_rows, row.board_score, row.csv_hash, row.seed) == (20, 0.5, sha, 42)
     assert lineage.verify_repeats(lambda: sub)["is_reproducible"]
 
 
@@ -320,10 +332,37 @@ def test_layout_does_not_matter(spark):
     assert audit.fixed_sample(df, [schema.GRID, schema.FORECAST], 5).collect() == audit.fixed_sample(df.repartition(5), [schema.GRID, schema.FORECAST], 5).collect()
 
 
-def test_command_line(capsys):
+def test_command_line(spark, tmp_path, capsys):
     assert runs.main(["train"]) == 0 and "--run" in capsys.readouterr().out
     with pytest.raises(ContractError, match="missing"):
         runs.main(["infer", "--run"])
+    labels, ldaps, gfs = _training(spark)
+    files_ = {"labels": labels, "ldaps": ldaps, "gfs": gfs}
+    for name, df in files_.items():
+        df.toPandas().to_csv(tmp_path / f"{name}.csv", index=False, encoding="utf-8-sig", date_format="%Y-%m-%d %H:%M:%S")
+    pd.DataFrame([(f"forecast_{k:04d}", f"{h:%Y-%m-%d %H:%M:%S}", 0.0, 0.0, 0.0) for k, h in enumerate(hours(20), 1)], columns=schema.SUBMISSION_COLUMNS).to_csv(tmp_path / "sample.csv", index=False)
+    (tmp_path / "MANIFEST.md").write_text("| path |\n")
+    at = lambda n: str(tmp_path / n)
+    weather = ["--ldaps", at("ldaps.csv"), "--gfs", at("gfs.csv"), "--model", at("model"), "--registry", at("runs.csv")]
+    command = ["train", "--run", "--labels", at("labels.csv"), *weather, "--data-manifest", at("MANIFEST.md"), "--trees", "3", "--commit", "abc", "--created-at", "2024-05-01T10:00:00"]
+    with pytest.raises(ContractError, match="together"):
+        runs.main([*command, "--total-score", "0.5"])
+    with pytest.raises(ContractError, match="different paths"):
+        runs.main([*command, "--metadata", at("runs.csv")])
+    assert not os.path.exists(at("model"))
+    assert runs.main([*command, "--split", "2024", "--holdout-from", "2024-01-01 01:00:00", "--total-score", "0.5", "--one-minus-nmae", "0.8", "--ficr", "0.2"]) == 0
+    row = lineage.Registry(spark, at("runs.csv")).frame().first()
+    raw = open(at("model.json"), "rb").read()
+    assert (row.state, row.total_score, row.split, row.holdout_from, row.fit_from, row.created) == ("trained", 0.5, "2024", "2024-01-01 01:00:00", None, "2024-05-01T10:00:00+09:00")
+    assert row.document_hash == submission.sha256(raw) and row.manifest_hash == submission.sha256(b"| path |\n") and row.model_hash == json.loads(raw)["model"]["hash"]
+    command = ["infer", "--run", "--sample", at("sample.csv"), *weather, "--rows", "20", "--out"]
+    with pytest.raises(ContractError, match="different paths"):
+        runs.main([*command, at("runs.csv")])
+    assert runs.main([*command, at("sub.csv")]) == 0
+    row = lineage.Registry(spark, at("runs.csv")).frame().first()
+    assert (row.state, row.csv, row.csv_rows, row.csv_hash) == ("submission_validated", "sub.csv", 20, submission.sha256(open(at("sub.csv"), "rb").read()))
+    with pytest.raises(ContractError, match="exists"):
+        runs.main([*command, at("sub.csv")])
 
 
 def test_stream_of_blocks(spark, tmp_path):

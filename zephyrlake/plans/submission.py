@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrlake.operators.contracts import require
+from zephyrlake.plans.store import Store, sha256
 from zephyrlake.schema import CAPACITY, FORECAST, SUBMISSION_COLUMNS, SUBMISSION_ROWS, TARGETS
 
 ENCODINGS = ("utf-8", "utf-8-sig")
@@ -84,34 +83,15 @@ def canonical_bytes(df: DataFrame, encoding: str = "utf-8-sig") -> bytes:
     return "".join(",".join(map(quote, line)) + "\n" for line in [columns, *[[cell(v) for v in r] for r in rows]]).encode(encoding)
 
 
-def sha256(data: bytes | str) -> str:
-    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
-
-
-def write_new(path: str, data: bytes) -> None:
-    """A file that wasn't there, whole or not at all."""
-    require(not os.path.exists(path), f"{path} exists")
-    part = f"{path}.part-{os.getpid()}"
-    try:
-        with open(part, "xb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.link(part, path)
-    finally:
-        if os.path.exists(part):
-            os.unlink(part)
-
-
 def write_validated(submission: DataFrame, sample: DataFrame, path: str, encoding: str = "utf-8-sig", rows: int = SUBMISSION_ROWS, after=None) -> str:
     """Checks, writes and returns the file's hash; after(hash) may record it, and if that fails the file goes."""
     require_valid(submission, sample, rows)
-    data = canonical_bytes(submission, encoding)
-    write_new(path, data)
+    data, store = canonical_bytes(submission, encoding), Store(submission.sparkSession)
+    store.create(path, data)
     try:
         if after is not None:
             after(sha256(data))
     except BaseException:
-        os.unlink(path)
+        store.remove(path)
         raise
     return sha256(data)
