@@ -7,19 +7,19 @@ first by pi[(bin + k) mod D], with the least order in it. All coordinates of a b
 one contiguous slice of pi, and sets of more shingles than there are bins are told apart by the orders.
 
 Candidates. Bands of `rows` coordinates; their number follows from the threshold so that a
-pair at the threshold shares fewer than two bands with a chance under `miss`. Rows with equal word sequences
+pair at the threshold is missed with a chance under `miss`. Rows with equal word sequences
 are one class before banding, so exact copies never meet in a bucket. Classes are keyed by a 128-bit digest of their words, and
 by a number made from it that is checked to be unique: ids may repeat with other texts.
 
 Verification, without all pairs of a bucket:
 1. Star: every member of a bucket is compared with the bucket's smallest class on full
    shingle sets; confirmed links give components.
-2. Blocks: members of buckets that still span several components are grouped by the pairs of such buckets that they share (a
-   pair of texts to be found shares two). In a group that spans components, the members outside its commonest component are compared
+2. Blocks: in a bucket that still spans several components, the members outside its commonest component are compared
    with each other and with that component, block by block: a block is bounded in rows and in shingles, and a task counts common
    shingles of two blocks through an index; pairs already in one component are skipped. Only one link per
-   member and component leaves the task. No bucket or group is capped: larger ones make more block pairs. Members of the commonest
-   component are sent once for each block of others, so a group of near copies with few others costs in proportion to its size.
+   member and component leaves the task. No bucket is capped: larger ones make more block pairs. Members of the commonest
+   component are sent once for each block of others, so a bucket of near copies with few others costs in proportion to its size.
+   Buckets with the same members count once.
 
 Shingle sets are sets of 64-bit hashes (a wrong set size needs a collision inside one pair).
 
@@ -32,6 +32,7 @@ counts whole. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -63,10 +64,7 @@ class NearDup:
 
     @property
     def bands(self) -> int:
-        p, n = (self.num / self.den) ** self.rows, 2
-        while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > self.miss:
-            n += 1
-        return n
+        return max(1, math.ceil(math.log(self.miss) / math.log(1 - (self.num / self.den) ** self.rows)))
 
     def linked(self, common, n, m):
         return (common > 0) & (self.den * common >= self.num * (n + m - common))
@@ -282,32 +280,26 @@ def numbered(classes: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(f"classes-{salt - 1}")
 
 
-def _groups(member: DataFrame, first: DataFrame) -> DataFrame:
-    """(g1, g2, class, comp): members of buckets that the stars leave open, by the pairs of such buckets that they share; only groups that
-    span components, and of groups with the same members one."""
+def _open(member: DataFrame, first: DataFrame) -> DataFrame:
+    """(bucket, class, comp): members of the buckets of three or more that the stars leave spanning components; of buckets with the same members one."""
     labelled = member.join(first.withColumnRenamed("v", "class"), "class", "left").select("bucket", "class", F.coalesce("c", "class").alias("comp"))
-    open_ = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("m > 2 and lo < hi").select("bucket")
-    own = labelled.join(open_, "bucket").groupBy("class", "comp").agg(F.array_sort(F.collect_list("bucket")).alias("own"))  # at most a text's bands
-    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(x.alias("g1"), y.alias("g2")))))
-    rows = own.select("class", "comp", F.explode(pairs).alias("g")).select("g.*", "class", "comp")
     same = [F.sum(F.xxhash64("class", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
-    spans = rows.groupBy("g1", "g2").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a"), F.max("class").alias("z"), *same)
-    spans = spans.filter("lo < hi").groupBy("m", "a", "z", "s1", "s2").agg(F.min(F.struct("g1", "g2")).alias("g")).select("g.*")
-    return rows.join(spans, ["g1", "g2"])
+    spans = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a"), F.max("class").alias("z"), *same)
+    spans = spans.filter("m > 2 and lo < hi").groupBy("m", "a", "z", "s1", "s2").agg(F.min("bucket").alias("bucket"))
+    return labelled.join(spans.select("bucket"), "bucket")
 
 
 def _blocks(rows: DataFrame, cfg: NearDup) -> DataFrame:
-    """(g1, g2, i, j, block, class, comp): the block pairs of each group; rows has g1, g2, class, comp, n (shingles)."""
-    g = ["g1", "g2"]
-    by_comp = rows.groupBy(*g, "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    """(bucket, i, j, block, class, comp): the block pairs of each bucket; rows has bucket, class, comp, n (shingles)."""
+    by_comp = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     blocks = lambda m, n: F.greatest(F.ceil(m / cfg.block_rows), F.ceil(n / cfg.block)).cast("int")
-    totals = by_comp.groupBy(*g).agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", (-F.col("comp")).alias("c"), "n")).alias("most"))
-    totals = totals.select(*g, (-F.col("most.c")).alias("base"), blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.m"), F.col("most.n")).alias("own"))
-    dealt = rows.join(totals, g).withColumn("is_base", F.col("comp") == F.col("base"))
+    totals = by_comp.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", (-F.col("comp")).alias("c"), "n")).alias("most"))
+    totals = totals.select("bucket", (-F.col("most.c")).alias("base"), blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.m"), F.col("most.n")).alias("own"))
+    dealt = rows.join(totals, "bucket").withColumn("is_base", F.col("comp") == F.col("base"))
     block = F.when(F.col("is_base"), F.col("others") + F.pmod(F.xxhash64("class"), F.col("own"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others")))
     last = F.when(F.col("is_base"), F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
-    dealt = dealt.select(*g, "class", "comp", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
-    return dealt.select(*g, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "comp")
+    dealt = dealt.select("bucket", "class", "comp", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    return dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "class", "comp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearDup | None = None) -> DataFrame:
@@ -340,9 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = scratch.write(sides.select("a", "b", "text_a", "text_b").mapInPandas(_verify(cfg), "a long, b long"), "stars")
     first = components(stars, scratch, "first")
 
-    groups = scratch.write(_groups(member, first).join(ends.select("class", "n"), "class"), "groups")
-    dealt = _blocks(groups, cfg).join(texts.hint("merge"), "class")
-    links = dealt.select("g1", "g2", "i", "j", "block", "comp", "text").groupBy("g1", "g2", "i", "j").applyInPandas(_block_links(cfg), "a long, b long")
+    left = scratch.write(_open(member, first).join(ends.select("class", "n"), "class"), "open")
+    dealt = _blocks(left, cfg).join(texts.hint("merge"), "class")
+    links = dealt.select("bucket", "i", "j", "block", "comp", "text").groupBy("bucket", "i", "j").applyInPandas(_block_links(cfg), "a long, b long")
     links = scratch.write(links.distinct(), "links")
     second = components(links, scratch, "second")
 
@@ -353,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = final.join(smallest, "comp").select("class", "component")
     final = classes.select("digest", "class", "least").join(final, "class", "left").select("digest", "least", F.coalesce("component", "least").alias("component"))
     final = scratch.write(signed.select("id", "n", "digest").join(final, "digest", "left"), "result")
-    for name in ("signed", "member", "pairs", "ends", "texts", "stars", "groups", "links", "final"):
+    for name in ("signed", "member", "pairs", "ends", "texts", "stars", "open", "links", "final"):
         scratch.drop(name)
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
 
