@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 SQL = {k: v for k, v in entry.oracle_sql().items()}
-CORE = sorted(entry.core.QUERIES)
+CORE = sorted(entry.catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")

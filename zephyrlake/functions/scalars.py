@@ -119,3 +119,18 @@ def circular_degrees(mean_sin: Column, mean_cos: Column) -> Column:
 def direction_bin(degrees: Column, bins: int = 16) -> Column:
     width = 360.0 / bins
     return F.pmod(F.floor((degrees + width / 2) / width).cast("int"), F.lit(bins))
+
+
+def speed_powers(v: Column) -> dict[str, Column]:
+    """Squared and cubed speed."""
+    return {"v2": v * v, "v3": v * v * v}
+
+
+#: Cut-in, rated and cut-out speed in m/s of the turbines of each group.
+POWER_SPEEDS = {"group_1": (3.0, 12.0, 22.5), "group_2": (3.0, 12.0, 22.5), "group_3": (3.0, 12.5, 22.0)}
+
+
+def speed_margins(v: Column, group: str) -> dict[str, Column]:
+    """How far a speed is over cut-in, over rated, and under cut-out; and whether turbines stand still for either."""
+    low, rated, high = POWER_SPEEDS[group]
+    return {"cut_in_margin": v - low, "rated_margin": v - rated, "cut_out_margin": high - v, "stands_still": (v < low) | (v >= high)}

@@ -103,9 +103,9 @@ def resample(df: DataFrame, time: str, value: str, unit: str = "DAY") -> DataFra
     return axis.join(means, "bucket", "left").select("bucket", "mean", F.coalesce("rows", F.lit(0)).alias("rows"), "missing_rate")
 
 
-def forward_fill(df: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
-    """Gaps take the last value before them."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def forward_fill(df: DataFrame, column: str, order: str, by: list[str]) -> DataFrame:
+    """Gaps take the last value before them within a group. by keeps groups apart, so none needs a single task."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
 
 
@@ -114,9 +114,9 @@ def flag_copies(df: DataFrame, keys: list[str], name: str = "is_copy") -> DataFr
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)) > 1)
 
 
-def every_nth(df: DataFrame, order: str, n: int, by: list[str] | None = None) -> DataFrame:
-    """Rows 0, n, 2n, ... of the order; a systematic sample."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
+def every_nth(df: DataFrame, order: str, n: int, by: list[str]) -> DataFrame:
+    """Rows 0, n, 2n, ... of a group's order; a systematic sample. by keeps groups apart, so none needs a single task."""
+    w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("_place", F.row_number().over(w) - 1).filter(F.col("_place") % n == 0).drop("_place")
 
 
@@ -169,3 +169,17 @@ def power_curve(df: DataFrame, speed: str, power: str, width: float = 0.5) -> Da
 def null_out(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Values outside [low, high] become missing and their rows go."""
     return df.withColumn(column, F.when(F.col(column).between(low, high), F.col(column))).filter(F.col(column).isNotNull())
+
+
+def column_inventory(df: DataFrame) -> DataFrame:
+    """(column_name, dtype, missing, distinct_values) of each column: the template of a column inventory, in one pass."""
+    df = nan_to_null(df)
+    r = df.agg(*[x for k, c in enumerate(df.columns) for x in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{k}"))])
+    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{k}").alias("missing"), F.col(f"d{k}").alias("distinct_values")) for k, f in enumerate(df.schema)]
+    return r.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def file_inventory(df: DataFrame, name: str, time: str, keys: list[str]) -> DataFrame:
+    """(name, rows, columns, first_time, last_time, keys, copies): a table's line in a file inventory."""
+    r = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(time).alias("a"), F.max(time).alias("b"))
+    return r.agg(F.lit(name).alias("name"), F.sum("n").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.min("a").alias("first_time"), F.max("b").alias("last_time"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("copies"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ from zephyrlake.functions.scalars import calendar
 from zephyrlake.operators.contracts import check_columns, check_unique, require
 from zephyrlake.operators.grid import mean_weather, merge_sources
 from zephyrlake.operators.impute import MedianImputer, fit_median_imputer
+from zephyrlake.operators.scoring import target_scores
 from zephyrlake.schema import CAPACITY, FORECAST, LABEL_TIME, TARGETS
 
 #: The forest's parameters.
 FOREST = {"numTrees": 120, "maxDepth": 14, "minInstancesPerNode": 8, "featureSubsetStrategy": "sqrt", "seed": 42, "maxBins": 128, "bootstrap": True}
+BOOSTED = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 8, "featureSubsetStrategy": "onethird", "seed": 42, "maxBins": 128}
+#: How an executor's memory and the driver's broadcasts are spent on deep forests; results don't depend on it.
+FITTING = {"maxMemoryInMB": 512, "cacheNodeIds": True}
 CALENDAR = ("month", "day", "hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos")
 
 
@@ -59,31 +65,44 @@ def model_matrix(labels: DataFrame, features: DataFrame, key: str = FORECAST) ->
 @dataclass
 class Bundle:
     imputer: MedianImputer
-    models: dict[str, RandomForestRegressionModel]
+    models: dict[str, RandomForestRegressionModel | GBTRegressionModel]
     features: tuple[str, ...]
     train_rows: dict[str, int] = field(default_factory=dict)
 
 
-def fit_forests(rows: DataFrame, features: list[str], params: dict | None = None, key: str = FORECAST) -> Bundle:
-    """One forest for each target on its rows with an answer. Gaps take medians of all training rows.
+def fit_forests(rows: DataFrame, features: list[str], params: dict | None = None, key: str = FORECAST, targets: tuple[str, ...] = TARGETS, boosted: bool = False) -> Bundle:
+    """One forest (or a row of boosted trees) for each target on its rows with an answer. Gaps take medians of all training rows.
 
     Rows are dealt and sorted by the key first: bagging depends on their layout, so equal
-    input and partition count give equal forests.
+    input and partition count give equal forests. Targets are fitted side by side.
     """
     imputer = fit_median_imputer(rows, features)
-    filled = imputer.transform(rows.select(key, *TARGETS, *features), keep=(key, *TARGETS))
-    matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *TARGETS, "x")
+    filled = imputer.transform(rows.select(key, *targets, *features), keep=(key, *targets))
+    matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x")
     matrix = matrix.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).persist()
-    models, counts = {}, {}
+    made = (lambda t: GBTRegressor(labelCol=t, **BOOSTED | FITTING | (params or {}))) if boosted else (lambda t: RandomForestRegressor(labelCol=t, **FOREST | FITTING | (params or {})))
+
+    def fit(t: str):
+        return made(t).setFeaturesCol("x").setPredictionCol("p").fit(matrix.filter(F.col(t).isNotNull()))
+
     try:
-        for t in TARGETS:
-            some = matrix.filter(F.col(t).isNotNull())
-            counts[t] = some.count()
-            require(counts[t] > 0, f"{t}: no rows with an answer")
-            models[t] = RandomForestRegressor(featuresCol="x", labelCol=t, predictionCol="p", **(FOREST | (params or {}))).fit(some)
+        answers = matrix.agg(*[F.count(t).alias(t) for t in targets]).first().asDict()
+        for t in targets:
+            require(answers[t] > 0, f"{t}: no rows with an answer")
+        with ThreadPoolExecutor(len(targets)) as pool:
+            models = dict(zip(targets, pool.map(fit, targets), strict=True))
     finally:
         matrix.unpersist()
-    return Bundle(imputer, models, tuple(features), counts)
+    return Bundle(imputer, models, tuple(features), answers)
+
+
+def blend(predictions: list[DataFrame], keys: list[str], weights: list[float] | None = None) -> DataFrame:
+    """Weighted means of several models' predictions by key; missing where a model has none."""
+    require(bool(predictions), "no predictions")
+    weights = [1.0 / len(predictions)] * len(predictions) if weights is None else weights
+    require(len(weights) == len(predictions) and abs(sum(weights) - 1.0) < 1e-9 and min(weights) >= 0, f"weights must be one for each model and sum to 1, got {weights}")
+    tagged = [p.select(*keys, *[(F.col(t) * w).alias(t) for t in TARGETS]) for p, w in zip(predictions, weights, strict=True)]
+    return reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*[F.when(F.count(t) == len(predictions), F.sum(t)).alias(t) for t in TARGETS])
 
 
 def predict(bundle: Bundle, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,16 +110,18 @@ def predict(bundle: Bundle, rows: DataFrame, keys: list[str]) -> DataFrame:
     check_columns(rows, [*keys, *bundle.features], "inference rows")
     filled = bundle.imputer.transform(rows.select(*keys, *bundle.features), keep=tuple(keys))
     out = VectorAssembler(inputCols=list(bundle.features), outputCol="x").transform(filled).select(*keys, "x")
-    for t in TARGETS:
+    for t in bundle.models:
         out = bundle.models[t].setPredictionCol(t).transform(out)
-    return out.select(*keys, *[clip(F.col(t), 0.0, CAPACITY[t]).alias(t) for t in TARGETS])
+    return out.select(*keys, *[clip(F.col(t), 0.0, CAPACITY[t]).alias(t) for t in bundle.models])
 
 
 def build_submission(sample: DataFrame, predictions: DataFrame) -> DataFrame:
     """The template's identity columns with the predicted targets; every row must have one prediction."""
     out = sample.select("forecast_id", FORECAST).join(predictions.select("forecast_id", *TARGETS), "forecast_id", "left")
-    a, b, gaps = sample.count(), out.count(), out.filter(F.greatest(*[F.col(t).isNull() for t in TARGETS])).count()
-    require(a == b and not gaps, f"predictions don't fit the template: {a} rows, {b} joined, {gaps} without prediction")
+    gap = F.greatest(*[F.col(t).isNull() for t in TARGETS])
+    by_id = out.groupBy("forecast_id").agg(F.count("*").alias("n"), F.count_if(gap).alias("gaps"))
+    r = by_id.agg(F.count_if(F.col("n") > 1).alias("twice"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps")).first()
+    require(not r["twice"] and not r["gaps"], f"predictions don't fit the template: {r['twice']} ids come twice, {r['gaps']} rows lack a prediction")
     return out
 
 
@@ -117,6 +138,19 @@ def feature_family(name: str) -> str:
     return "ldaps" if name.startswith("ldaps_") else "gfs" if name.startswith("gfs_") else "calendar"
 
 
+def run_feature_sets(rows: DataFrame, sets: dict[str, dict[str, list[str]]], fold: Fold, params: dict | None = None, time: str = FORECAST) -> DataFrame:
+    """(feature_set, target, features, fit_rows, nmae, ficr, valid_rows): a forest for each set and target of the fold, scored on the fold's holdout."""
+    made = []
+    for name, by_target in sets.items():
+        for t in fold.targets:
+            fit, held = fold.of(rows, t, time)
+            bundle = fit_forests(fit, by_target[t], params, time, (t,))
+            told = predict(bundle, held.select(time, F.col(t).alias("actual"), *by_target[t]), [time, "actual"])
+            scores = target_scores(told.select(F.lit(t).alias("target"), "actual", F.col(t).alias("forecast")))
+            made.append(scores.select(F.lit(name).alias("feature_set"), "target", F.lit(len(by_target[t])).alias("features"), F.lit(bundle.train_rows[t]).alias("fit_rows"), "nmae", "ficr", "valid_rows"))
+    return reduce(DataFrame.unionByName, made)
+
+
 def feature_sets(calendar_: list[str], mean: list[str], expanded: list[str], vector: list[str], pooled: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
     """Feature sets by name, each with its columns for every target; own-group sets take a target's own pooled columns."""
     def same(columns):
@@ -134,10 +168,36 @@ def feature_sets(calendar_: list[str], mean: list[str], expanded: list[str], vec
     return sets
 
 
-def seasonal_folds(year: int) -> list[tuple[str, str, str]]:
-    """(name, from, to): a year's quarters as holdouts; training is what lies before each."""
-    starts = [f"{year}-{m:02d}-01 00:00:00" for m in (1, 4, 7, 10)] + [f"{year + 1}-01-01 00:00:00"]
-    return [(f"F{k}", a, b) for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
+@dataclass(frozen=True)
+class Fold:
+    """Times from which and to which (not included) rows are fitted on and held out. later: targets whose answers begin later."""
+
+    name: str
+    fit: tuple[str, str]
+    holdout: tuple[str, str]
+    targets: tuple[str, ...] = TARGETS
+    later: tuple[tuple[str, str], ...] = ()
+
+    def of(self, df: DataFrame, target: str, time: str = FORECAST) -> tuple[DataFrame, DataFrame]:
+        """Rows to fit a target on, and its held-out rows, as range predicates that reach the scan."""
+        require(target in self.targets, f"fold {self.name} has no {target}")
+        start = dict(self.later).get(target, self.fit[0])
+        span = lambda a, b: df.filter((F.col(time) >= F.lit(a).cast("timestamp_ntz")) & (F.col(time) < F.lit(b).cast("timestamp_ntz")))
+        return span(start, self.fit[1]), span(*self.holdout)
+
+
+def seasonal_folds(year: int = 2024) -> list[Fold]:
+    """the whole year after the two before (the third target: after one); F1: its January to May; F2: June to October; F3: the third
+    target alone; F4: the year's second half after the first. Rows to fit on lie before those held out."""
+    at = lambda y, m: f"{y}-{m:02d}-01 00:00:00"
+    third = ((TARGETS[2], at(year - 1, 1)),)
+    return [
+        Fold("F0", (at(year - 2, 1), at(year, 1)), (at(year, 1), at(year + 1, 1)), later=third),
+        Fold("F1", (at(year - 2, 1), at(year, 1)), (at(year, 1), at(year, 6)), later=third),
+        Fold("F2", (at(year - 2, 1), at(year, 6)), (at(year, 6), at(year, 11)), later=third),
+        Fold("F3", (at(year - 1, 1), at(year, 1)), (at(year, 1), at(year + 1, 1)), targets=TARGETS[2:]),
+        Fold("F4", (at(year - 1, 1), at(year, 7)), (at(year, 7), at(year + 1, 1))),
+    ]
 
 
 def split_by_time(df: DataFrame, start: str, end: str, time: str = FORECAST) -> tuple[DataFrame, DataFrame]:

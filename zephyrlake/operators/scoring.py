@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +112,45 @@ def decide(deltas: DataFrame, name: str = "feature_set", both: bool = False) ->
 def bias(pairs: DataFrame) -> DataFrame:
     """Mean forecast error by target, to subtract in calibration."""
     return pairs.groupBy("target").agg(F.avg(F.col("forecast") - F.col("actual")).alias("bias"))
+
+
+def isotonic(pairs: DataFrame, bins: int = 1000) -> DataFrame:
+    """(target, forecast, fitted, rows): the rising step function that is closest to the actual values, at the middle of each bin of forecasts.
+
+    Pairs are first summed into bins of a capacity's share, so pooling of adjacent violators sees at most `bins` rows a target.
+    """
+    rows = pairs.filter(F.col("forecast").isNotNull() & F.col("actual").isNotNull())
+    width = capacity_of(F.col("target")) / bins
+    bin_ = F.least(F.greatest(F.floor(F.col("forecast") / width), F.lit(0)), F.lit(bins - 1))
+    sums = rows.groupBy("target", bin_.alias("bin"), width.alias("width")).agg(F.sum("actual").alias("total"), F.count("*").alias("n"))
+
+    def pool(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("bin")
+        blocks: list[list[float]] = []  # total, rows, bins
+        for total, n in zip(df.total, df.n, strict=True):
+            blocks.append([total, n, 1])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+                last = blocks.pop()
+                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+        fitted = [t / n for t, n, k in blocks for _ in range(int(k))]
+        return pd.DataFrame({"target": df.target, "forecast": (df.bin + 0.5) * df.width, "fitted": fitted, "rows": df.n})
+
+    return sums.groupBy("target").applyInPandas(pool, "target string, forecast double, fitted double, rows long")
+
+
+def threshold_shift(pairs: DataFrame, shifts: tuple[float, ...] = (-0.04, -0.03, -0.02, -0.01, 0.0, 0.01, 0.02, 0.03, 0.04)) -> DataFrame:
+    """(target, shift, ficr): the settled share of each target when its forecasts move by a share of capacity; the best shift calibrates
+    forecasts near the tight and the wide price step. One pass: the shifts are columns."""
+    cap, actual = capacity_of(F.col("target")), F.col("actual")
+    price = lambda s: unit_price(F.abs(clip(F.col("forecast") + s * cap, 0.0, cap) - actual) / cap)
+    valid = pairs.filter(actual >= cap * F.lit(VALID_SHARE))
+    sums = valid.groupBy("target").agg(*[ratio(F.sum(actual * price(s)), F.sum(actual * TIGHT_PRICE)).alias(f"s{k}") for k, s in enumerate(shifts)])
+    return sums.select("target", F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"s{k}").alias("ficr")) for k, s in enumerate(shifts)])).alias("x")).select("target", "x.*")
+
+
+def quantile_bands(pairs: DataFrame, shares: tuple[float, ...] = (0.1, 0.5, 0.9), bins: int = 10) -> DataFrame:
+    """(target, band, rows, q10, ...): exact quantiles of the actual values by band of forecasts, a share of capacity each."""
+    rows = pairs.filter(F.col("forecast").isNotNull() & F.col("actual").isNotNull())
+    band = F.least(F.greatest(F.floor(F.col("forecast") * bins / capacity_of(F.col("target"))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    made = [F.percentile(F.col("actual"), q).alias(f"q{round(100 * q):02d}") for q in shares]
+    return rows.groupBy("target", band.alias("band")).agg(F.count("*").alias("rows"), *made)

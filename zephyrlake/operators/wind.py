@@ -39,6 +39,14 @@ def check_pairs(df: DataFrame, pairs: tuple[WindPair, ...]) -> None:
     require(not any(infinite.values()), f"components hold infinities: { {c: n for c, n in infinite.items() if n} }")
 
 
+def find_pairs(columns: list[str], known: tuple[WindPair, ...] = ()) -> tuple[WindPair, ...]:
+    """Pairs by name, besides the known ones: columns that differ only in a final u and v, such as those of pressure levels aloft. A pair is
+    named by what they share."""
+    taken = {c for p in known for c in (p.u, p.v)}
+    names = lambda c: re.sub(r"[^a-z0-9]+", "_", c[:-1].lower()).strip("_")
+    return tuple(WindPair(names(c), c, f"{c[:-1]}v") for c in columns if c.endswith("u") and f"{c[:-1]}v" in columns and names(c) and c not in taken)
+
+
 def wind_vectors(df: DataFrame, source: str, pairs: tuple[WindPair, ...] | None = None, calm: float = CALM_SPEED, strict: bool = True) -> DataFrame:
     """df with three columns for each pair after all others: speed, and sine and cosine of the direction it comes from.
 

@@ -6,7 +6,7 @@ Doubles are rounded to nine places and counts are BIGINT on both sides; missing
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,40 +16,10 @@ from zephyrlake.functions import scalars
 from zephyrlake.functions.nulls import clip
 from zephyrlake.operators import audit, baseline, contracts, grid, impute, pooling, scoring, wind
 from zephyrlake.plans import fixtures as fx
+from zephyrlake.plans.catalog import ORACLE, QUERIES, query, r
 from zephyrlake.plans.submission import violations
 from zephyrlake.schema import AVAILABLE, CAPACITY, FORECAST, GRID, TARGETS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded (and never -0.0), integers as BIGINT."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 9) + F.lit(0.0)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-def r(x: str) -> str:
-    return f"round({x}, 9) + 0e0"
-
-
 G16, G9, LAB = f"WITH {fx.grid_sql(16)}", f"WITH {fx.grid_sql(9)}", f"WITH {fx.labels_sql()}"
 PAIRS = f"WITH {fx.labels_sql()}, {fx.predictions_sql()}, {fx.long_sql()}"
 WGRID = f"WITH {fx.grid_sql(16)}, {fx.turbines_sql()}"
@@ -221,13 +191,31 @@ def _(s, d):
     return both.groupBy("split").agg(F.count("*").alias("rows"), F.count("kpx_group_3").alias("answers"))
 
 
-@query("seasonal_folds", LAB + " SELECT 'F' || (quarter(kst_dtm) - 1) AS fold, count(*) AS rows FROM labels WHERE year(kst_dtm) = 2024 GROUP BY 1")
+#: Three years of answers: the hours of the labels, stretched. Folds as the specification has them, fitted on what lies before.
+_YEARS = LAB + ", n AS (SELECT count(*) AS n FROM labels), y AS (SELECT TIMESTAMP '2022-01-01 01:00:00' + to_hours(f * (26304 // n)) AS t, kpx_group_1, kpx_group_3 FROM labels, n)"
+
+
+@query(
+    "seasonal_folds",
+    _YEARS + """, s(fold, target, a, b, c, d) AS (VALUES
+      ('F0', 'kpx_group_1', '2022-01-01', '2024-01-01', '2024-01-01', '2025-01-01'), ('F0', 'kpx_group_3', '2023-01-01', '2024-01-01', '2024-01-01', '2025-01-01'),
+      ('F1', 'kpx_group_1', '2022-01-01', '2024-01-01', '2024-01-01', '2024-06-01'), ('F1', 'kpx_group_3', '2023-01-01', '2024-01-01', '2024-01-01', '2024-06-01'),
+      ('F2', 'kpx_group_1', '2022-01-01', '2024-06-01', '2024-06-01', '2024-11-01'), ('F2', 'kpx_group_3', '2023-01-01', '2024-06-01', '2024-06-01', '2024-11-01'),
+      ('F3', 'kpx_group_3', '2023-01-01', '2024-01-01', '2024-01-01', '2025-01-01'),
+      ('F4', 'kpx_group_1', '2023-01-01', '2024-07-01', '2024-07-01', '2025-01-01'), ('F4', 'kpx_group_3', '2023-01-01', '2024-07-01', '2024-07-01', '2025-01-01'))
+    SELECT fold, target, count(*) FILTER (t >= CAST(a AS TIMESTAMP) AND t < CAST(b AS TIMESTAMP)) AS fit_rows, count(CASE WHEN target = 'kpx_group_1' THEN kpx_group_1 ELSE kpx_group_3 END) FILTER (t >= CAST(a AS TIMESTAMP) AND t < CAST(b AS TIMESTAMP)) AS fit_answers,
+      count(*) FILTER (t >= CAST(c AS TIMESTAMP) AND t < CAST(d AS TIMESTAMP)) AS held_rows FROM s, y GROUP BY ALL""",
+)
 def _(s, d):
-    made = None
-    for name, a, b in baseline.seasonal_folds(2024):
-        one = baseline.split_by_time(fx.labels(s, d), a, b, "kst_dtm")[1].select(F.lit(name).alias("fold"))
-        made = one if made is None else made.unionByName(one)
-    return made.groupBy("fold").agg(F.count("*").alias("rows"))
+    lab = fx.labels(s, d)
+    step = 26304 // lab.count()
+    rows, made = lab.select((F.lit("2022-01-01 01:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("f") * step).cast("int"))).alias(FORECAST), *TARGETS), []
+    for fold in baseline.seasonal_folds(2024):
+        for t in (x for x in (TARGETS[0], TARGETS[2]) if x in fold.targets):
+            fit, held = fold.of(rows, t)
+            counts = fit.agg(F.count("*").alias("fit_rows"), F.count(t).alias("fit_answers")).crossJoin(held.agg(F.count("*").alias("held_rows")))  # one row each
+            made.append(counts.select(F.lit(fold.name).alias("fold"), F.lit(t).alias("target"), "*"))
+    return reduce(DataFrame.unionByName, made)
 
 
 # --- pooling ---
@@ -246,7 +234,7 @@ def _dist(s, d):
 
 
 def _weights(s, d, p=2.0):
-    return pooling.turbine_weights(_dist(s, d), pooling.METHODS, p)
+    return pooling.turbine_weights(_dist(s, d), ("nearest", "idw"), p)
 
 
 @query("turbine_grid_distance", WGRID + _DIST + f" SELECT turbine_id, grid_id, {r('km')} AS km FROM dist")
@@ -290,7 +278,7 @@ def _pool_sql(method: str) -> str:
     return WGRID + _DIST + _W.format(p=2.0) + _GW + f" SELECT forecast_kst_dtm, {cols} FROM grid JOIN gw USING (grid_id) WHERE method = '{method}' GROUP BY 1"
 
 
-for _method in pooling.METHODS:
+for _method in ("nearest", "idw"):
 
     @query(f"pooled_{_method}", _pool_sql(_method))
     def _(s, d, method=_method):
@@ -586,11 +574,14 @@ def _(s, d):
 
 @query("rf_predict")
 def _(s, d):
+    """The forests of the baseline, fitted on the first two thirds of the hours and predicting the rest."""
     lab = fx.labels(s, d)
     w = grid.aggregate_grid(fx.grid(s, d), "ldaps", ("mean", "max"), include_lead=True, strict=False)
     rows, features = baseline.training_features(lab, w)
-    bundle = baseline.fit_forests(rows, features, {"numTrees": 12, "maxDepth": 6})
-    return baseline.predict(bundle, rows, [FORECAST])
+    last = lab.agg(F.max("f")).first()[0]
+    cut = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(last * 2 // 3))
+    bundle = baseline.fit_forests(rows.filter(F.col(FORECAST) < cut), features)
+    return baseline.predict(bundle, rows.filter(F.col(FORECAST) >= cut), [FORECAST])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

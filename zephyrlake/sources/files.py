@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zephyrlake.functions.nulls import nan_to_null
 from zephyrlake.operators.contracts import require
+from zephyrlake.plans.store import Store
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
@@ -50,25 +56,55 @@ def manifest_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return rows.withColumn("ok", F.col("exists") & F.col("size_ok") & F.col("hash_ok"))
 
 
-def read_workbook(spark: SparkSession, path: str, sheet: str, header_row: int, columns: str, merged: list[str]) -> DataFrame:
-    """A small sheet: header in header_row (from 1), columns such as B:L; gaps of merged cells take the value above."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise NotImplementedError("reading workbooks needs openpyxl, which isn't installed") from e
-    a, b = columns.split(":")
-    rows = list(openpyxl.load_workbook(path, read_only=False, data_only=True)[sheet][f"{a}{header_row}:{b}{10_000}"])
-    names = [str(c.value).strip() for c in rows[0]]
-    last: dict[str, object] = {}
+_XML = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/package/2006/relationships"}
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _column_number(letters: str) -> int:
+    n = 0
+    for c in letters:
+        n = 26 * n + ord(c) - 64
+    return n
+
+
+def workbook_cells(data: bytes, sheet: str | None = None) -> dict[int, dict[int, str]]:
+    """The texts of a sheet's cells by row and column, from 1; the first sheet where none is named."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        book, links = ElementTree.fromstring(z.read("xl/workbook.xml")), ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+        sheets = {x.get("name"): x.get(_ID) for x in book.iterfind("m:sheets/m:sheet", _XML)}
+        require(bool(sheets) and (sheet is None or sheet in sheets), f"no sheet {sheet!r} among {list(sheets)}")
+        target = next(x.get("Target") for x in links.iterfind("r:Relationship", _XML) if x.get("Id") == (sheets[sheet] if sheet else next(iter(sheets.values()))))
+        text = lambda x: "".join(t.text or "" for t in x.iter(f"{{{_XML['m']}}}t"))
+        shared = [text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _XML)] if "xl/sharedStrings.xml" in names else []
+        page = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    cells: dict[int, dict[int, str]] = {}
+    for c in page.iterfind("m:sheetData/m:row/m:c", _XML):
+        letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
+        v = c.find("m:v", _XML)
+        value = text(c) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
+        if value:
+            cells.setdefault(int(row), {})[_column_number(letters)] = value
+    return cells
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str | None, header_row: int, columns: str, merged: list[str]) -> DataFrame:
+    """A small sheet as texts: header in header_row (from 1), columns such as B:L; rows without any value are left out, and gaps of merged cells
+    take the value above. The file is read whole by the driver: a workbook of facts about turbines, not of measurements."""
+    cells = workbook_cells(Store(spark).read(path), sheet)
+    first, last = map(_column_number, columns.split(":"))
+    head = cells.get(header_row, {})
+    names = [(k, head[k].strip()) for k in range(first, last + 1) if k in head]
+    require(bool(names), f"{path}: no header in row {header_row}")
+    above: dict[str, str] = {}
     out = []
-    for r in rows[1:]:
-        d = dict(zip(names, (c.value for c in r), strict=True))
-        if all(v is None for v in d.values()):
-            break
-        for m in merged:
-            last[m] = d[m] = d[m] if d[m] is not None else last.get(m)
-        out.append({k: None if v is None else str(v) for k, v in d.items()})
-    return spark.createDataFrame(out, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    for r in sorted(k for k in cells if k > header_row):
+        row = {n: cells[r].get(k) for k, n in names}
+        if any(v is not None for v in row.values()):
+            for n in merged:
+                above[n] = row[n] = above.get(n) if row[n] is None else row[n]
+            out.append(tuple(row.values()))
+    return spark.createDataFrame(out, T.StructType([T.StructField(n, T.StringType()) for _, n in names]))
 
 
 def notebook_stats(spark: SparkSession, path: str) -> DataFrame:
