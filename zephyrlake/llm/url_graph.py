@@ -8,7 +8,6 @@ over reversed links carries distrust from blocked seeds to the hosts that link t
 where its host's distrust exceeds `margin` times its trust and either links brought it distrust of a seed that has
 `least` times the mean share of a seed, or it has that much itself; else it is allowed. How much links brought
 isn't asked, as each of n hosts that link to a seed gets an nth: a seed's linkers are judged alike at any n.
-(OP3_SQL asks for `least` of links too, so on pages with absolute links it can allow more.)
 
 Ranks are fixed-point integers (2**24 to 1), so sums don't depend on their order. Edges and ranks
 stay distributed; each round is a join on the source host, where Spark can split a host with many edges, and a
@@ -16,7 +15,8 @@ sum with partial aggregation; lineage is cut every few rounds.
 
 Defined results: a null url, or one without ://, has an empty host and path and is judged like any
 page of the host ''; repeated rows and urls count as often as they come; links to the page's own host and links
-that name no host count for nothing; null html has no links. Other columns are not read.
+that name no host count for nothing; null html has no links; very long html is read whole; an empty table gives no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -160,8 +160,9 @@ r AS (
 v AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
 hosts AS (
-  SELECT host, CAST(floor(sum(CASE WHEN ruled = 'allow' THEN 1 ELSE 0 END) * {ONE} / count(*)) AS BIGINT) AS allowed,
-    CAST(floor(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) * {ONE} / count(*)) AS BIGINT) AS blocked FROM v GROUP BY host),
+  SELECT *, CASE WHEN blocked * 100 >= floor(avg(CASE WHEN blocked > 0 THEN blocked END) OVER ()) THEN blocked ELSE 0 END AS strong FROM (
+    SELECT host, CAST(floor(sum(CASE WHEN ruled = 'allow' THEN 1 ELSE 0 END) * {ONE} / count(*)) AS BIGINT) AS allowed,
+      CAST(floor(sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) * {ONE} / count(*)) AS BIGINT) AS blocked FROM v GROUP BY host)),
 mean AS (SELECT CAST(coalesce(floor(avg(blocked) FILTER (blocked > 0)), 0) AS BIGINT) AS mean FROM hosts),
 l AS (
   SELECT DISTINCT host AS src, translate(regexp_replace(unnest(regexp_extract_all(html,
@@ -170,9 +171,10 @@ e AS (SELECT src, dst FROM l WHERE src <> '' AND dst <> '' AND src <> dst),
 fwd AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM e),
 bwd AS (SELECT dst AS src, src AS dst, count(*) OVER (PARTITION BY dst) AS degree FROM e),
 {_sql_walk("t", "fwd", "allowed")},
-{_sql_walk("d", "bwd", "blocked")}
+{_sql_walk("d", "bwd", "blocked")},
+{_sql_walk("s", "bwd", "strong")}
 SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, CASE WHEN coalesce(d12.rank, 0) > coalesce(t12.rank, 0) AND coalesce(d12.rank, 0) > 0
-    AND coalesce(d12.rank, 0) * 10000 >= mean * 1 * 15 THEN 'block' ELSE 'allow' END) AS verdict,
+    AND (coalesce(d12.rank, 0) * 10000 >= mean * 1 * 15 OR coalesce(s12.rank, 0) > hosts.strong * 15 // 100) THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(coalesce(t12.rank, 0) AS BIGINT) AS trust, CAST(coalesce(d12.rank, 0) AS BIGINT) AS distrust
-FROM v CROSS JOIN mean LEFT JOIN t12 ON v.host = t12.host LEFT JOIN d12 ON v.host = d12.host
+FROM v CROSS JOIN mean JOIN hosts ON v.host = hosts.host LEFT JOIN t12 ON v.host = t12.host LEFT JOIN d12 ON v.host = d12.host LEFT JOIN s12 ON v.host = s12.host
 """
