@@ -5,6 +5,7 @@ import json
 import math
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -376,3 +377,49 @@ def test_stream_of_blocks(spark, tmp_path):
         q.stop()
     rows = spark.table("blocks").collect()
     assert len(rows) == 6 and all(r.complete and r["rows"] == 9 and r.late_rows == 0 for r in rows)
+
+
+def test_exact_medians(spark):
+    rng = np.random.default_rng(4)
+    n = 3001
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.where(rng.random(n) < 0.7, np.nan, rng.normal(size=n)), "d": np.nan, "e": np.where(np.arange(n) < 2, [1.0, 4.0] + [0.0] * (n - 2), np.nan)})
+    df = nulls.nan_to_null(spark.createDataFrame(frame).repartition(5))
+    for accuracy in (10_000, 20):  # with a coarse sketch many values lie between the bounds
+        got = impute.exact_medians(df, list(frame.columns), accuracy)
+        assert got["d"] is None and all(got[c] == pytest.approx(frame[c].median(), abs=1e-12) for c in "abce")
+
+
+def test_upwind_pooling(spark):
+    cells = spark.createDataFrame([(START, START - dt.timedelta(hours=12), k, 37.0, 127.0 + k / 10, 10.0 * k, 1.0, 0.0) for k in (-1, 0, 1)], [*schema.META, "x", "s", "c"])
+    turbines = spark.createDataFrame([("t", "group_1", 37.0, 127.05, 2.0)], schema.TURBINES)
+    pooler = pooling.fit_pooler(cells, turbines, "ldaps", "idw", power=1.0)
+    r = pooling.pool_upwind(cells, pooler, turbines, "s", "c", "x", lean=0.5).first()
+    w = {k: v for _, _, k, v in pooler.weights}
+    upwind = {k: v * (1 + 0.5 * (1 if 0.1 * k > 0.05 else -1)) for k, v in w.items()}  # wind from the east
+    assert r.plain == pytest.approx(sum(10 * k * v for k, v in w.items())) and r.pooled == pytest.approx(sum(10 * k * v for k, v in upwind.items()) / sum(upwind.values())) and r.pooled > r.plain
+    with pytest.raises(ContractError):
+        pooling.pool_upwind(cells, pooler, turbines, "s", "c", "x", lean=1.0)
+
+
+def test_feature_set_experiment(spark):
+    labels, ldaps, gfs = _training(spark)
+    rows, features = baseline.training_features(labels, baseline.baseline_weather(ldaps, gfs))
+    fold = baseline.Fold("half", ("2024-01-01 00:00:00", "2024-01-02 12:00:00"), ("2024-01-02 12:00:00", "2024-02-01 00:00:00"), later=((schema.TARGETS[1], "2024-01-01 11:00:00"),))
+    sets = {"all": dict.fromkeys(schema.TARGETS, features), "calendar": dict.fromkeys(schema.TARGETS, list(baseline.CALENDAR))}
+    got = {(r.feature_set, r.target): r for r in baseline.run_feature_sets(rows, sets, fold, {"numTrees": 3, "maxDepth": 3}).collect()}
+    assert set(got) == {(n, t) for n in sets for t in schema.TARGETS} and {r.features for r in got.values()} == {len(features), 9}
+    held = {t: fold.of(rows, t)[1].filter(F.col(t).isNotNull()).count() for t in schema.TARGETS}
+    assert all(r.valid_rows == held[t] and 0 <= r.nmae < 0.5 for (_, t), r in got.items())
+    fit = {t: fold.of(rows, t)[0].filter(F.col(t).isNotNull()).count() for t in schema.TARGETS}
+    assert all(r.fit_rows == fit[t] for (_, t), r in got.items()) and fit[schema.TARGETS[1]] < fit[schema.TARGETS[0]]
+
+
+def test_blend_and_inventory(spark):
+    a = spark.createDataFrame([(1, 2.0, 4.0, None), (2, 1.0, 1.0, 1.0)], "k int, kpx_group_1 double, kpx_group_2 double, kpx_group_3 double")
+    b = spark.createDataFrame([(1, 4.0, 4.0, 1.0)], a.schema)
+    rows = {r.k: r[1:] for r in baseline.blend([a, b], ["k"], [0.25, 0.75]).collect()}
+    assert rows == {1: (3.5, 4.0, None), 2: (None, None, None)}
+    with pytest.raises(ContractError):
+        baseline.blend([a, b], ["k"], [0.5, 0.6])
+    r = audit.file_inventory(forecast(spark, n=4, cells=2), "gfs", schema.FORECAST, [schema.FORECAST, schema.GRID]).first()
+    assert (r.name, r["rows"], r["keys"], r.copies) == ("gfs", 8, 8, 0)
