@@ -22,8 +22,8 @@ from zephyrlake.schema import CAPACITY, FORECAST, LABEL_TIME, TARGETS
 #: The forest's parameters.
 FOREST = {"numTrees": 120, "maxDepth": 14, "minInstancesPerNode": 8, "featureSubsetStrategy": "sqrt", "seed": 42, "maxBins": 128, "bootstrap": True}
 BOOSTED = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 8, "featureSubsetStrategy": "onethird", "seed": 42, "maxBins": 128}
-#: How an executor's memory and the driver's broadcasts are spent on deep forests; results don't depend on it.
-FITTING = {"maxMemoryInMB": 512, "cacheNodeIds": True}
+#: Memory for a level's sums of nodes, on which results don't depend; and rows of a partition: with fewer, sending sums costs more than making them.
+FITTING, PARTITION_ROWS = {"maxMemoryInMB": 512}, 4_000
 CALENDAR = ("month", "day", "hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos")
 
 
@@ -79,7 +79,8 @@ def fit_forests(rows: DataFrame, features: list[str], params: dict | None = None
     imputer = fit_median_imputer(rows, features)
     filled = imputer.transform(rows.select(key, *targets, *features), keep=(key, *targets))
     matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x")
-    matrix = matrix.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).persist()
+    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-matrix.count() // PARTITION_ROWS))
+    matrix = matrix.repartitionByRange(max(1, parts), key).sortWithinPartitions(key).persist()
     made = (lambda t: GBTRegressor(labelCol=t, **BOOSTED | FITTING | (params or {}))) if boosted else (lambda t: RandomForestRegressor(labelCol=t, **FOREST | FITTING | (params or {})))
 
     def fit(t: str):
