@@ -609,3 +609,23 @@ def _(s, d):
     rows, features = baseline.training_features(fx.labels(s, d), grid.aggregate_grid(fx.grid(s, d), "ldaps", ("mean", "max"), strict=False))
     told = [baseline.predict(baseline.fit_forests(rows, features, p, boosted=b), rows, [FORECAST]) for p, b in (({"maxIter": 8}, True), ({"numTrees": 12, "maxDepth": 6}, False))]
     return baseline.blend(told, [FORECAST])
+
+
+_HELD = f"WITH {fx.labels_sql()}, h AS (SELECT *, f >= (SELECT max(f) FROM labels) * 2 // 3 AS held FROM labels) "
+
+
+@query("rf_checks", _HELD + " UNION ALL ".join(f"SELECT '{t}' AS target, count(*) FILTER (NOT held AND {t} IS NOT NULL) AS fit_rows, count(*) FILTER (held) AS rows, count(*) FILTER (held) AS within_capacity, true AS same_again, true AS varies FROM h" for t in TARGETS))
+def _(s, d):
+    """A forest for each target, fitted twice on the first two thirds of the hours: rows, predictions within capacity, equal ones after a second fit."""
+    lab = fx.labels(s, d)
+    rows, features = baseline.training_features(lab, grid.aggregate_grid(fx.grid(s, d), "ldaps", include_lead=True, strict=False))
+    cut = F.lit("2024-01-01 01:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(lab.agg(F.max("f")).first()[0] * 2 // 3))
+    fit, held = rows.filter(F.col(FORECAST) < cut), rows.filter(F.col(FORECAST) >= cut)
+    small = {"numTrees": 10, "maxDepth": 6}
+    bundle, again = (baseline.fit_forests(fit, features, small) for _ in range(2))
+    told = scoring.long_targets(baseline.predict(bundle, held, [FORECAST]), FORECAST, "y")
+    twice = told.join(scoring.long_targets(baseline.predict(again, held, [FORECAST]), FORECAST, "z"), [FORECAST, "target"])
+    within = F.col("y").between(0.0, scalars.capacity_of(F.col("target")))
+    by = twice.groupBy("target").agg(F.count("*").alias("rows"), F.count_if(within).alias("within_capacity"), F.bool_and(F.col("y") == F.col("z")).alias("same_again"), (F.min("y") < F.max("y")).alias("varies"))
+    counts = s.createDataFrame(list(bundle.train_rows.items()), "target string, fit_rows long")
+    return by.join(F.broadcast(counts), "target")
