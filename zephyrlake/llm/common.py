@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +57,22 @@ class Scratch:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
+def releasing(run: Callable) -> Callable:
+    """run, a function over a partition's batches, that gives freed memory back to the system at the partition's end: Python workers live on,
+    and what one stage took would else be missing to the next."""
+
+    def over(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only: lower() would change other letters, and with them their bytes."""
     return F.translate(c, UPPER, LOWER)

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import ASCII_LOWER, Scratch, read, slot_of, split_by_slots
+from zephyrlake.llm.common import ASCII_LOWER, Scratch, read, releasing, slot_of, split_by_slots
 
 UNIVERSE_BITS = 20
 #: The hashes' odd multipliers; any odd 64-bit numbers do.
@@ -289,13 +289,14 @@ def _open(member: DataFrame, first: DataFrame) -> DataFrame:
     return labelled.join(spans.select("bucket"), "bucket")
 
 
-def _blocks(rows: DataFrame, cfg: NearDup) -> DataFrame:
+def _blocks(rows: DataFrame, cfg: NearDup, scratch: Scratch) -> DataFrame:
     """(bucket, i, j, block, class, comp): the block pairs of each bucket; rows has bucket, class, comp, n (shingles)."""
     by_comp = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     blocks = lambda m, n: F.greatest(F.ceil(m / cfg.block_rows), F.ceil(n / cfg.block)).cast("int")
     totals = by_comp.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", (-F.col("comp")).alias("c"), "n")).alias("most"))
     totals = totals.select("bucket", (-F.col("most.c")).alias("base"), blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.m"), F.col("most.n")).alias("own"))
-    dealt = rows.join(totals, "bucket").withColumn("is_base", F.col("comp") == F.col("base"))
+    totals = scratch.write(totals, "totals")  # written, so that Spark can split a large bucket where the two are joined
+    dealt = rows.join(totals.hint("merge"), "bucket").withColumn("is_base", F.col("comp") == F.col("base"))
     block = F.when(F.col("is_base"), F.col("others") + F.pmod(F.xxhash64("class"), F.col("own"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others")))
     last = F.when(F.col("is_base"), F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
     dealt = dealt.select("bucket", "class", "comp", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
@@ -308,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").alias("text"))
     kind = "id long, version long, n long, digest binary, bands array<long>"
-    signed = scratch.write(docs.mapInPandas(_sign(cfg), kind), "signed")
+    signed = scratch.write(docs.mapInPandas(releasing(_sign(cfg)), kind), "signed")
 
     # least: the smallest id; one: a row that has the class's text
     classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("id", "version")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -323,17 +324,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = scratch.write(ends.join(classes.select("class", "least", "one", "n").hint("merge"), "class"), "ends")
     # of the texts only those are packed and shuffled whose residue belongs to an end of a pair
     may, _ = split_by_slots(docs, slot_of("id", "version"), ends.select(slot_of("one.id", "one.version")))
-    packed = may.mapInPandas(_pack, "id long, version long, text binary").alias("p")
+    packed = may.mapInPandas(releasing(_pack), "id long, version long, text binary").alias("p")
     held = ends.alias("e").hint("merge")
     texts = packed.join(held, F.col("p.id").eqNullSafe(F.col("e.one.id")) & (F.col("p.version") == F.col("e.one.version"))).select("class", "text")
     texts = scratch.write(texts.dropDuplicates(["class"]), "texts")
     sides = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     sides = sides.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    stars = scratch.write(sides.select("a", "b", "text_a", "text_b").mapInPandas(_verify(cfg), "a long, b long"), "stars")
+    stars = scratch.write(sides.select("a", "b", "text_a", "text_b").mapInPandas(releasing(_verify(cfg)), "a long, b long"), "stars")
     first = components(stars, scratch, "first")
 
     left = scratch.write(_open(member, first).join(ends.select("class", "n"), "class"), "open")
-    dealt = _blocks(left, cfg).join(texts.hint("merge"), "class")
+    dealt = _blocks(left, cfg, scratch).join(texts.hint("merge"), "class")
     links = dealt.select("bucket", "i", "j", "block", "comp", "text").groupBy("bucket", "i", "j").applyInPandas(_block_links(cfg), "a long, b long")
     links = scratch.write(links.distinct(), "links")
     second = components(links, scratch, "second")
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = final.join(smallest, "comp").select("class", "component")
     final = classes.select("digest", "class", "least").join(final, "class", "left").select("digest", "least", F.coalesce("component", "least").alias("component"))
     final = scratch.write(signed.select("id", "n", "digest").join(final, "digest", "left"), "result")
-    for name in ("signed", "member", "pairs", "ends", "texts", "stars", "open", "links", "final"):
+    for name in ("signed", "member", "pairs", "ends", "texts", "stars", "open", "totals", "links", "final"):
         scratch.drop(name)
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
 

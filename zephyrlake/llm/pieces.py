@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import read
+from zephyrlake.llm.common import read, releasing
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -374,7 +374,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_arrays([c.column("id"), _ids_column(ids), pa.array(list(map(len, ids)), pa.int64()), pa.array(ok)], ["id", "ids", "n_pieces", "lossless"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -102,13 +102,16 @@ def _placed(keys: DataFrame, cfg: Sharding, scratch: Scratch, total: int, count:
     sample = _draw(keys, cfg.oversample * ranges / max(total, 1), cfg, 0)
     every = slice(cfg.oversample // 2, None, cfg.oversample)
     cuts, rate = Splitters(sample.h[every], sample.i[every]), 4
-    dealt = scratch.write(_deal(keys, cuts), "dealt-0")
+    name = "dealt-0"
+    dealt = scratch.write(_deal(keys, cuts), name)
     sums = _sums(dealt)
     while len(over := sums["range"][sums["bytes"] - sums["largest"] > 2 * share]):
         overfull = F.broadcast(spark.createDataFrame(pa.table({"range": over})))  # at most most_ranges / 2 numbers
         more = _draw(dealt.join(overfull, "range", "left_semi"), rate / share, cfg, rate)
         cuts, rate = cuts.with_more(more), 2 * rate
-        dealt = scratch.write(_deal(keys, cuts), f"dealt-{rate}")
+        scratch.drop(name)
+        name = f"dealt-{rate}"
+        dealt = scratch.write(_deal(keys, cuts), name)
         sums = _sums(dealt)
     before = lambda x: np.cumsum(x) - x
     # as many rows as there are ranges

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import Scratch, read
+from zephyrlake.llm.common import Scratch, read, releasing
 
 #: Verbs of reporting and words of address, lower case.
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes replied shouted dit disait écrit sagte schrieb nannte dijo escribió llamó".split())
@@ -68,7 +68,9 @@ SPELLINGS, REMEMBERED, STATES = 150_000, 64, 50_000
 
 
 def word(raw: str) -> str:
-    return _EDGE.sub("", raw.lower())
+    """Lower case, without marks around it."""
+    low = raw.lower()
+    return low if low[:1].isalnum() and low[-1:].isalnum() else _EDGE.sub("", low)
 
 
 def allowed(term: str) -> int:
@@ -160,9 +162,8 @@ class Matcher:
 
     def find(self, raw: str) -> tuple[str, int] | None:
         """Of a word as the text has it, remembered by its spelling."""
-        try:
-            return self.seen[raw]
-        except KeyError:
+        hit = self.seen.get(raw, False)
+        if hit is False:
             if len(self.seen) >= SPELLINGS:
                 self.seen.clear()
             if len(self.sets) > STATES:  # forget the automaton, not the trie
@@ -171,7 +172,7 @@ class Matcher:
             hit = self._find(word(raw)) if self.terms else None
             if len(raw) <= REMEMBERED:
                 self.seen[raw] = hit
-            return hit
+        return hit
 
 
 @dataclass
@@ -320,21 +321,21 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     prior = math.log(base / (1 - base))
     if not pos or not neg:
         return Model(weights=(prior, 0.0), config=cfg)
-    counts = train.mapInPandas(_count_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = train.mapInPandas(releasing(_count_terms), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.col("pos") / (pos + 1) / ((F.col("neg") + 1) / (neg + 1))
     # terms of the sample that pass: choose_terms decides, this only spares the driver the others
     some = counts.filter((F.col("pos") >= cfg.least_docs) & (ratio >= 0.99 * cfg.least_ratio)).collect()
     model = Model(choose_terms(((r["term"], r["pos"], r["neg"]) for r in some), pos, neg, cfg), config=cfg)
     if not model.terms:
         return Model(weights=(prior, 0.0), config=cfg)
-    clean = train.filter("y = 0").mapInPandas(_misspelt(model), "term string, edits int")
+    clean = train.filter("y = 0").mapInPandas(releasing(_misspelt(model)), "term string, edits int")
     wrong = {(r["term"], r["edits"]): r["n"] for r in clean.groupBy("term", "edits").agg(F.count("*").alias("n")).collect()}
     for t in model.terms:
         most = 0
         while most < allowed(t) and wrong.get((t, most + 1), 0) <= 0.0005 * neg:
             most += 1
         model.fuzzy[t] = most
-    told = train.mapInPandas(_weighed(model), "y int, evidence double").toPandas().sort_values(["y", "evidence"])
+    told = train.mapInPandas(releasing(_weighed(model)), "y int, evidence double").toPandas().sort_values(["y", "evidence"])
     rest = [pos - int(told.y.sum()), neg - int((1 - told.y).sum())]
     x = np.concatenate([told.evidence.to_numpy(float), np.zeros(sum(rest))])
     y = np.concatenate([told.y.to_numpy(float), np.ones(rest[0]), np.zeros(rest[1])])
@@ -356,21 +357,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"id": b.id, "score": s, "evidence": e, "terms": [sorted({t for t, _, _ in f}) for f in found]})
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence double, terms array<string>")
+    made = docs.mapInPandas(releasing(run), f"id {docs.schema['id'].dataType.simpleString()}, score double, evidence double, terms array<string>")
     return made.withColumnRenamed("id", id_col)
 
 
 def score_column(text: Column, model: Model) -> Column:
     """The score of a text column, for frames whose other columns should stay."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Matcher(model.terms, model.fuzzy)
         a, b = model.weights
         for texts in batches:
             e = np.array([evidence(t, m, model.config) for t in texts], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(a + b * np.log1p(4 * e), -30, 30))))
 
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return releasing(scores)(batches)
+
     return run(text)
 
 
