@@ -34,7 +34,10 @@ def forecast(spark, n=3, cells=9, lead=12, value=None, drop=()):
     return spark.createDataFrame(rows, schema.weather(["wind", "temperature"]))
 
 
-TURBINES = [("g1_a", "group_1", 37.50, 128.75, 1.0), ("g1_b", "group_1", 37.50, 129.00, 3.0), ("g2_a", "group_2", 37.25, 129.00, 2.0), ("g3_a", "group_3", 37.00, 129.25, 4.0)]
+TURBINES = [
+    ("g1_a", "group_1", 37.50, 128.75, 1.0), ("g1_b", "group_1", 37.50, 129.00, 3.0), ("g2_a", "group_2", 37.25, 129.00, 2.0),
+    ("g3_a", "group_3", 37.00, 129.25, 4.0)
+]
 
 
 def turbines(spark, rows=TURBINES):
@@ -52,7 +55,10 @@ def test_statistics_names_order_and_missing_cells(spark):
 def test_nan_is_missing(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 3.0), (3, None)], "k int, x double")
     assert [r.x for r in nulls.nan_to_null(df).orderBy("k").collect()] == [None, 3.0, None]
-    r = nulls.nan_to_null(df).agg(F.avg("x").alias("a"), nulls.strict_avg(F.col("x")).alias("s"), nulls.std(F.col("x"), 1).alias("d"), nulls.std(F.col("x"), 0).alias("p")).first()
+    r = nulls.nan_to_null(df).agg(
+        F.avg("x").alias("a"), nulls.strict_avg(F.col("x")).alias("s"), nulls.std(F.col("x"), 1).alias("d"),
+        nulls.std(F.col("x"), 0).alias("p")
+    ).first()
     assert (r.a, r.s, r.d, r.p) == (3.0, None, None, 0.0)
     assert [r[0] for r in nulls.nan_to_null(df).orderBy("k").select(nulls.clip(F.col("x"), 0.0, 2.0)).collect()] == [None, 2.0, None]
 
@@ -90,7 +96,10 @@ def test_small_contracts(spark):
     with pytest.raises(TypeError):
         contracts.check_columns([1], ["a"])
     with pytest.raises(ContractError, match="clash"):
-        grid.merge_sources(spark.createDataFrame([(START, 1)], "forecast_kst_dtm timestamp_ntz, a int"), spark.createDataFrame([(START, 1)], "forecast_kst_dtm timestamp_ntz, a int"))
+        grid.merge_sources(
+            spark.createDataFrame([(START, 1)], "forecast_kst_dtm timestamp_ntz, a int"),
+            spark.createDataFrame([(START, 1)], "forecast_kst_dtm timestamp_ntz, a int")
+        )
     day_late = forecast(spark, lead=2)
     with pytest.raises(ContractError):
         contracts.check_cutoff(day_late, day_ahead=True)
@@ -111,7 +120,10 @@ def test_wind_vectors(spark):
     rows = wind.wind_vectors(df, "ldaps", (wind.WindPair("10m", "u", "v"),)).orderBy("k").collect()
     assert rows[0][3:] == (5.0, -0.6, -0.8) and rows[1][3:] == (1.0, 0.0, 1.0) and rows[2][3:] == (1.0, 1.0, 0.0)
     assert rows[3][3:] == (0.0, None, None) and rows[4][3:] == (None, None, None)
-    for bad in ((), (wind.WindPair("a", "u", "u"),), (wind.WindPair("A-", "u", "v"),), (wind.WindPair("a", "u", "v"), wind.WindPair("a", "u", "v")), (wind.WindPair("a", "u", "w"),)):
+    for bad in (
+        (), (wind.WindPair("a", "u", "u"),), (wind.WindPair("A-", "u", "v"),), (wind.WindPair("a", "u", "v"), wind.WindPair("a", "u", "v")),
+        (wind.WindPair("a", "u", "w"),)
+    ):
         with pytest.raises(ContractError):
             wind.wind_vectors(df, "ldaps", bad)
     with pytest.raises(ContractError, match="infinit"):
@@ -144,7 +156,10 @@ def test_pooling_ties_gaps_and_drift(spark):
     for bad in (moved, df.filter(F.col(schema.GRID) < 9), df.drop("wind")):
         with pytest.raises(ContractError):
             p.transform(bad)
-    for bad in ([("", "group_1", 1.0, 1.0, 1.0)], [("a", "g1", 1.0, 1.0, 1.0)], [("a", "group_1", 91.0, 1.0, 1.0)], [("a", "group_1", 1.0, 1.0, 0.0)], TURBINES[:1] * 2):
+    for bad in (
+        [("", "group_1", 1.0, 1.0, 1.0)], [("a", "g1", 1.0, 1.0, 1.0)], [("a", "group_1", 91.0, 1.0, 1.0)],
+        [("a", "group_1", 1.0, 1.0, 0.0)], TURBINES[:1] * 2
+    ):
         with pytest.raises(ContractError):
             pooling.fit_pooler(df, turbines(spark, bad), "gfs")
     for bad in ((), ("nearest", "nearest"), ("kriging",)):
@@ -158,7 +173,10 @@ def test_imputer(spark):
     train = spark.createDataFrame([(1.0, 10.0), (3.0, None), (None, 30.0)], "a double, b double")
     m = impute.fit_median_imputer(train)
     assert m.medians == (2.0, 20.0)
-    assert [tuple(r) for r in m.transform(spark.createDataFrame([(1000.0, None), (None, 3000.0)], "a double, b double")).collect()] == [(1000.0, 20.0), (2.0, 3000.0)]
+    assert [
+        tuple(r)
+        for r in m.transform(spark.createDataFrame([(1000.0, None), (None, 3000.0)], "a double, b double")).collect()
+    ] == [(1000.0, 20.0), (2.0, 3000.0)]
     with pytest.raises(ContractError):
         m.transform(train.select("b", "a"))
     for bad in (spark.createDataFrame([(None,)], "a double"), spark.createDataFrame([("x",)], "a string"), spark.createDataFrame([(math.inf,)], "a double")):
@@ -180,7 +198,9 @@ def _plain(answer, forecasts):
             return None, None, None
         e = [None if p is None else abs(p - a) / cap for a, p in rows]
         n.append(None if None in e else sum(e) / len(e))
-        f.append(sum(a * (0 if x is None else 4 if x <= 0.06 else 3 if x <= 0.08 else 0) for (a, _), x in zip(rows, e, strict=True)) / sum(4 * a for a, _ in rows))
+        f.append(
+            sum(a * (0 if x is None else 4 if x <= 0.06 else 3 if x <= 0.08 else 0) for (a, _), x in zip(rows, e, strict=True)) / sum(4 * a for a, _ in rows)
+        )
     one = None if None in n else 1 - sum(n) / 3
     return (None if one is None else 0.5 * one + 0.5 * sum(f) / 3), one, sum(f) / 3
 
@@ -216,7 +236,9 @@ def test_baseline_end_to_end(spark, tmp_path):
     profile = runs.data_profile(labels, ldaps, gfs, made["train_features"], list(made["bundle"].features))
     model, meta, registry = (str(tmp_path / x) for x in ("model", "meta.json", "registry.csv"))
     config = lineage.RunConfig("first try", model_params=small)
-    doc = lineage.save_artifact(made["bundle"], model, meta, config=config, profile=profile, commit="abcdef0123", manifest_sha="a" * 64, at="2024-05-01T10:00:00")
+    doc = lineage.save_artifact(
+        made["bundle"], model, meta, config=config, profile=profile, commit="abcdef0123", manifest_sha="a" * 64, at="2024-05-01T10:00:00"
+    )
     assert doc["run"]["id"].startswith("20240501T100000-first-try-")
     book = lineage.Registry(spark, registry)
     book.append(lineage.registry_entry(spark, doc, model, meta))
@@ -330,7 +352,9 @@ def test_layout_does_not_matter(spark):
     a = audit.content_hash(grid.aggregate_grid(df, "gfs", ("min", "max"))).first()
     b = audit.content_hash(grid.aggregate_grid(df.repartition(7).orderBy(F.desc(schema.GRID)), "gfs", ("min", "max"))).first()
     assert a == b
-    assert audit.fixed_sample(df, [schema.GRID, schema.FORECAST], 5).collect() == audit.fixed_sample(df.repartition(5), [schema.GRID, schema.FORECAST], 5).collect()
+    assert audit.fixed_sample(df, [schema.GRID, schema.FORECAST], 5).collect() == audit.fixed_sample(
+        df.repartition(5), [schema.GRID, schema.FORECAST], 5
+    ).collect()
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -341,20 +365,30 @@ def test_command_line(spark, tmp_path, capsys):
     files_ = {"labels": labels, "ldaps": ldaps, "gfs": gfs}
     for name, df in files_.items():
         df.toPandas().to_csv(tmp_path / f"{name}.csv", index=False, encoding="utf-8-sig", date_format="%Y-%m-%d %H:%M:%S")
-    pd.DataFrame([(f"forecast_{k:04d}", f"{h:%Y-%m-%d %H:%M:%S}", 0.0, 0.0, 0.0) for k, h in enumerate(hours(20), 1)], columns=schema.SUBMISSION_COLUMNS).to_csv(tmp_path / "sample.csv", index=False)
+    pd.DataFrame(
+        [(f"forecast_{k:04d}", f"{h:%Y-%m-%d %H:%M:%S}", 0.0, 0.0, 0.0) for k, h in enumerate(hours(20), 1)],
+        columns=schema.SUBMISSION_COLUMNS
+    ).to_csv(tmp_path / "sample.csv", index=False)
     (tmp_path / "MANIFEST.md").write_text("| path |\n")
     at = lambda n: str(tmp_path / n)
     weather = ["--ldaps", at("ldaps.csv"), "--gfs", at("gfs.csv"), "--model", at("model"), "--registry", at("runs.csv")]
-    command = ["train", "--run", "--labels", at("labels.csv"), *weather, "--data-manifest", at("MANIFEST.md"), "--trees", "3", "--commit", "abc", "--created-at", "2024-05-01T10:00:00"]
+    command = [
+        "train", "--run", "--labels", at("labels.csv"), *weather, "--data-manifest", at("MANIFEST.md"), "--trees", "3", "--commit", "abc",
+        "--created-at", "2024-05-01T10:00:00"
+    ]
     with pytest.raises(ContractError, match="together"):
         runs.main([*command, "--total-score", "0.5"])
     with pytest.raises(ContractError, match="different paths"):
         runs.main([*command, "--metadata", at("runs.csv")])
     assert not os.path.exists(at("model"))
-    assert runs.main([*command, "--split", "2024", "--holdout-from", "2024-01-01 01:00:00", "--total-score", "0.5", "--one-minus-nmae", "0.8", "--ficr", "0.2"]) == 0
+    assert runs.main(
+        [*command, "--split", "2024", "--holdout-from", "2024-01-01 01:00:00", "--total-score", "0.5", "--one-minus-nmae", "0.8", "--ficr", "0.2"]
+    ) == 0
     row = lineage.Registry(spark, at("runs.csv")).frame().first()
     raw = open(at("model.json"), "rb").read()
-    assert (row.state, row.total_score, row.split, row.holdout_from, row.fit_from, row.created) == ("trained", 0.5, "2024", "2024-01-01 01:00:00", None, "2024-05-01T10:00:00+09:00")
+    assert (
+        row.state, row.total_score, row.split, row.holdout_from, row.fit_from, row.created
+    ) == ("trained", 0.5, "2024", "2024-01-01 01:00:00", None, "2024-05-01T10:00:00+09:00")
     assert row.document_hash == submission.sha256(raw) and row.manifest_hash == submission.sha256(b"| path |\n") and row.model_hash == json.loads(raw)["model"]["hash"]
     command = ["infer", "--run", "--sample", at("sample.csv"), *weather, "--rows", "20", "--out"]
     with pytest.raises(ContractError, match="different paths"):
@@ -368,7 +402,9 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_stream_of_blocks(spark, tmp_path):
     for k in range(2):
-        forecast(spark, n=3).withColumn(schema.FORECAST, (F.col(schema.FORECAST) + F.expr(f"INTERVAL {k * 3} HOURS"))).withColumn(schema.AVAILABLE, F.col(schema.FORECAST) - F.expr("INTERVAL 12 HOURS")).write.parquet(str(tmp_path / f"in/b{k}"))
+        forecast(spark, n=3).withColumn(
+            schema.FORECAST, (F.col(schema.FORECAST) + F.expr(f"INTERVAL {k * 3} HOURS"))
+        ).withColumn(schema.AVAILABLE, F.col(schema.FORECAST) - F.expr("INTERVAL 12 HOURS")).write.parquet(str(tmp_path / f"in/b{k}"))
     s = blocks.grid_stream(spark, str(tmp_path / "in/*"), schema.weather(["wind", "temperature"]), "gfs", files=1)
     q = s.writeStream.outputMode("complete").format("memory").queryName("blocks").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
@@ -382,7 +418,13 @@ def test_stream_of_blocks(spark, tmp_path):
 def test_exact_medians(spark):
     rng = np.random.default_rng(4)
     n = 3001
-    frame = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.where(rng.random(n) < 0.7, np.nan, rng.normal(size=n)), "d": np.nan, "e": np.where(np.arange(n) < 2, [1.0, 4.0] + [0.0] * (n - 2), np.nan)})
+    frame = pd.DataFrame(
+        {
+            "a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float),
+            "c": np.where(rng.random(n) < 0.7, np.nan, rng.normal(size=n)), "d": np.nan,
+            "e": np.where(np.arange(n) < 2, [1.0, 4.0] + [0.0] * (n - 2), np.nan)
+        }
+    )
     df = nulls.nan_to_null(spark.createDataFrame(frame).repartition(5))
     for accuracy in (10_000, 20):  # with a coarse sketch many values lie between the bounds
         got = impute.exact_medians(df, list(frame.columns), accuracy)
@@ -390,13 +432,18 @@ def test_exact_medians(spark):
 
 
 def test_upwind_pooling(spark):
-    cells = spark.createDataFrame([(START, START - dt.timedelta(hours=12), k, 37.0, 127.0 + k / 10, 10.0 * k, 1.0, 0.0) for k in (-1, 0, 1)], [*schema.META, "x", "s", "c"])
+    cells = spark.createDataFrame(
+        [(START, START - dt.timedelta(hours=12), k, 37.0, 127.0 + k / 10, 10.0 * k, 1.0, 0.0) for k in (-1, 0, 1)],
+        [*schema.META, "x", "s", "c"]
+    )
     turbines = spark.createDataFrame([("t", "group_1", 37.0, 127.05, 2.0)], schema.TURBINES)
     pooler = pooling.fit_pooler(cells, turbines, "ldaps", "idw", power=1.0)
     r = pooling.pool_upwind(cells, pooler, turbines, "s", "c", "x", lean=0.5).first()
     w = {k: v for _, _, k, v in pooler.weights}
     upwind = {k: v * (1 + 0.5 * (1 if 0.1 * k > 0.05 else -1)) for k, v in w.items()}  # wind from the east
-    assert r.plain == pytest.approx(sum(10 * k * v for k, v in w.items())) and r.pooled == pytest.approx(sum(10 * k * v for k, v in upwind.items()) / sum(upwind.values())) and r.pooled > r.plain
+    assert r.plain == pytest.approx(sum(10 * k * v for k, v in w.items())) and r.pooled == pytest.approx(
+        sum(10 * k * v for k, v in upwind.items()) / sum(upwind.values())
+    ) and r.pooled > r.plain
     with pytest.raises(ContractError):
         pooling.pool_upwind(cells, pooler, turbines, "s", "c", "x", lean=1.0)
 
@@ -404,7 +451,10 @@ def test_upwind_pooling(spark):
 def test_feature_set_experiment(spark):
     labels, ldaps, gfs = _training(spark)
     rows, features = baseline.training_features(labels, baseline.baseline_weather(ldaps, gfs))
-    fold = baseline.Fold("half", ("2024-01-01 00:00:00", "2024-01-02 12:00:00"), ("2024-01-02 12:00:00", "2024-02-01 00:00:00"), later=((schema.TARGETS[1], "2024-01-01 11:00:00"),))
+    fold = baseline.Fold(
+        "half", ("2024-01-01 00:00:00", "2024-01-02 12:00:00"), ("2024-01-02 12:00:00", "2024-02-01 00:00:00"),
+        later=((schema.TARGETS[1], "2024-01-01 11:00:00"),)
+    )
     sets = {"all": dict.fromkeys(schema.TARGETS, features), "calendar": dict.fromkeys(schema.TARGETS, list(baseline.CALENDAR))}
     got = {(r.feature_set, r.target): r for r in baseline.run_feature_sets(rows, sets, fold, {"numTrees": 3, "maxDepth": 3}).collect()}
     assert set(got) == {(n, t) for n in sets for t in schema.TARGETS} and {r.features for r in got.values()} == {len(features), 9}

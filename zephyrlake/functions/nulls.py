@@ -10,7 +10,12 @@ from pyspark.sql import types as T
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Float columns with NaN as NULL, in one projection."""
     floats = (T.FloatType, T.DoubleType)
-    return df.select(*[F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name) if isinstance(f.dataType, floats) else F.col(f"`{f.name}`") for f in df.schema])
+    return df.select(
+        *[
+            F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name) if isinstance(f.dataType, floats) else F.col(f"`{f.name}`")
+            for f in df.schema
+        ]
+    )
 
 
 def clip(x: Column, low: float, high: float | Column) -> Column:

@@ -80,7 +80,10 @@ def stamp(ts: Column) -> Column:
 
 def submission_name(experiment: Column, day: Column, commit: Column) -> Column:
     """submission_{YYYYMMDD}_{slug}_{first seven of the commit}.csv"""
-    return F.concat(F.lit("submission_"), F.date_format(day, "yyyyMMdd"), F.lit("_"), slug(experiment), F.lit("_"), F.coalesce(F.substring(F.nullif(commit, F.lit("")), 1, 7), F.lit("unknown")), F.lit(".csv"))
+    return F.concat(
+        F.lit("submission_"), F.date_format(day, "yyyyMMdd"), F.lit("_"), slug(experiment), F.lit("_"),
+        F.coalesce(F.substring(F.nullif(commit, F.lit("")), 1, 7), F.lit("unknown")), F.lit(".csv")
+    )
 
 
 def run_name(experiment: Column, created: Column, config_sha: Column, commit: Column) -> Column:

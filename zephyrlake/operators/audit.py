@@ -18,7 +18,10 @@ def missing_by_forecast(df: DataFrame) -> DataFrame:
     columns = value_columns(df)
     long = df.select(FORECAST, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([FORECAST], columns, "variable", "value")
     by = long.groupBy("variable", FORECAST).agg(F.count("value").alias("have"), F.count("*").alias("n"))
-    return by.groupBy("variable").agg(F.count_if(F.col("have") == 0).alias("all_missing"), F.count_if((F.col("have") > 0) & (F.col("have") < F.col("n"))).alias("some_missing"))
+    return by.groupBy("variable").agg(
+        F.count_if(F.col("have") == 0).alias("all_missing"),
+        F.count_if((F.col("have") > 0) & (F.col("have") < F.col("n"))).alias("some_missing")
+    )
 
 
 def weather_profile(df: DataFrame) -> DataFrame:
@@ -92,14 +95,20 @@ def dominant_interval(df: DataFrame, time: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(time)
     steps = df.select(*by, F.timestamp_diff("SECOND", F.lag(time).over(w), F.col(time)).alias("seconds")).filter("seconds is not null")
     counts = steps.groupBy(*by, "seconds").agg(F.count("*").alias("n"))
-    return counts.groupBy(*by).agg(F.max(F.struct("n", (-F.col("seconds")).alias("s"))).alias("x")).select(*by, (-F.col("x.s")).alias("seconds"), F.col("x.n").alias("n"))
+    return counts.groupBy(*by).agg(
+        F.max(F.struct("n", (-F.col("seconds")).alias("s"))).alias("x")
+    ).select(*by, (-F.col("x.s")).alias("seconds"), F.col("x.n").alias("n"))
 
 
 def resample(df: DataFrame, time: str, value: str, unit: str = "DAY") -> DataFrame:
     """Means by calendar unit, with a row also for units without data."""
     at = F.date_trunc(unit, F.col(time)).cast("timestamp_ntz")
-    means = df.groupBy(at.alias("bucket")).agg(F.avg(value).alias("mean"), F.count("*").alias("rows"), F.avg(F.col(value).isNull().cast("double")).alias("missing_rate"))
-    axis = means.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL 1 {unit}"))).alias("bucket"))
+    means = df.groupBy(at.alias("bucket")).agg(
+        F.avg(value).alias("mean"), F.count("*").alias("rows"), F.avg(F.col(value).isNull().cast("double")).alias("missing_rate")
+    )
+    axis = means.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).select(
+        F.explode(F.sequence("a", "b", F.expr(f"INTERVAL 1 {unit}"))).alias("bucket")
+    )
     return axis.join(means, "bucket", "left").select("bucket", "mean", F.coalesce("rows", F.lit(0)).alias("rows"), "missing_rate")
 
 
@@ -138,13 +147,23 @@ def distinct_text(c: Column, sep: str = ", ") -> Column:
 def columns_equal(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """For each pair of columns whether all rows agree, missing values agreeing with each other."""
     r = df.agg(*[F.coalesce(F.bool_and(F.col(a).eqNullSafe(F.col(b))), F.lit(True)).alias(f"e{k}") for k, (a, b) in enumerate(pairs)])
-    return r.select(F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"e{k}").alias("equal")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    return r.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"e{k}").alias("equal")) for k, (a, b) in enumerate(pairs)])
+        ).alias("x")
+    ).select("x.*")
 
 
 def schema_audit(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
     """(column, dtype, missing, role) of each column."""
     r = nan_to_null(df).agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}") for k, c in enumerate(df.columns)])
-    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{k}").alias("missing"), F.lit((roles or {}).get(f.name, "value")).alias("role")) for k, f in enumerate(df.schema)]
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{k}").alias("missing"),
+            F.lit((roles or {}).get(f.name, "value")).alias("role")
+        )
+        for k, f in enumerate(df.schema)
+    ]
     return r.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
@@ -156,14 +175,18 @@ def missing_rate(df: DataFrame, columns: list[str], by: Column, name: str) -> Da
 
 def missing_cells(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """(by, variable, missing) where any are missing."""
-    long = nan_to_null(df.select(by, *columns)).select(by, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([by], columns, "variable", "value")
+    long = nan_to_null(df.select(by, *columns)).select(
+        by, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]
+    ).unpivot([by], columns, "variable", "value")
     return long.groupBy(by, "variable").agg(F.count_if(F.col("value").isNull()).alias("missing")).filter("missing > 0")
 
 
 def power_curve(df: DataFrame, speed: str, power: str, width: float = 0.5) -> DataFrame:
     """Mean and spread of power by bin of wind speed."""
     bin_ = (F.floor(F.col(speed) / width) * width).alias("speed_bin")
-    return df.filter(F.col(speed).isNotNull() & F.col(power).isNotNull()).groupBy(bin_).agg(F.avg(power).alias("power_mean"), F.stddev_pop(power).alias("power_std"), F.count("*").alias("rows"))
+    return df.filter(F.col(speed).isNotNull() & F.col(power).isNotNull()).groupBy(bin_).agg(
+        F.avg(power).alias("power_mean"), F.stddev_pop(power).alias("power_std"), F.count("*").alias("rows")
+    )
 
 
 def null_out(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -174,12 +197,23 @@ def null_out(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 def column_inventory(df: DataFrame) -> DataFrame:
     """(column_name, dtype, missing, distinct_values) of each column: the template of a column inventory, in one pass."""
     df = nan_to_null(df)
-    r = df.agg(*[x for k, c in enumerate(df.columns) for x in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{k}"))])
-    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{k}").alias("missing"), F.col(f"d{k}").alias("distinct_values")) for k, f in enumerate(df.schema)]
+    r = df.agg(
+        *[x for k, c in enumerate(df.columns) for x in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{k}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{k}"))]
+    )
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"n{k}").alias("missing"),
+            F.col(f"d{k}").alias("distinct_values")
+        )
+        for k, f in enumerate(df.schema)
+    ]
     return r.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def file_inventory(df: DataFrame, name: str, time: str, keys: list[str]) -> DataFrame:
     """(name, rows, columns, first_time, last_time, keys, copies): a table's line in a file inventory."""
     r = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(time).alias("a"), F.max(time).alias("b"))
-    return r.agg(F.lit(name).alias("name"), F.sum("n").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.min("a").alias("first_time"), F.max("b").alias("last_time"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("copies"))
+    return r.agg(
+        F.lit(name).alias("name"), F.sum("n").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.min("a").alias("first_time"),
+        F.max("b").alias("last_time"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("copies")
+    )

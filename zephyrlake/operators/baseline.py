@@ -21,7 +21,10 @@ from zephyrlake.schema import CAPACITY, FORECAST, LABEL_TIME, TARGETS
 
 #: The forest's parameters.
 FOREST = {"numTrees": 120, "maxDepth": 14, "minInstancesPerNode": 8, "featureSubsetStrategy": "sqrt", "seed": 42, "maxBins": 128, "bootstrap": True}
-BOOSTED = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 8, "featureSubsetStrategy": "onethird", "seed": 42, "maxBins": 128}
+BOOSTED = {
+    "maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 8, "featureSubsetStrategy": "onethird",
+    "seed": 42, "maxBins": 128
+}
 #: Memory for a level's sums of nodes, on which results don't depend; and rows of a partition: with fewer, sending sums costs more than making them.
 FITTING, PARTITION_ROWS = {"maxMemoryInMB": 512}, 4_000
 CALENDAR = ("month", "day", "hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos")
@@ -70,7 +73,10 @@ class Bundle:
     train_rows: dict[str, int] = field(default_factory=dict)
 
 
-def fit_forests(rows: DataFrame, features: list[str], params: dict | None = None, key: str = FORECAST, targets: tuple[str, ...] = TARGETS, boosted: bool = False) -> Bundle:
+def fit_forests(
+    rows: DataFrame, features: list[str], params: dict | None = None, key: str = FORECAST, targets: tuple[str, ...] = TARGETS,
+    boosted: bool = False
+) -> Bundle:
     """One forest (or a row of boosted trees) for each target on its rows with an answer. Gaps take medians of all training rows.
 
     Rows are dealt and sorted by the key first: bagging depends on their layout, so equal
@@ -81,7 +87,9 @@ def fit_forests(rows: DataFrame, features: list[str], params: dict | None = None
     matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x")
     parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-matrix.count() // PARTITION_ROWS))
     matrix = matrix.repartitionByRange(max(1, parts), key).sortWithinPartitions(key).persist()
-    made = (lambda t: GBTRegressor(labelCol=t, **BOOSTED | FITTING | (params or {}))) if boosted else (lambda t: RandomForestRegressor(labelCol=t, **FOREST | FITTING | (params or {})))
+    made = (lambda t: GBTRegressor(labelCol=t, **BOOSTED | FITTING | (params or {}))) if boosted else (
+        lambda t: RandomForestRegressor(labelCol=t, **FOREST | FITTING | (params or {}))
+    )
 
     def fit(t: str):
         return made(t).setFeaturesCol("x").setPredictionCol("p").fit(matrix.filter(F.col(t).isNotNull()))
@@ -101,7 +109,10 @@ def blend(predictions: list[DataFrame], keys: list[str], weights: list[float] |
     """Weighted means of several models' predictions by key; missing where a model has none."""
     require(bool(predictions), "no predictions")
     weights = [1.0 / len(predictions)] * len(predictions) if weights is None else weights
-    require(len(weights) == len(predictions) and abs(sum(weights) - 1.0) < 1e-9 and min(weights) >= 0, f"weights must be one for each model and sum to 1, got {weights}")
+    require(
+        len(weights) == len(predictions) and abs(sum(weights) - 1.0) < 1e-9 and min(weights) >= 0,
+        f"weights must be one for each model and sum to 1, got {weights}"
+    )
     tagged = [p.select(*keys, *[(F.col(t) * w).alias(t) for t in TARGETS]) for p, w in zip(predictions, weights, strict=True)]
     return reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*[F.when(F.count(t) == len(predictions), F.sum(t)).alias(t) for t in TARGETS])
 
@@ -126,7 +137,10 @@ def build_submission(sample: DataFrame, predictions: DataFrame) -> DataFrame:
     return out
 
 
-def train_and_infer(labels: DataFrame, ldaps: DataFrame, gfs: DataFrame, sample: DataFrame, ldaps_test: DataFrame, gfs_test: DataFrame, params: dict | None = None) -> dict:
+def train_and_infer(
+    labels: DataFrame, ldaps: DataFrame, gfs: DataFrame, sample: DataFrame, ldaps_test: DataFrame, gfs_test: DataFrame,
+    params: dict | None = None
+) -> dict:
     """The whole baseline: features, forests, predictions and submission."""
     train, features = training_features(labels, baseline_weather(ldaps, gfs))
     bundle = fit_forests(train, features, params)
@@ -148,11 +162,18 @@ def run_feature_sets(rows: DataFrame, sets: dict[str, dict[str, list[str]]], fol
             bundle = fit_forests(fit, by_target[t], params, time, (t,))
             told = predict(bundle, held.select(time, F.col(t).alias("actual"), *by_target[t]), [time, "actual"])
             scores = target_scores(told.select(F.lit(t).alias("target"), "actual", F.col(t).alias("forecast")))
-            made.append(scores.select(F.lit(name).alias("feature_set"), "target", F.lit(len(by_target[t])).alias("features"), F.lit(bundle.train_rows[t]).alias("fit_rows"), "nmae", "ficr", "valid_rows"))
+            made.append(
+                scores.select(
+                    F.lit(name).alias("feature_set"), "target", F.lit(len(by_target[t])).alias("features"),
+                    F.lit(bundle.train_rows[t]).alias("fit_rows"), "nmae", "ficr", "valid_rows"
+                )
+            )
     return reduce(DataFrame.unionByName, made)
 
 
-def feature_sets(calendar_: list[str], mean: list[str], expanded: list[str], vector: list[str], pooled: dict[str, list[str]]) -> dict[str, dict[str, list[str]]]:
+def feature_sets(
+    calendar_: list[str], mean: list[str], expanded: list[str], vector: list[str], pooled: dict[str, list[str]]
+) -> dict[str, dict[str, list[str]]]:
     """Feature sets by name, each with its columns for every target; own-group sets take a target's own pooled columns."""
     def same(columns):
         return {t: list(columns) for t in TARGETS}

@@ -133,7 +133,10 @@ def check_unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def check_schema_match(left: Sequence[str], right: Sequence[str], what: str) -> None:
-    require(list(left) == list(right), f"{what}: names or order differ; only left {[c for c in left if c not in right]}, only right {[c for c in right if c not in left]}")
+    require(
+        list(left) == list(right),
+        f"{what}: names or order differ; only left {[c for c in left if c not in right]}, only right {[c for c in right if c not in left]}"
+    )
 
 
 def check_turbines(turbines: DataFrame) -> DataFrame:

@@ -16,7 +16,10 @@ from zephyrlake.schema import AVAILABLE, FORECAST, META
 LEAD = "lead_hour"
 
 
-def aggregate_grid(df: DataFrame, source: str, statistics: str | Iterable[str] = ("mean",), include_lead: bool = False, prefix: str | None = None, std_ddof: int = 0, strict: bool = True) -> DataFrame:
+def aggregate_grid(
+    df: DataFrame, source: str, statistics: str | Iterable[str] = ("mean",), include_lead: bool = False, prefix: str | None = None,
+    std_ddof: int = 0, strict: bool = True
+) -> DataFrame:
     """{prefix}_{column}_{statistic} by forecast time, statistics in the order mean, std, min, max, lead last.
 
     Missing cells are left out of a statistic; where all are missing it is missing. One
@@ -48,7 +51,9 @@ def mean_weather(df: DataFrame, prefix: str, lead: bool = True) -> DataFrame:
 def quantile_grid(df: DataFrame, prefix: str, shares: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
     """Exact quantiles over the cells: {prefix}_{column}_q25 and so on."""
     df = nan_to_null(df)
-    return df.groupBy(FORECAST).agg(*[F.percentile(F.col(c).cast("double"), s).alias(f"{prefix}_{c}_q{round(100 * s):02d}") for c in value_columns(df) for s in shares])
+    return df.groupBy(FORECAST).agg(
+        *[F.percentile(F.col(c).cast("double"), s).alias(f"{prefix}_{c}_q{round(100 * s):02d}") for c in value_columns(df) for s in shares]
+    )
 
 
 def axis_difference(left: DataFrame, right: DataFrame, key: str = FORECAST) -> tuple[int, int]:
@@ -78,10 +83,16 @@ class FramePair:
     columns: tuple[str, ...]
 
 
-def weather_features(ldaps: DataFrame, gfs: DataFrame, statistics: str | Iterable[str] = ("mean",), include_lead: bool = False, prefixes: tuple[str, str] = ("ldaps", "gfs"), std_ddof: int = 0, strict: bool = True) -> DataFrame:
+def weather_features(
+    ldaps: DataFrame, gfs: DataFrame, statistics: str | Iterable[str] = ("mean",), include_lead: bool = False,
+    prefixes: tuple[str, str] = ("ldaps", "gfs"), std_ddof: int = 0, strict: bool = True
+) -> DataFrame:
     """Both sources' statistics over equal forecast axes, LDAPS first."""
     require(len(prefixes) == 2 and len(set(prefixes)) == 2, f"two different prefixes are needed, got {prefixes}")
-    made = [aggregate_grid(df, s, statistics, include_lead, check_prefix(p), std_ddof, strict) for df, s, p in zip((ldaps, gfs), ("ldaps", "gfs"), prefixes, strict=True)]
+    made = [
+        aggregate_grid(df, s, statistics, include_lead, check_prefix(p), std_ddof, strict)
+        for df, s, p in zip((ldaps, gfs), ("ldaps", "gfs"), prefixes, strict=True)
+    ]
     return merge_sources(*made, how="inner", check_axes=strict)
 
 

@@ -39,7 +39,10 @@ def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) ->
     while True:
         shares = [max(0.0, 0.5 - wide / accuracy), min(1.0, 0.5 + wide / accuracy)]
         told = df.agg(
-            *[F.percentile_approx(x[c], shares, accuracy).alias(f"b{k}") for k, c in enumerate(columns)], *[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(columns)],
+            *[
+                F.percentile_approx(x[c], shares, accuracy).alias(f"b{k}")
+                for k, c in enumerate(columns)
+            ], *[F.count(x[c]).alias(f"n{k}") for k, c in enumerate(columns)],
         ).first()
         n, bounds = {c: told[f"n{k}"] for k, c in enumerate(columns)}, {c: told[f"b{k}"] for k, c in enumerate(columns)}
         some = [c for c in columns if n[c]]
@@ -53,8 +56,13 @@ def exact_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) ->
         start = {c: under[f"u{k}"] for k, c in enumerate(some)}
         wanted = [(c, r - start[c]) for c in some for r in {(n[c] - 1) // 2, n[c] // 2}]  # places from 0 among the values between
         wanted = df.sparkSession.createDataFrame(wanted, "column string, place long")
-        at = ranked.join(F.broadcast(wanted), "column").filter((F.col("place") >= F.col("upto") - F.col("m")) & (F.col("place") < F.col("upto")))  # two rows a column
-        middle = {r["column"]: r for r in at.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("place").alias("places")).collect()}
+        at = ranked.join(F.broadcast(wanted), "column").filter(
+            (F.col("place") >= F.col("upto") - F.col("m")) & (F.col("place") < F.col("upto"))
+        )  # two rows a column
+        middle = {
+            r["column"]: r
+            for r in at.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("place").alias("places")).collect()
+        }
         if all(c in middle and middle[c]["places"] == len({(n[c] - 1) // 2, n[c] // 2}) for c in some):
             return {c: middle[c]["low"] + (middle[c]["high"] - middle[c]["low"]) * 0.5 if c in middle else None for c in columns}
         wide *= 8

@@ -47,7 +47,10 @@ def grid_geometry(df: DataFrame, strict: bool = True) -> DataFrame:
             (F.min(LAT) < F.max(LAT)).alias("lat"), (F.min(LON) < F.max(LON)).alias("lon"),
             F.count_if(~finite(lat) | ~finite(lon) | (F.abs(lat) > 90) | (F.abs(lon) > 180)).alias("bad"), F.count("*").alias("rows"),
         )
-        r = by_cell.agg(F.count_if("lat").alias("lat"), F.count_if("lon").alias("lon"), F.sum("bad").alias("bad"), F.count("*").alias("cells"), F.count_if(F.col(GRID).isNull()).alias("nulls")).first()
+        r = by_cell.agg(
+            F.count_if("lat").alias("lat"), F.count_if("lon").alias("lon"), F.sum("bad").alias("bad"), F.count("*").alias("cells"),
+            F.count_if(F.col(GRID).isNull()).alias("nulls")
+        ).first()
         require(r["cells"] > 0, "grid: no rows")
         require(not r["nulls"], "grid: cells without id")
         require(not r["bad"], f"grid: {r['bad']} coordinates are missing or out of range")
@@ -59,7 +62,9 @@ def distances(turbines: DataFrame, geometry: DataFrame) -> DataFrame:
     """Every turbine with every cell and their distance in km: two dimensions of bounded size."""
     cells = geometry.select(GRID, F.col(LAT).alias("cell_lat"), F.col(LON).alias("cell_lon"))
     km = haversine_km(F.col(LAT).cast("double"), F.col(LON).cast("double"), F.col("cell_lat"), F.col("cell_lon"))
-    return turbines.crossJoin(F.broadcast(cells)).select("turbine_id", "group_id", F.col("capacity_mw").cast("double").alias("capacity_mw"), GRID, km.alias("km"))
+    return turbines.crossJoin(F.broadcast(cells)).select(
+        "turbine_id", "group_id", F.col("capacity_mw").cast("double").alias("capacity_mw"), GRID, km.alias("km")
+    )
 
 
 def turbine_weights(dist: DataFrame, methods: tuple[str, ...], power: float = 2.0, neighbours: int = 4) -> DataFrame:
@@ -72,7 +77,10 @@ def turbine_weights(dist: DataFrame, methods: tuple[str, ...], power: float = 2.
     raw = {"nearest": near, "idw": inverse, "knn": F.when(F.col("nth") <= neighbours, inverse).otherwise(0.0)}
     nth = F.row_number().over(all_cells.orderBy("km", GRID))
     rows = dist.withColumn("least", least).withColumn("nth", nth)
-    long = rows.select("turbine_id", "group_id", "capacity_mw", GRID, "km", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), raw[m].alias("raw")) for m in methods])).alias("x"))
+    long = rows.select(
+        "turbine_id", "group_id", "capacity_mw", GRID, "km",
+        F.explode(F.array(*[F.struct(F.lit(m).alias("method"), raw[m].alias("raw")) for m in methods])).alias("x")
+    )
     long = long.select("turbine_id", "group_id", "capacity_mw", GRID, "km", "x.*")
     return long.withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy("turbine_id", "method"))).drop("raw")
 
@@ -91,12 +99,18 @@ def effective_cells(weights: DataFrame) -> DataFrame:
 def nearest_gap(dist: DataFrame) -> DataFrame:
     """The nearest cell of each turbine, its distance, and how much further the next one is."""
     w = Window.partitionBy("turbine_id").orderBy("km", GRID)
-    return dist.select("turbine_id", GRID, "km", F.row_number().over(w).alias("place"), (F.lead("km").over(w) - F.col("km")).alias("gap_km")).filter("place = 1").drop("place")
+    return dist.select(
+        "turbine_id", GRID, "km", F.row_number().over(w).alias("place"), (F.lead("km").over(w) - F.col("km")).alias("gap_km")
+    ).filter("place = 1").drop("place")
 
 
 def in_order(cells) -> list:
     """Ids in order: numbers by value before texts, whose digits count as numbers."""
-    return sorted(cells, key=lambda c: (0, c, ()) if isinstance(c, (int, float)) else (1, 0, tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", str(c)) if x)))
+    return sorted(
+        cells, key=lambda c: (0, c, ()) if isinstance(c, (int, float)) else (
+            1, 0, tuple((0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", str(c)) if x)
+        )
+    )
 
 
 def _number(group: str) -> int:
@@ -152,7 +166,10 @@ class SpatialPooler:
         return reduce(lambda a, b: a.join(b, FORECAST), parts).select(FORECAST, *[F.col(f"`{c}`") for c in self.output_columns])
 
 
-def fit_pooler(train: DataFrame, turbines: DataFrame, source: str, methods: str | tuple[str, ...] = ("nearest", "idw"), power: float = 2.0, prefix: str | None = None, neighbours: int = 4) -> SpatialPooler:
+def fit_pooler(
+    train: DataFrame, turbines: DataFrame, source: str, methods: str | tuple[str, ...] = ("nearest", "idw"), power: float = 2.0,
+    prefix: str | None = None, neighbours: int = 4
+) -> SpatialPooler:
     """A pooler from training weather's geometry and the turbines."""
     check_source(source)
     methods = check_methods(methods)
@@ -170,7 +187,10 @@ def fit_pooler(train: DataFrame, turbines: DataFrame, source: str, methods: str
     fixed = train.sparkSession.createDataFrame([tuple(r) for r in cells], geometry.schema)
     weights = group_weights(turbine_weights(distances(turbines, fixed), methods, power, neighbours)).select("group_id", "method", GRID, "w").collect()
     groups = tuple(sorted({r["group_id"] for r in weights}, key=_number))
-    return SpatialPooler(tuple(tuple(r) for r in weights), tuple(tuple(r) for r in cells), train.schema[GRID].dataType, columns, groups, methods, source, prefix)
+    return SpatialPooler(
+        tuple(tuple(r) for r in weights), tuple(tuple(r) for r in cells), train.schema[GRID].dataType, columns, groups, methods, source,
+        prefix
+    )
 
 
 def bearings(turbines: DataFrame, geometry: DataFrame) -> DataFrame:
@@ -183,17 +203,30 @@ def bearings(turbines: DataFrame, geometry: DataFrame) -> DataFrame:
     return both.select("group_id", GRID, F.when(far > 0, east / far).alias("east"), F.when(far > 0, north / far).alias("north"))
 
 
-def pool_upwind(df: DataFrame, pooler: SpatialPooler, turbines: DataFrame, from_sin: str, from_cos: str, column: str, method: str = "idw", lean: float = 0.5) -> DataFrame:
+def pool_upwind(
+    df: DataFrame, pooler: SpatialPooler, turbines: DataFrame, from_sin: str, from_cos: str, column: str, method: str = "idw",
+    lean: float = 0.5
+) -> DataFrame:
     """(time, group, pooled, plain): a column's mean with a method's weights times 1 + lean cos(angle between a cell's bearing and where the
     cell's wind comes from), so cells upwind count for more; without direction or bearing the factor is 1. plain: without it."""
     require(method in pooler.methods, f"the pooler has no method {method!r}")
     lean = check_number(lean, "lean", least=0.0)
     require(lean < 1, f"lean must be under 1, got {lean!r}")
     s = df.sparkSession
-    weights = s.createDataFrame([(g, cell, w) for g, m, cell, w in pooler.weights if m == method], T.StructType([T.StructField("group_id", T.StringType()), T.StructField(GRID, pooler.grid_type), T.StructField("w", T.DoubleType())]))
-    places = s.createDataFrame(list(pooler.geometry), T.StructType([T.StructField(GRID, pooler.grid_type), T.StructField(LAT, T.DoubleType()), T.StructField(LON, T.DoubleType())]))
+    weights = s.createDataFrame(
+        [(g, cell, w) for g, m, cell, w in pooler.weights if m == method],
+        T.StructType([T.StructField("group_id", T.StringType()), T.StructField(GRID, pooler.grid_type), T.StructField("w", T.DoubleType())])
+    )
+    places = s.createDataFrame(
+        list(pooler.geometry),
+        T.StructType([T.StructField(GRID, pooler.grid_type), T.StructField(LAT, T.DoubleType()), T.StructField(LON, T.DoubleType())])
+    )
     lookup = weights.join(bearings(turbines, places), ["group_id", GRID])  # at most groups x cells rows
     x = F.col(f"`{column}`").cast("double")
-    rows = nan_to_null(df).select(FORECAST, GRID, x.alias("x"), F.col(from_sin).alias("s"), F.col(from_cos).alias("c")).filter("x is not null").join(F.broadcast(lookup), GRID)
+    rows = nan_to_null(df).select(
+        FORECAST, GRID, x.alias("x"), F.col(from_sin).alias("s"), F.col(from_cos).alias("c")
+    ).filter("x is not null").join(F.broadcast(lookup), GRID)
     w = F.col("w") * F.coalesce(1.0 + lean * (F.col("s") * F.col("east") + F.col("c") * F.col("north")), F.lit(1.0))
-    return rows.groupBy(FORECAST, "group_id").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("pooled"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("plain"))
+    return rows.groupBy(FORECAST, "group_id").agg(
+        (F.sum(w * F.col("x")) / F.sum(w)).alias("pooled"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("plain")
+    )

@@ -36,7 +36,10 @@ def with_errors(pairs: DataFrame) -> DataFrame:
 def target_scores(pairs: DataFrame) -> DataFrame:
     """(target, nmae, ficr, valid_rows) of the targets with valid rows. A missing forecast on a valid row makes nmae missing and earns nothing."""
     by = with_errors(pairs).groupBy("target")
-    return by.agg(strict_avg(F.col("error")).alias("nmae"), ratio(F.sum(F.col("actual") * F.col("price")), F.sum(F.col("actual") * TIGHT_PRICE)).alias("ficr"), F.count("*").alias("valid_rows"))
+    return by.agg(
+        strict_avg(F.col("error")).alias("nmae"),
+        ratio(F.sum(F.col("actual") * F.col("price")), F.sum(F.col("actual") * TIGHT_PRICE)).alias("ficr"), F.count("*").alias("valid_rows")
+    )
 
 
 def total_score(pairs: DataFrame) -> DataFrame:
@@ -59,7 +62,9 @@ def diagnostics(pairs: DataFrame) -> DataFrame:
     valid = F.col("actual") >= cap * F.lit(VALID_SHARE)
     share = lambda at: F.avg(F.when(valid, (error <= at).cast("double")))
     return pairs.groupBy("target").agg(
-        F.count("actual").alias("answer_rows"), F.count_if(valid).alias("valid_rows"), F.avg(F.abs(F.col("forecast") - F.col("actual"))).alias("mae"), F.avg(F.when(valid, error)).alias("nmae"),
+        F.count("actual").alias("answer_rows"), F.count_if(valid).alias("valid_rows"), F.avg(
+            F.abs(F.col("forecast") - F.col("actual"))
+        ).alias("mae"), F.avg(F.when(valid, error)).alias("nmae"),
         share(TIGHT_ERROR).alias("within_tight"), share(WIDE_ERROR).alias("within_wide"), F.min("forecast").alias("forecast_min"), F.max("forecast").alias("forecast_max"),
     )
 
@@ -78,7 +83,9 @@ def settlement(pairs: DataFrame, scenarios: dict[str, tuple[float, float]]) -> D
     rows = pairs.filter(F.col("actual") >= cap * F.lit(VALID_SHARE)).withColumn("error", F.abs(F.col("forecast") - F.col("actual")) / cap)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), unit_price(F.col("error"), a, b).alias("price")) for n, (a, b) in scenarios.items()]))
     rows = rows.select("target", "actual", each.alias("x"))
-    return rows.groupBy(F.col("x.scenario").alias("scenario"), "target").agg(ratio(F.sum(F.col("actual") * F.col("x.price")), F.sum(F.col("actual") * TIGHT_PRICE)).alias("ficr"))
+    return rows.groupBy(F.col("x.scenario").alias("scenario"), "target").agg(
+        ratio(F.sum(F.col("actual") * F.col("x.price")), F.sum(F.col("actual") * TIGHT_PRICE)).alias("ficr")
+    )
 
 
 def climatology(labels: DataFrame, time: str, at: DataFrame, at_time: str) -> DataFrame:
@@ -106,7 +113,10 @@ def decide(deltas: DataFrame, name: str = "feature_set", both: bool = False) ->
     good = (total > 0) & (F.col("better") >= 2)
     if both:
         good &= (F.col("d_nmae") <= 0) & (F.col("d_ficr") >= 0)
-    return by.select(name, total.alias("delta_total"), F.col("better").alias("targets_better"), F.when(good, "adopt").when(total > 0, "conditional").otherwise("hold").alias("decision"))
+    return by.select(
+        name, total.alias("delta_total"), F.col("better").alias("targets_better"),
+        F.when(good, "adopt").when(total > 0, "conditional").otherwise("hold").alias("decision")
+    )
 
 
 def bias(pairs: DataFrame) -> DataFrame:
@@ -145,7 +155,10 @@ def threshold_shift(pairs: DataFrame, shifts: tuple[float, ...] = (-0.04, -0.03,
     price = lambda s: unit_price(F.abs(clip(F.col("forecast") + s * cap, 0.0, cap) - actual) / cap)
     valid = pairs.filter(actual >= cap * F.lit(VALID_SHARE))
     sums = valid.groupBy("target").agg(*[ratio(F.sum(actual * price(s)), F.sum(actual * TIGHT_PRICE)).alias(f"s{k}") for k, s in enumerate(shifts)])
-    return sums.select("target", F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"s{k}").alias("ficr")) for k, s in enumerate(shifts)])).alias("x")).select("target", "x.*")
+    return sums.select(
+        "target",
+        F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"s{k}").alias("ficr")) for k, s in enumerate(shifts)])).alias("x")
+    ).select("target", "x.*")
 
 
 def quantile_bands(pairs: DataFrame, shares: tuple[float, ...] = (0.1, 0.5, 0.9), bins: int = 10) -> DataFrame:

@@ -46,7 +46,9 @@ class Cases:
 
     def add(self, item: str, what: str, said: str, run: Callable, n: str | None = None) -> None:
         """run(spark, sf_dir) is refused or admitted; n is SQL for the number that the refusal tells."""
-        self.cases.append((item, what, lambda s, d: outcome(lambda: run(s, d), n is not None), f"SELECT '{item}' AS item, '{what}' AS what, '{said}' AS said, CAST({n or 'NULL'} AS BIGINT) AS n"))
+        self.cases.append(
+            (item, what, lambda s, d: outcome(lambda: run(s, d), n is not None), f"SELECT '{item}' AS item, '{what}' AS what, '{said}' AS said, CAST({n or 'NULL'} AS BIGINT) AS n")
+        )
 
     def register(self) -> None:
         sql = f"WITH {self.tables} " + " UNION ALL ".join(c[3] for c in self.cases)
@@ -82,7 +84,8 @@ def _moved(df: DataFrame, c, hours: int) -> DataFrame:
 for _s, _ok in (("ecmwf", REFUSED), ("", REFUSED), ("gfs", ADMITTED)):
     K.add("K1", f"source {_s}", _ok, lambda s, d, x=_s: contracts.check_source(x))
 for _what, _stats, _ddof, _ok in (
-    ("none", (), 0, REFUSED), ("twice", ("mean", "mean"), 0, REFUSED), ("unknown", ("median",), 0, REFUSED), ("ddof under 0", "mean", -1, REFUSED), ("ddof a truth value", "mean", True, REFUSED), ("ddof a part", "mean", 0.5, REFUSED), ("one text", "mean", 1, ADMITTED),
+    ("none", (), 0, REFUSED), ("twice", ("mean", "mean"), 0, REFUSED), ("unknown", ("median",), 0, REFUSED), ("ddof under 0", "mean", -1, REFUSED),
+    ("ddof a truth value", "mean", True, REFUSED), ("ddof a part", "mean", 0.5, REFUSED), ("one text", "mean", 1, ADMITTED),
 ):
     K.add("K2", _what, _ok, lambda s, d, x=_stats, n=_ddof: contracts.check_statistics(x, n))
 K.add("K3", "no frame", REFUSED, lambda s, d: contracts.check_columns([1], ["a"]))
@@ -101,28 +104,70 @@ K.add("K6", "two leads", REFUSED, lambda s, d: contracts.check_grid(_moved(fx.gr
 K.add("K7", "long lead", REFUSED, lambda s, d: contracts.check_grid(_moved(fx.grid(s, d), _h7(), -30), "ldaps"), H7_FORECASTS)
 K.add("K8", "cell missing", REFUSED, lambda s, d: contracts.check_grid(fx.grid(s, d).filter(~((F.col(GRID) == 3) & _h7())), "ldaps"), H7_FORECASTS)
 K.add("K8", "cells of another source", REFUSED, lambda s, d: contracts.check_grid(fx.grid(s, d), "gfs"), FORECASTS)
-K.add("K9", "cell twice", REFUSED, lambda s, d: contracts.check_grid(fx.grid(s, d).unionByName(fx.grid(s, d).filter((F.col(GRID) == 4) & _h7())), "ldaps"), H7_FORECASTS)
-K.add("K9", "key twice", REFUSED, lambda s, d: contracts.check_unique(fx.grid(s, d).unionByName(fx.grid(s, d).filter((F.col(GRID) == 4) & _h7())), [FORECAST, GRID], "grid"), H7_FORECASTS)
+K.add(
+    "K9", "cell twice", REFUSED, lambda s, d: contracts.check_grid(
+        fx.grid(s, d).unionByName(fx.grid(s, d).filter((F.col(GRID) == 4) & _h7())), "ldaps"
+    ), H7_FORECASTS
+)
+K.add(
+    "K9", "key twice", REFUSED, lambda s, d: contracts.check_unique(
+        fx.grid(s, d).unionByName(fx.grid(s, d).filter((F.col(GRID) == 4) & _h7())), [FORECAST, GRID], "grid"
+    ), H7_FORECASTS
+)
 for _what, _prefixes in (("one", ("a",)), ("equal", ("a", "a")), ("capital", ("A", "b")), ("blank", ("", "b"))):
     K.add("K10", f"prefixes {_what}", REFUSED, lambda s, d, x=_prefixes: grid.weather_features(fx.grid(s, d), fx.grid(s, d, 9), prefixes=x, strict=False))
-K.add("K10", "names clash", REFUSED, lambda s, d: grid.merge_sources(grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False), grid.aggregate_grid(fx.grid(s, d, 9), "gfs", prefix="ldaps", strict=False)))
+K.add(
+    "K10", "names clash", REFUSED, lambda s, d: grid.merge_sources(
+        grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False),
+        grid.aggregate_grid(fx.grid(s, d, 9), "gfs", prefix="ldaps", strict=False)
+    )
+)
 K.add("K10", "prefixes", ADMITTED, lambda s, d: grid.weather_features(fx.grid(s, d), fx.grid(s, d, 9), prefixes=("a", "b1_"), strict=False))
-K.add("K11", "times differ", REFUSED, lambda s, d: grid.merge_sources(grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False), grid.aggregate_grid(fx.grid(s, d).filter(~_h7()), "gfs", strict=False), check_axes=True), H7_FORECASTS)
-K.add("K11", "times agree", ADMITTED, lambda s, d: grid.merge_sources(grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False), grid.aggregate_grid(fx.grid(s, d), "gfs", strict=False), check_axes=True))
-K.add("K12", "test lacks a column", REFUSED, lambda s, d: grid.weather_feature_pair((fx.grid(s, d), fx.grid(s, d).drop("t")), (fx.grid(s, d, 9), fx.grid(s, d, 9)), strict=False))
-K.add("K12", "other order", REFUSED, lambda s, d: grid.weather_feature_pair((fx.grid(s, d), fx.grid(s, d).select(*META, "v", "u", "t")), (fx.grid(s, d, 9), fx.grid(s, d, 9)), strict=False))
+K.add(
+    "K11", "times differ", REFUSED, lambda s, d: grid.merge_sources(
+        grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False), grid.aggregate_grid(fx.grid(s, d).filter(~_h7()), "gfs", strict=False),
+        check_axes=True
+    ), H7_FORECASTS
+)
+K.add(
+    "K11", "times agree", ADMITTED, lambda s, d: grid.merge_sources(
+        grid.aggregate_grid(fx.grid(s, d), "ldaps", strict=False), grid.aggregate_grid(fx.grid(s, d), "gfs", strict=False), check_axes=True
+    )
+)
+K.add(
+    "K12", "test lacks a column", REFUSED, lambda s, d: grid.weather_feature_pair(
+        (fx.grid(s, d), fx.grid(s, d).drop("t")), (fx.grid(s, d, 9), fx.grid(s, d, 9)), strict=False
+    )
+)
+K.add(
+    "K12", "other order", REFUSED, lambda s, d: grid.weather_feature_pair(
+        (fx.grid(s, d), fx.grid(s, d).select(*META, "v", "u", "t")), (fx.grid(s, d, 9), fx.grid(s, d, 9)), strict=False
+    )
+)
 K.add("K13", "no columns", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d).select()))
 K.add("K13", "column twice", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d), ["u", "u"]))
 K.add("K13", "text", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d).select("u", F.lit("x").alias("x"))))
 K.add("K13", "no values", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d).select("u", F.lit(None).cast("double").alias("x"))))
 K.add("K13", "infinite", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d).select("u", F.lit(math.inf).alias("x"))))
 K.add("K13", "other order", REFUSED, lambda s, d: impute.fit_median_imputer(fx.grid(s, d).select("u", "v")).transform(fx.grid(s, d).select("v", "u")))
-K.add("K13", "nothing missing after", ADMITTED, lambda s, d: contracts.require(impute.fit_median_imputer(fx.grid(s, d).select("u", "v")).transform(fx.grid(s, d).select("u", "v")).filter("u is null or v is null").isEmpty(), "gaps"))
+K.add(
+    "K13", "nothing missing after", ADMITTED, lambda s, d: contracts.require(
+        impute.fit_median_imputer(fx.grid(s, d).select("u", "v")).transform(fx.grid(s, d).select("u", "v")).filter("u is null or v is null").isEmpty(),
+        "gaps"
+    )
+)
 PAIR = wind.WindPair("10m", "u", "v")
-for _what, _pairs in (("none", ()), ("no column", (wind.WindPair("a", "u", "w"),)), ("one column", (wind.WindPair("a", "u", "u"),)), ("name", (wind.WindPair("A b", "u", "v"),)), ("equal names", (PAIR, PAIR))):
+for _what, _pairs in (
+    ("none", ()), ("no column", (wind.WindPair("a", "u", "w"),)), ("one column", (wind.WindPair("a", "u", "u"),)),
+    ("name", (wind.WindPair("A b", "u", "v"),)), ("equal names", (PAIR, PAIR))
+):
     K.add("K14", f"pairs {_what}", REFUSED, lambda s, d, x=_pairs: wind.check_pairs(fx.grid(s, d), x))
 K.add("K14", "output is there", REFUSED, lambda s, d: wind.check_pairs(fx.grid(s, d).withColumn(PAIR.outputs[0], F.lit(1.0)), (PAIR,)))
-K.add("K14", "infinite", REFUSED, lambda s, d: wind.check_pairs(fx.grid(s, d).withColumn("u", _where((F.col(GRID) == 3) & _h7(), F.lit(math.inf), F.col("u"))), (PAIR,)), H7_FORECASTS)
+K.add(
+    "K14", "infinite", REFUSED, lambda s, d: wind.check_pairs(
+        fx.grid(s, d).withColumn("u", _where((F.col(GRID) == 3) & _h7(), F.lit(math.inf), F.col("u"))), (PAIR,)
+    ), H7_FORECASTS
+)
 for _what, _calm in (("not a number", math.nan), ("under 0", -1.0), ("truth value", True)):
     K.add("K14", f"calm {_what}", REFUSED, lambda s, d, x=_calm: wind.wind_vectors(fx.grid(s, d), "ldaps", (PAIR,), calm=x))
 K.add("K14", "pair", ADMITTED, lambda s, d: wind.check_pairs(fx.grid(s, d), (PAIR,)))
@@ -141,8 +186,16 @@ for _what, _methods in (("none", ()), ("twice", ("idw", "idw")), ("unknown", ("s
     K.add("K16", f"methods {_what}", REFUSED, lambda s, d, x=_methods: pooling.check_methods(x))
 for _what, _power in (("0", 0.0), ("not a number", math.nan), ("truth value", True), ("text", "2")):
     K.add("K16", f"power {_what}", REFUSED, lambda s, d, x=_power: pooling.fit_pooler(fx.grid(s, d), fx.turbines(s), "ldaps", power=x))
-K.add("K17", "out of range", REFUSED, lambda s, d: pooling.grid_geometry(_lat(fx.grid(s, d), F.col(GRID) == 3, 95.0)), "(SELECT count(*) FROM grid WHERE grid_id = 3)")
-K.add("K17", "moving", REFUSED, lambda s, d: pooling.grid_geometry(fx.grid(s, d).withColumn(LAT, _where(_h7(), F.col(LAT) + 0.1, F.col(LAT)))), "(SELECT count(DISTINCT grid_id) FROM grid)")
+K.add(
+    "K17", "out of range", REFUSED, lambda s, d: pooling.grid_geometry(
+        _lat(fx.grid(s, d), F.col(GRID) == 3, 95.0)
+    ), "(SELECT count(*) FROM grid WHERE grid_id = 3)"
+)
+K.add(
+    "K17", "moving", REFUSED, lambda s, d: pooling.grid_geometry(
+        fx.grid(s, d).withColumn(LAT, _where(_h7(), F.col(LAT) + 0.1, F.col(LAT)))
+    ), "(SELECT count(DISTINCT grid_id) FROM grid)"
+)
 _P = lambda s, d: pooling.fit_pooler(fx.grid(s, d), fx.turbines(s), "ldaps")
 K.add("K18", "other order", REFUSED, lambda s, d: _P(s, d).transform(fx.grid(s, d).select(*META, "v", "u", "t")))
 K.add("K18", "other cells", REFUSED, lambda s, d: _P(s, d).transform(fx.grid(s, d).filter(F.col(GRID) != 3)))
@@ -185,7 +238,12 @@ for _what, _n in (("columns", None), ("rows", "4"), ("ids", "2"), ("times", "0")
 
     K.add("K20", _what, REFUSED, _broken, _n)
 K.add("K20", "whole", ADMITTED, lambda s, d: submission.require_valid(_sample(s), _sample(s), rows=5))
-K.add("K20", "all faults at once", REFUSED, lambda s, d: contracts.require(False, str(len(submission.validate(_BROKEN["negative"](_BROKEN["over capacity"](_BROKEN["times"](_sample(s)))), _sample(s), rows=5).errors))), "3")
+K.add(
+    "K20", "all faults at once", REFUSED, lambda s, d: contracts.require(
+        False,
+        str(len(submission.validate(_BROKEN["negative"](_BROKEN["over capacity"](_BROKEN["times"](_sample(s)))), _sample(s), rows=5).errors))
+    ), "3"
+)
 K.add("K21", "encoding", REFUSED, lambda s, d: submission.canonical_bytes(_sample(s), "latin-1"))
 K.add("K21", "encodings", ADMITTED, lambda s, d: [submission.canonical_bytes(_sample(s), e) for e in ("utf-8", "utf-8-sig")])
 K.register()
@@ -274,11 +332,17 @@ def _(s, d):
         tell("S1", "canonical CSV", sha256(whole))
         tell("S1", "without mark", sha256(submission.canonical_bytes(rows, "utf-8")))
         tell("F1", "rows in any order", sha256(submission.canonical_bytes(rows.repartition(5, TARGETS[0]), "utf-8")))
-        capped = rows.select("forecast_id", F.date_format(FORECAST, "yyyy-MM-dd HH:mm:ss").alias(FORECAST), *[F.least(F.col(t), F.lit(21000.0)).alias(t) for t in TARGETS])
+        capped = rows.select(
+            "forecast_id", F.date_format(FORECAST, "yyyy-MM-dd HH:mm:ss").alias(FORECAST),
+            *[F.least(F.col(t), F.lit(21000.0)).alias(t) for t in TARGETS]
+        )
         sample = capped.orderBy("forecast_id")
         submission.write_validated(sample, sample, f"{at}/sub.csv", rows=n)
         store.create(f"{at}/own/sub.csv", whole)
-        tell("S2", "written", sha256(store.read(f"{at}/own/sub.csv")) if sha256(store.read(f"{at}/sub.csv")) == sha256(submission.canonical_bytes(sample)) else "other bytes")
+        tell(
+            "S2", "written",
+            sha256(store.read(f"{at}/own/sub.csv")) if sha256(store.read(f"{at}/sub.csv")) == sha256(submission.canonical_bytes(sample)) else "other bytes"
+        )
         tries("S2", "written again", lambda: submission.write_validated(sample, sample, f"{at}/sub.csv", rows=n))
 
         def fails(sha):
@@ -298,12 +362,20 @@ def _(s, d):
         weather = grid.aggregate_grid(fx.grid(s, d), "ldaps", include_lead=True, strict=False)
         train, features = baseline.training_features(fx.labels(s, d).drop("f"), weather)
         bundle = baseline.fit_forests(train, features, SMALL)
-        profile = {"feature_matrix": {"rows": n, "feature_columns": features, "feature_schema_sha256": lineage.feature_schema_sha(train, features)}, "labels": {"rows": n}}
-        save = lambda model, doc, p=profile: lineage.save_artifact(bundle, f"{at}/{model}", f"{at}/{doc}", config=config, profile=p, commit=COMMIT, manifest_sha=MANIFEST, at=AT)
+        profile = {
+            "feature_matrix": {"rows": n, "feature_columns": features, "feature_schema_sha256": lineage.feature_schema_sha(train, features)},
+            "labels": {"rows": n}
+        }
+        save = lambda model, doc, p=profile: lineage.save_artifact(
+            bundle, f"{at}/{model}", f"{at}/{doc}", config=config, profile=p, commit=COMMIT, manifest_sha=MANIFEST, at=AT
+        )
         document = save("model", "model.json")
         tries("S4", "document is there", lambda: save("other", "model.json"), f", model {'there' if store.exists(f'{at}/other') else 'gone'}")
         raw = store.read(f"{at}/model.json")
-        tell("S5", "document", "canonical" if raw == (lineage.canonical_json(document) + "\n").encode() and document["model"]["features"] == features else "not canonical")
+        tell(
+            "S5", "document",
+            "canonical" if raw == (lineage.canonical_json(document) + "\n").encode() and document["model"]["features"] == features else "not canonical"
+        )
         book = lineage.Registry(s, f"{at}/runs.csv")
         entry = lineage.registry_entry(s, document, f"{at}/model", f"{at}/model.json")
         book.append(entry)
@@ -346,7 +418,11 @@ def _(s, d):
         predict = lambda: baseline.build_submission(template, baseline.predict(bundle, told, ["forecast_id"]))
         repeats = lineage.verify_repeats(predict)
         tell("J8", "repeats", f"{len(set(repeats['hashes']))} hash")
-        tries("J6", "template with a gap", lambda: baseline.build_submission(template, baseline.predict(bundle, told.filter("forecast_id > 'forecast_00003'"), ["forecast_id"])))
+        tries(
+            "J6", "template with a gap", lambda: baseline.build_submission(
+                template, baseline.predict(bundle, told.filter("forecast_id > 'forecast_00003'"), ["forecast_id"])
+            )
+        )
         tell("J7", "rows predicted", predict().filter(" and ".join(f"{t} >= 0" for t in TARGETS)).count())
     rows.unpersist()
     return s.createDataFrame(out, "item string, what string, said string")
@@ -376,16 +452,28 @@ def _workbook() -> bytes:
     number = lambda x: f'<c r="{{}}"><v>{x}</v></c>'
     cells = {"A1": inline("turbines"), **{f"{c}3": shared(x) for c, x in zip("BCDEF", texts, strict=False)}}
     for row, x in zip((4, 5, 7), _BOOK, strict=True):
-        cells |= {f"{c}{row}": shared(v) if v in texts else number(v) if re.fullmatch(r"[\d.]+", v) else inline(v.replace('"', "&quot;")) for c, v in zip("BCDEF", x, strict=True) if v is not None}
+        cells |= {
+            f"{c}{row}": shared(v) if v in texts else number(v) if re.fullmatch(r"[\d.]+", v) else inline(v.replace('"', "&quot;"))
+            for c, v in zip("BCDEF", x, strict=True) if v is not None
+        }
     by_row: dict[int, str] = {}
     for place, c in cells.items():
         by_row[int(place[1:])] = by_row.get(int(place[1:]), "") + c.format(place)
     main, out = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="info" sheetId="1" r:id="rId7"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr(
+            "xl/workbook.xml",
+            f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="info" sheetId="1" r:id="rId7"/></sheets></workbook>'
+        )
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/sheet1.xml"/></Relationships>'
+        )
         z.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{t}</t></si>' for t in texts)}</sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(f'<row r="{k}">{c}</row>' for k, c in sorted(by_row.items()))}</sheetData></worksheet>")
+        z.writestr(
+            "xl/worksheets/sheet1.xml",
+            f"<worksheet {main}><sheetData>{''.join(f'<row r="{k}">{c}</row>' for k, c in sorted(by_row.items()))}</sheetData></worksheet>"
+        )
     return out.getvalue()
 
 
@@ -438,7 +526,10 @@ def _(s, d):
         one = print_.first()
         tell("A5", "fingerprint", f"{one['bytes']} {one['sha256']}")
         tell("A5", "no file", fails(lambda: files.fingerprints(s, {"a": f"{at}/none"})))
-        store.create(f"{at}/M.md", f"# data\n| path | bytes | hash |\n|-|-|-|\n| `a` | {one['bytes']} B | `{one['sha256'].upper()}` |\n| gone | 1,000 | {'0' * 64} |\n".encode())
+        store.create(
+            f"{at}/M.md",
+            f"# data\n| path | bytes | hash |\n|-|-|-|\n| `a` | {one['bytes']} B | `{one['sha256'].upper()}` |\n| gone | 1,000 | {'0' * 64} |\n".encode()
+        )
         manifest = files.read_manifest(s, f"{at}/M.md")
         tell("A4", "manifest rows", manifest.count())
         audited = files.manifest_audit(manifest, print_.withColumn("path", F.lit("a"))).orderBy("path").collect()
@@ -460,23 +551,37 @@ def official(s: SparkSession, d: str, source: str, n: int, cells: int) -> DataFr
     return fx.grid(s, d, cells).select(*META, *made)
 
 
-_SETS = [("mean", 74), ("expanded", 271), ("expanded_vector", 319), ("nearest_all", 550), ("nearest_own", 396), ("idw1_all", 550), ("idw2_all", 550), ("idw2_own", 396)]
+_SETS = [
+    ("mean", 74), ("expanded", 271), ("expanded_vector", 319), ("nearest_all", 550), ("nearest_own", 396), ("idw1_all", 550),
+    ("idw2_all", 550), ("idw2_own", 396)
+]
 
 
-@query("feature_sets", " UNION ALL ".join(f"SELECT '{n}' AS feature_set, '{t}' AS target, CAST({k} AS BIGINT) AS features, CAST({k} AS BIGINT) AS different, true AS found" for n, k in _SETS for t in TARGETS))
+@query(
+    "feature_sets",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS feature_set, '{t}' AS target, CAST({k} AS BIGINT) AS features, CAST({k} AS BIGINT) AS different, true AS found"
+        for n, k in _SETS for t in TARGETS
+    )
+)
 def _(s, d):
     """The experiment's eight sets over matrices of the official width: their columns by target, all of which the joined matrix has."""
     four, raw = ("mean", "std", "min", "max"), {"ldaps": official(s, d, "ldaps", 30, 16), "gfs": official(s, d, "gfs", 35, 9)}
     mean = [c for k, f in raw.items() for c in grid.aggregate_grid(f, k, strict=False).columns[1:]]
     expanded = [grid.aggregate_grid(f, k, four, include_lead=True, strict=False) for k, f in raw.items()]
     pairs = {k: tuple(wind.WindPair(*p) for p in wind.WIND_PAIRS[k]) for k in raw}
-    vectors = [grid.aggregate_grid(wind.wind_vectors(f, k, strict=False).select(*META, *[o for p in pairs[k] for o in p.outputs]), k, four, strict=False) for k, f in raw.items()]
+    vectors = [
+        grid.aggregate_grid(wind.wind_vectors(f, k, strict=False).select(*META, *[o for p in pairs[k] for o in p.outputs]), k, four, strict=False)
+        for k, f in raw.items()
+    ]
     pooled = {}
     for name, method, power in (("nearest", "nearest", 2.0), ("idw1", "idw", 1.0), ("idw2", "idw", 2.0)):
         more = {k: wind.wind_vectors(f, k, strict=False) for k, f in raw.items()}
         pooled[name] = [pooling.fit_pooler(f, fx.turbines(s), k, method, power, f"{k}_{name}") for k, f in more.items()]
     columns = {n: [c for p in both for c in p.output_columns] for n, both in pooled.items()}
-    sets = baseline.feature_sets(list(baseline.CALENDAR), mean, [c for e in expanded for c in e.columns[1:]], [c for v in vectors for c in v.columns[1:]], columns)
+    sets = baseline.feature_sets(
+        list(baseline.CALENDAR), mean, [c for e in expanded for c in e.columns[1:]], [c for v in vectors for c in v.columns[1:]], columns
+    )
     known = {*baseline.CALENDAR, *mean, *(c for f in [*expanded, *vectors] for c in f.columns), *(c for cs in columns.values() for c in cs)}
     rows = [(n, t, len(cs), len(set(cs)), set(cs) <= known) for n, by in sets.items() if n in dict(_SETS) for t, cs in by.items()]
     return s.createDataFrame(rows, "feature_set string, target string, features long, different long, found boolean")
@@ -503,7 +608,10 @@ def _(s, d):
     out: list[tuple[str, str, str]] = []
     tell = lambda item, what, said: out.append((item, what, str(said)))
     made = grid.aggregate_grid(fx.grid(s, d), "ldaps", ("std", "mean"), include_lead=True, strict=False)
-    many = fx.turbines(s).withColumn("group_id", F.concat(F.lit("group_"), F.element_at(F.array(F.lit("9"), F.lit("10"), F.lit("2")), F.substring("group_id", 7, 1).cast("int"))))
+    many = fx.turbines(s).withColumn(
+        "group_id",
+        F.concat(F.lit("group_"), F.element_at(F.array(F.lit("9"), F.lit("10"), F.lit("2")), F.substring("group_id", 7, 1).cast("int")))
+    )
     tell("F2", "groups", ",".join(pooling.fit_pooler(fx.grid(s, d), many, "ldaps", "nearest").groups))
     tell("F3", "cells", ",".join(map(str, pooling.in_order(["a10", 10, "a2", 9]))))
     tell("B17", "columns with _u_", ",".join(c for c in made.columns if "_u_" in c))
@@ -511,7 +619,12 @@ def _(s, d):
     families = [baseline.feature_family(c) for c in features]
     tell("B18", "families", ",".join(f"{k} {families.count(k)}" for k in dict.fromkeys(families)))
     bundle = baseline.Bundle(impute.MedianImputer(("u",), (0.0,)), {}, ("u",))
-    tell("B5", "projection", ",".join([*baseline.predict(bundle, s.createDataFrame([("a", 1.0, 2.0)], "forecast_id string, u double, more double"), ["forecast_id"]).columns, *TARGETS]))
+    tell(
+        "B5", "projection",
+        ",".join(
+            [*baseline.predict(bundle, s.createDataFrame([("a", 1.0, 2.0)], "forecast_id string, u double, more double"), ["forecast_id"]).columns, *TARGETS]
+        )
+    )
     tell("I22", "names", ",".join(made.columns[1:]))
     tell("G3", "clash", outcome(lambda: grid.merge_sources(made, made))[0])
     tell("C14", "cell sets", outcome(lambda: pooling.fit_pooler(fx.grid(s, d), fx.turbines(s), "ldaps").check(fx.grid(s, d).filter(F.col(GRID) > 0)))[0])
@@ -529,7 +642,9 @@ def _(s, d):
     v = F.col("value")
     margins, powers = scalars.speed_margins(v, "group_3"), scalars.speed_powers(v)
     return fx.table(s, d, "events").select(
-        "event_id", finite(F.when(v >= 50, F.lit(math.inf)).otherwise(v)).alias("is_finite"), F.col("event_type").rlike("^[a-z][a-z0-9_]*$").alias("is_name"), scalars.stamp(F.col("ts")).alias("time_text"), scalars.period(F.col("ts")).alias("period"),
+        "event_id", finite(
+            F.when(v >= 50, F.lit(math.inf)).otherwise(v)
+        ).alias("is_finite"), F.col("event_type").rlike("^[a-z][a-z0-9_]*$").alias("is_name"), scalars.stamp(F.col("ts")).alias("time_text"), scalars.period(F.col("ts")).alias("period"),
         F.round(powers["v2"], 6).alias("v2"), F.round(powers["v3"], 6).alias("v3"), margins["cut_in_margin"].alias("cut_in"), margins["rated_margin"].alias("rated"), margins["cut_out_margin"].alias("cut_out"), margins["stands_still"].alias("stands_still"),
     )
 
@@ -555,7 +670,10 @@ def _(s, d):
     rows, features = baseline.training_features(fx.labels(s, d), grid.aggregate_grid(fx.grid(s, d).drop("v"), "ldaps", strict=False))
     bundle = baseline.fit_forests(rows, features, SMALL)
     told = dict(zip(bundle.imputer.columns, bundle.imputer.medians, strict=True))
-    return s.createDataFrame([(told["ldaps_u_mean"], told["ldaps_t_mean"], *[bundle.train_rows[t] for t in TARGETS])], "u double, t double, " + ", ".join(f"{t} long" for t in TARGETS))
+    return s.createDataFrame(
+        [(told["ldaps_u_mean"], told["ldaps_t_mean"], *[bundle.train_rows[t] for t in TARGETS])],
+        "u double, t double, " + ", ".join(f"{t} long" for t in TARGETS)
+    )
 
 
 _PAIRS = f"WITH {fx.labels_sql()}, {fx.predictions_sql()}, {fx.long_sql()}"
@@ -568,7 +686,10 @@ def _(s, d):
     return scoring.threshold_shift(scoring.pair_up(fx.labels(s, d), fx.predictions(s, d), "kst_dtm"), _SHIFTS)
 
 
-@query("quantile_bands", _PAIRS + f" SELECT target, CAST(least(greatest(floor(forecast * 10 / cap), 0), 9) AS BIGINT) AS band, count(*) AS rows, {', '.join(f'{r(f"quantile_cont(actual, {q})")} AS q{round(100 * q):02d}' for q in (0.1, 0.5, 0.9))} FROM pairs WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY 1, 2")
+@query(
+    "quantile_bands",
+    _PAIRS + f" SELECT target, CAST(least(greatest(floor(forecast * 10 / cap), 0), 9) AS BIGINT) AS band, count(*) AS rows, {', '.join(f'{r(f"quantile_cont(actual, {q})")} AS q{round(100 * q):02d}' for q in (0.1, 0.5, 0.9))} FROM pairs WHERE actual IS NOT NULL AND forecast IS NOT NULL GROUP BY 1, 2"
+)
 def _(s, d):
     return scoring.quantile_bands(scoring.pair_up(fx.labels(s, d), fx.predictions(s, d), "kst_dtm"))
 
@@ -598,7 +719,13 @@ def _(s, d):
     return pooling.fit_pooler(f, fx.turbines(s), "ldaps", "knn", neighbours=3).transform(f)
 
 
-@query("inventory", f"WITH {fx.grid_sql(16)} SELECT column_name, dtype, missing, distinct_values FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{k}' AS dtype, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM grid" for c, k in ((FORECAST, "timestamp_ntz"), (GRID, "bigint"), ("u", "double"))) + ")")
+@query(
+    "inventory",
+    f"WITH {fx.grid_sql(16)} SELECT column_name, dtype, missing, distinct_values FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{k}' AS dtype, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM grid"
+        for c, k in ((FORECAST, "timestamp_ntz"), (GRID, "bigint"), ("u", "double"))
+    ) + ")"
+)
 def _(s, d):
     return audit.column_inventory(fx.grid(s, d).select(FORECAST, GRID, "u"))
 
@@ -607,14 +734,23 @@ def _(s, d):
 def _(s, d):
     """Boosted trees and their blend with forests, over the hours that they were fitted on."""
     rows, features = baseline.training_features(fx.labels(s, d), grid.aggregate_grid(fx.grid(s, d), "ldaps", ("mean", "max"), strict=False))
-    told = [baseline.predict(baseline.fit_forests(rows, features, p, boosted=b), rows, [FORECAST]) for p, b in (({"maxIter": 8}, True), ({"numTrees": 12, "maxDepth": 6}, False))]
+    told = [
+        baseline.predict(baseline.fit_forests(rows, features, p, boosted=b), rows, [FORECAST])
+        for p, b in (({"maxIter": 8}, True), ({"numTrees": 12, "maxDepth": 6}, False))
+    ]
     return baseline.blend(told, [FORECAST])
 
 
 _HELD = f"WITH {fx.labels_sql()}, h AS (SELECT *, f >= (SELECT max(f) FROM labels) * 2 // 3 AS held FROM labels) "
 
 
-@query("rf_checks", _HELD + " UNION ALL ".join(f"SELECT '{t}' AS target, count(*) FILTER (NOT held AND {t} IS NOT NULL) AS fit_rows, count(*) FILTER (held) AS rows, count(*) FILTER (held) AS within_capacity, true AS same_again, true AS varies FROM h" for t in TARGETS))
+@query(
+    "rf_checks",
+    _HELD + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, count(*) FILTER (NOT held AND {t} IS NOT NULL) AS fit_rows, count(*) FILTER (held) AS rows, count(*) FILTER (held) AS within_capacity, true AS same_again, true AS varies FROM h"
+        for t in TARGETS
+    )
+)
 def _(s, d):
     """A forest for each target, fitted twice on the first two thirds of the hours: rows, predictions within capacity, equal ones after a second fit."""
     lab = fx.labels(s, d)
@@ -626,6 +762,9 @@ def _(s, d):
     told = scoring.long_targets(baseline.predict(bundle, held, [FORECAST]), FORECAST, "y")
     twice = told.join(scoring.long_targets(baseline.predict(again, held, [FORECAST]), FORECAST, "z"), [FORECAST, "target"])
     within = F.col("y").between(0.0, scalars.capacity_of(F.col("target")))
-    by = twice.groupBy("target").agg(F.count("*").alias("rows"), F.count_if(within).alias("within_capacity"), F.bool_and(F.col("y") == F.col("z")).alias("same_again"), (F.min("y") < F.max("y")).alias("varies"))
+    by = twice.groupBy("target").agg(
+        F.count("*").alias("rows"), F.count_if(within).alias("within_capacity"), F.bool_and(F.col("y") == F.col("z")).alias("same_again"),
+        (F.min("y") < F.max("y")).alias("varies")
+    )
     counts = s.createDataFrame(list(bundle.train_rows.items()), "target string, fit_rows long")
     return by.join(F.broadcast(counts), "target")

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from zephyrlake.schema import CAPACITY, TARGETS, TURBINES
 
 #: id, group, latitude, longitude, capacity in MW.
-TURBINE_ROWS = [(f"g{1 + (k > 5) + (k > 11)}_{k:02d}", f"group_{1 + (k > 5) + (k > 11)}", 37.0 + 0.003 * k, 128.9 + 0.0025 * ((k * 7) % 17), 3.6 if k < 12 else 4.2) for k in range(17)]
+TURBINE_ROWS = [
+    (f"g{1 + (k > 5) + (k > 11)}_{k:02d}", f"group_{1 + (k > 5) + (k > 11)}", 37.0 + 0.003 * k, 128.9 + 0.0025 * ((k * 7) % 17), 3.6 if k < 12 else 4.2)
+    for k in range(17)
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +47,10 @@ def grid_sql(n: int = 16, name: str = "grid") -> str:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kst_dtm and three targets within 2 % over capacity; the third is missing in the first third of the hours."""
-    y = ", ".join(f"CASE WHEN {k} = 3 AND f * 3 < max(f) OVER () THEN NULL ELSE {CAPACITY[t] * 1.02}D * ((s * {k}) % 1000) / 999D END AS {t}" for k, t in enumerate(TARGETS, 1))
+    y = ", ".join(
+        f"CASE WHEN {k} = 3 AND f * 3 < max(f) OVER () THEN NULL ELSE {CAPACITY[t] * 1.02}D * ((s * {k}) % 1000) / 999D END AS {t}"
+        for k, t in enumerate(TARGETS, 1)
+    )
     return spark.sql(
         f"""
         WITH h AS (SELECT event_id div 16 AS f, sum(cast(floor(value * 100) AS bigint)) AS s FROM {{events}} GROUP BY 1)
@@ -55,7 +61,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels_sql() -> str:
-    y = ", ".join(f"CASE WHEN {k} = 3 AND f * 3 < (SELECT max(f) FROM hourly) THEN NULL ELSE {CAPACITY[t] * 1.02}e0 * ((s * {k}) % 1000) / 999e0 END AS {t}" for k, t in enumerate(TARGETS, 1))
+    y = ", ".join(
+        f"CASE WHEN {k} = 3 AND f * 3 < (SELECT max(f) FROM hourly) THEN NULL ELSE {CAPACITY[t] * 1.02}e0 * ((s * {k}) % 1000) / 999e0 END AS {t}"
+        for k, t in enumerate(TARGETS, 1)
+    )
     return f"""hourly AS (SELECT event_id // 16 AS f, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY 1),
 labels AS (SELECT TIMESTAMP '2024-01-01 01:00:00' + to_hours(f) AS kst_dtm, {y}, f FROM hourly)"""
 

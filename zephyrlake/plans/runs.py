@@ -43,7 +43,10 @@ def data_profile(labels: DataFrame, ldaps: DataFrame, gfs: DataFrame, rows: Data
     return {
         "labels": {"rows": labels.count(), "columns": list(labels.columns), "targets": targets},
         "weather": {n: text(weather_profile(d).first().asDict()) for n, d in (("ldaps", ldaps), ("gfs", gfs))},
-        "feature_matrix": {"rows": rows.count(), "columns": len(features), "feature_columns": list(features), "feature_schema_sha256": lineage.feature_schema_sha(rows, features), **missing},
+        "feature_matrix": {
+            "rows": rows.count(), "columns": len(features), "feature_columns": list(features),
+            "feature_schema_sha256": lineage.feature_schema_sha(rows, features), **missing
+        },
     }
 
 
@@ -86,7 +89,10 @@ def train(spark: SparkSession, a: argparse.Namespace) -> dict:
         bundle = fit_forests(rows, features, config.params())
         inputs = {r["name"]: r.asDict() for r in fingerprints(spark, paths).collect()}
         profile = data_profile(labels, ldaps, gfs, rows, features)
-        document = lineage.save_artifact(bundle, a.model, told, config=config, profile=profile, commit=commit, manifest_sha=manifest_sha, at=a.created_at, inputs=inputs, validation=validation)
+        document = lineage.save_artifact(
+            bundle, a.model, told, config=config, profile=profile, commit=commit, manifest_sha=manifest_sha, at=a.created_at, inputs=inputs,
+            validation=validation
+        )
     finally:
         rows.unpersist()
     try:
@@ -117,7 +123,10 @@ def infer(spark: SparkSession, a: argparse.Namespace) -> str:
 #: Options of a command: names, and what argparse is told of them.
 PLACES = {
     "train": (("labels", "train-labels"), ("ldaps", "ldaps-train"), ("gfs", "gfs-train"), ("model", "model-output"), ("registry", "registry-output")),
-    "infer": (("sample", "sample-submission"), ("ldaps", "ldaps-test"), ("gfs", "gfs-test"), ("model", "model-input"), ("registry", "run-registry"), ("out", "submission-output")),
+    "infer": (
+        ("sample", "sample-submission"), ("ldaps", "ldaps-test"), ("gfs", "gfs-test"), ("model", "model-input"),
+        ("registry", "run-registry"), ("out", "submission-output")
+    ),
 }
 MORE = {
     "train": (

@@ -26,7 +26,15 @@ def violations(df: DataFrame) -> DataFrame:
     """(target, missing, negative, over_capacity) counts; texts that are no number count as missing."""
     values = [(t, F.col(t).try_cast("double")) for t in TARGETS]
     gone = lambda v: v.isNull() | F.isnan(v)
-    r = df.agg(*[x.alias(f"{t}_{n}") for t, v in values for n, x in (("missing", F.count_if(gone(v))), ("negative", F.count_if(~gone(v) & (v < 0))), ("over_capacity", F.count_if(~gone(v) & (v > CAPACITY[t]))))])
+    r = df.agg(
+        *[
+            x.alias(f"{t}_{n}")
+            for t, v in values for n, x in (
+                ("missing", F.count_if(gone(v))), ("negative", F.count_if(~gone(v) & (v < 0))),
+                ("over_capacity", F.count_if(~gone(v) & (v > CAPACITY[t])))
+            )
+        ]
+    )
     rows = [F.struct(F.lit(t).alias("target"), *[F.col(f"{t}_{n}").alias(n) for n in ("missing", "negative", "over_capacity")]) for t in TARGETS]
     return r.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
@@ -35,7 +43,9 @@ def with_place(df: DataFrame, place: str = "row_place") -> DataFrame:
     """Rows numbered from 0 in the frame's own order; for templates of a few thousand rows, which one task may order."""
     if place in df.columns:
         return df
-    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn(place, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_m")) - 1).drop("_m")
+    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn(
+        place, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_m")) - 1
+    ).drop("_m")
 
 
 def validate(submission: DataFrame, sample: DataFrame, rows: int = SUBMISSION_ROWS) -> Report:
@@ -77,7 +87,9 @@ def canonical_bytes(df: DataFrame, encoding: str = "utf-8-sig") -> bytes:
     place = "row_place"
     columns = [c for c in df.columns if c != place]
     times = {f.name for f in df.schema if f.dataType.typeName().startswith("timestamp")}
-    rows = df.orderBy(place if place in df.columns else "forecast_id").select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in times else F.col(c) for c in columns]).collect()
+    rows = df.orderBy(place if place in df.columns else "forecast_id").select(
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in times else F.col(c) for c in columns]
+    ).collect()
     cell = lambda v: "" if v is None else repr(v) if isinstance(v, float) else str(v)
     quote = lambda s: '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\n\r') else s
     return "".join(",".join(map(quote, line)) + "\n" for line in [columns, *[[cell(v) for v in r] for r in rows]]).encode(encoding)

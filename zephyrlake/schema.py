@@ -31,13 +31,21 @@ WIND_PAIRS = {
 }
 
 LABELS = T.StructType([T.StructField(LABEL_TIME, T.TimestampNTZType()), *[T.StructField(t, T.DoubleType()) for t in TARGETS]])
-SUBMISSION = T.StructType([T.StructField("forecast_id", T.StringType()), T.StructField(FORECAST, T.StringType()), *[T.StructField(t, T.DoubleType()) for t in TARGETS]])
+SUBMISSION = T.StructType(
+    [T.StructField("forecast_id", T.StringType()), T.StructField(FORECAST, T.StringType()), *[T.StructField(t, T.DoubleType()) for t in TARGETS]]
+)
 TURBINES = T.StructType(
-    [T.StructField("turbine_id", T.StringType()), T.StructField("group_id", T.StringType()), T.StructField(LAT, T.DoubleType()), T.StructField(LON, T.DoubleType()), T.StructField("capacity_mw", T.DoubleType())]
+    [
+        T.StructField("turbine_id", T.StringType()), T.StructField("group_id", T.StringType()), T.StructField(LAT, T.DoubleType()),
+        T.StructField(LON, T.DoubleType()), T.StructField("capacity_mw", T.DoubleType())
+    ]
 )
 
 
 def weather(values: list[str], grid: T.DataType | None = None) -> T.StructType:
     """The schema of a gridded forecast with these value columns."""
-    head = [T.StructField(FORECAST, T.TimestampNTZType()), T.StructField(AVAILABLE, T.TimestampNTZType()), T.StructField(GRID, grid or T.LongType()), T.StructField(LAT, T.DoubleType()), T.StructField(LON, T.DoubleType())]
+    head = [
+        T.StructField(FORECAST, T.TimestampNTZType()), T.StructField(AVAILABLE, T.TimestampNTZType()),
+        T.StructField(GRID, grid or T.LongType()), T.StructField(LAT, T.DoubleType()), T.StructField(LON, T.DoubleType())
+    ]
     return T.StructType([*head, *[T.StructField(v, T.DoubleType()) for v in values]])

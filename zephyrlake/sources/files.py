@@ -43,7 +43,9 @@ def fingerprints(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             raise FileNotFoundError(f"{name}: {path}")
     made = None
     for name, path in paths.items():
-        one = spark.read.format("binaryFile").load(path).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        one = spark.read.format("binaryFile").load(path).select(
+            F.lit(name).alias("name"), F.lit(path).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+        )
         made = one if made is None else made.unionByName(one)
     require(made is not None, "no files")
     return made
@@ -52,7 +54,10 @@ def fingerprints(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 def manifest_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """By expected path: is it there, do size and hash agree, and all of it."""
     a = actual.select("path", F.col("bytes").alias("a_bytes"), F.lower("sha256").alias("a_sha"))
-    rows = expected.join(a, "path", "left").select("path", F.col("a_bytes").isNotNull().alias("exists"), F.coalesce(F.col("bytes") == F.col("a_bytes"), F.lit(False)).alias("size_ok"), F.coalesce(F.lower("sha256") == F.col("a_sha"), F.lit(False)).alias("hash_ok"))
+    rows = expected.join(a, "path", "left").select(
+        "path", F.col("a_bytes").isNotNull().alias("exists"), F.coalesce(F.col("bytes") == F.col("a_bytes"), F.lit(False)).alias("size_ok"),
+        F.coalesce(F.lower("sha256") == F.col("a_sha"), F.lit(False)).alias("hash_ok")
+    )
     return rows.withColumn("ok", F.col("exists") & F.col("size_ok") & F.col("hash_ok"))
 
 
@@ -74,7 +79,10 @@ def workbook_cells(data: bytes, sheet: str | None = None) -> dict[int, dict[int,
         book, links = ElementTree.fromstring(z.read("xl/workbook.xml")), ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
         sheets = {x.get("name"): x.get(_ID) for x in book.iterfind("m:sheets/m:sheet", _XML)}
         require(bool(sheets) and (sheet is None or sheet in sheets), f"no sheet {sheet!r} among {list(sheets)}")
-        target = next(x.get("Target") for x in links.iterfind("r:Relationship", _XML) if x.get("Id") == (sheets[sheet] if sheet else next(iter(sheets.values()))))
+        target = next(
+            x.get("Target")
+            for x in links.iterfind("r:Relationship", _XML) if x.get("Id") == (sheets[sheet] if sheet else next(iter(sheets.values())))
+        )
         text = lambda x: "".join(t.text or "" for t in x.iter(f"{{{_XML['m']}}}t"))
         shared = [text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _XML)] if "xl/sharedStrings.xml" in names else []
         page = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
@@ -110,9 +118,15 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None, header_row:
 def notebook_stats(spark: SparkSession, path: str) -> DataFrame:
     """(path, cells, code_cells, markdown_cells, executed, with_output, errors) of notebook files."""
     cell = "struct<cell_type:string,execution_count:bigint,outputs:array<struct<output_type:string>>>"
-    books = spark.read.schema(f"cells array<{cell}>").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.explode_outer("cells").alias("c"))
+    books = spark.read.schema(f"cells array<{cell}>").json(path, multiLine=True).select(
+        F.col("_metadata.file_path").alias("path"), F.explode_outer("cells").alias("c")
+    )
     code = F.col("c.cell_type") == "code"
     return books.groupBy("path").agg(
-        F.count("c").alias("cells"), F.count_if(code).alias("code_cells"), F.count_if(F.col("c.cell_type") == "markdown").alias("markdown_cells"), F.count_if(code & F.col("c.execution_count").isNotNull()).alias("executed"),
-        F.count_if(code & (F.size("c.outputs") > 0)).alias("with_output"), F.count_if(F.exists("c.outputs", lambda o: o["output_type"] == "error")).alias("errors"),
+        F.count("c").alias("cells"), F.count_if(code).alias("code_cells"), F.count_if(F.col("c.cell_type") == "markdown").alias("markdown_cells"), F.count_if(
+            code & F.col("c.execution_count").isNotNull()
+        ).alias("executed"),
+        F.count_if(code & (F.size("c.outputs") > 0)).alias("with_output"), F.count_if(
+            F.exists("c.outputs", lambda o: o["output_type"] == "error")
+        ).alias("errors"),
     )
