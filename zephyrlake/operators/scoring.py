@@ -102,7 +102,7 @@ def climatology(labels: DataFrame, time: str, at: DataFrame, at_time: str) -> Da
 def scoreboard_delta(scores: DataFrame, control: str, name: str = "feature_set") -> DataFrame:
     """Each candidate's metrics less the control's by target."""
     base = scores.filter(F.col(name) == control).select("target", F.col("nmae").alias("c_nmae"), F.col("ficr").alias("c_ficr"))
-    rows = scores.filter(F.col(name) != control).join(F.broadcast(base), "target")
+    rows = scores.filter(F.col(name) != control).join(F.broadcast(base), "target")  # a row for each of three targets
     return rows.select(name, "target", (F.col("nmae") - F.col("c_nmae")).alias("delta_nmae"), (F.col("ficr") - F.col("c_ficr")).alias("delta_ficr"))
 
 

@@ -10,7 +10,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from zephyrlake.functions import scalars
 from zephyrlake.functions.nulls import clip
