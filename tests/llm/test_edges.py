@@ -17,17 +17,30 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int",
     "conversations": "conv_id long, turn long, role string, text string",
 }
-CLASH = ("id", "version", "digest", "class", "component_id", "h", "hs", "n", "pos", "item", "shard", "slot", "size", "start", "copy", "removed_chunks", "score", "ids", "row", "bucket", "host", "rank", "node", "parent", "tree")
+CLASH = (
+    "id", "version", "digest", "class", "component_id", "h", "hs", "n", "pos", "item", "shard", "slot", "size", "start", "copy",
+    "removed_chunks", "score", "ids", "row", "bucket", "host", "rank", "node", "parent", "tree"
+)
 ITEM, LONG, SAME = prose(900, 30, 4000), prose(1, 40_000, 4000), prose(2, 80, 4000)
 TEXTS = [*ODD, LONG, f"{LONG} {ITEM}", SAME, SAME, f"{SAME} end", prose(5, 60), f"{prose(6, 30)} scumbag"]
 DOCS = [(k, t, "en", "s", None) for k, t in enumerate(TEXTS)]
-AGAIN = [DOCS[len(ODD) + 2], (5, "another text of a known id", None, None, 1), (None, "without id", None, None, None), (None, None, None, None, None), (None, SAME, None, None, None)]
+AGAIN = [
+    DOCS[len(ODD) + 2], (5, "another text of a known id", None, None, 1), (None, "without id", None, None, None),
+    (None, None, None, None, None), (None, SAME, None, None, None)
+]
 ROWS = {
     "documents": DOCS,
-    "pages": [(0, None, None), (1, "", ""), (2, "no scheme", "<a href='http://x.net/fr/'>"), (3, "http://x.net/fr/1", None), (3, "http://x.net/fr/1", None), (4, "HTTP://Y.COM/", "<a href=//x.net>" * 9000), (None, "http://z.org", "<a href='https://x.net/en'>")],
+    "pages": [
+        (0, None, None), (1, "", ""), (2, "no scheme", "<a href='http://x.net/fr/'>"), (3, "http://x.net/fr/1", None),
+        (3, "http://x.net/fr/1", None), (4, "HTTP://Y.COM/", "<a href=//x.net>" * 9000),
+        (None, "http://z.org", "<a href='https://x.net/en'>")
+    ],
     "benchmark": [(0, ITEM), (1, None), (2, ""), (None, "four words only here"), (0, "more of the same item than was"), (3, " , ")],
     "labels": [(k, None, int(k == len(TEXTS) - 1)) for k in range(len(TEXTS))] + [(None, 1, 1), (3, None, None), (4, 0, 1)],
-    "conversations": [(1, 0, "user", None), (1, 1, "assistant", "</turn>\n<turn user>\\l"), (1, 1, "assistant", ""), (2, None, None, None), (None, 0, "user", "no conversation"), (3, 5, "assistant", "x" * 100_000)],
+    "conversations": [
+        (1, 0, "user", None), (1, 1, "assistant", "</turn>\n<turn user>\\l"), (1, 1, "assistant", ""), (2, None, None, None),
+        (None, 0, "user", "no conversation"), (3, 5, "assistant", "x" * 100_000)
+    ],
 }
 
 
@@ -43,7 +56,10 @@ def tables(spark, path, rows, clash):
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("edges")
-    return {"plain": tables(spark, top / "plain", ROWS, False), "clash": tables(spark, top / "clash", ROWS | {"documents": DOCS + AGAIN}, True), "empty": tables(spark, top / "empty", {}, True)}
+    return {
+        "plain": tables(spark, top / "plain", ROWS, False), "clash": tables(spark, top / "clash", ROWS | {"documents": DOCS + AGAIN}, True),
+        "empty": tables(spark, top / "empty", {}, True)
+    }
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -101,7 +117,10 @@ def test_pipeline_over_odd_rows(spark, odd):
 def test_linked_pages_against_sql(spark):
     """Walks over links, with strong and weak blocked seeds, by the query's rules in SQL."""
     pages = [("http://good.com/", '<a href="http://a.org/">'), ("http://a.org/", '<a href="http://b.org/"> <a href="http://bad.net/">'), ("http://b.org/", "")]
-    pages += [("http://bad.net/fr/", '<a href="http://c.org/">'), *[(f"http://l{k}.org/", '<a href="http://bad.net/">') for k in range(300)], *[("http://weak.net/en/", "") for _ in range(400)], ("http://weak.net/fr/", ""), ("http://w.org/", '<a href="http://weak.net/">')]
+    pages += [
+        ("http://bad.net/fr/", '<a href="http://c.org/">'), *[(f"http://l{k}.org/", '<a href="http://bad.net/">') for k in range(300)],
+        *[("http://weak.net/en/", "") for _ in range(400)], ("http://weak.net/fr/", ""), ("http://w.org/", '<a href="http://weak.net/">')
+    ]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], SCHEMAS["pages"])
     con = duckdb.connect()
     con.register("pages", df.toPandas())

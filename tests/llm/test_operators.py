@@ -47,7 +47,10 @@ def test_media_round_trip_and_faults():
         s = media.read_stream(stream)
         assert len(payload) % 576 == 0 and len(stream) % 188 == 0 and s.payload[media.ES_PID] == payload
         assert s.programs == {1: media.PMT_PID} and s.streams == {media.ES_PID: 6} and not (s.jumps or s.lost_sync or s.bad_sections)
-        assert [u[1] for u in s.units] == [k * media.TICKS for k in range(len(payload) // 576)] and [k for k, u in enumerate(s.units) if u[4]] == list(range(0, len(s.units), 16))
+        assert [u[1] for u in s.units] == [
+            k * media.TICKS
+            for k in range(len(payload) // 576)
+        ] and [k for k, u in enumerate(s.units) if u[4]] == list(range(0, len(s.units), 16))
     lost = stream[: 188 * 9] + stream[188 * 10 :]
     assert media.read_stream(lost).jumps == 1
     twice = stream[: 188 * 9] + stream[188 * 8 : 188 * 9] + stream[188 * 9 :]
@@ -96,7 +99,9 @@ def ts_packets(pid, body, first=0, start=True):
 def test_media_tables_over_several_packets():
     pat = media._section(0, 1, b"\x00\x01" + (0xE000 | 0x100).to_bytes(2, "big") + b"\x00\x02" + (0xE000 | 0x101).to_bytes(2, "big"))
     streams = {0x200 + k: 6 + k % 3 for k in range(70)}
-    pmt = lambda some, number: media._section(2, number, b"\xff\xff\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p, kind in some.items()))
+    pmt = lambda some, number: media._section(
+        2, number, b"\xff\xff\xf0\x00" + b"".join(bytes([kind]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for p, kind in some.items())
+    )
     one, two = dict(list(streams.items())[:60]), dict(list(streams.items())[60:])
     unit = lambda k: ts_packets(0x200 + k, media._pes(k, bytes([k]) * 300))
     tables = ts_packets(0, b"\x00" + pat) + ts_packets(0x100, b"\x00" + pmt(one, 1)) + ts_packets(0x101, b"\x00" + pmt(two, 2) + pmt({0x900: 9}, 2))
@@ -133,7 +138,10 @@ def test_licenses(spark):
     full = licenses.TEMPLATES["GPL-3.0-header"]
     cut = " ".join(w for k, w in enumerate(full.split()) if k % 6)  # five of six words
     half = " ".join(full.split()[::2])
-    texts = [*ODD, " ".join([*noise, full, *noise]), " ".join([*noise, cut]), " ".join([*noise, half]), "RELEASED   under\nthe MIT license.", " ".join(noise), licenses.TEMPLATES["MIT"] + " " + " ".join(noise) + " " + licenses.TEMPLATES["MIT"]]
+    texts = [
+        *ODD, " ".join([*noise, full, *noise]), " ".join([*noise, cut]), " ".join([*noise, half]), "RELEASED   under\nthe MIT license.",
+        " ".join(noise), licenses.TEMPLATES["MIT"] + " " + " ".join(noise) + " " + licenses.TEMPLATES["MIT"]
+    ]
     found = defaultdict(list)
     for r in licenses.find_licenses(docs(spark, texts)).collect():
         found[r.doc_id].append((r.license_id, round(r.coverage, 2), r.first_word))
@@ -235,7 +243,13 @@ PAGES = [
 def test_url_verdicts_and_graph(spark):
     df = spark.createDataFrame([(*p, "host", 1) for p in PAGES], "page_id long, url string, html string, host string, rank int")
     rows = {r.page_id: r for r in url_graph.judge(df).collect()}
-    want = {0: ("good.example.com", "/x", "com/", "allow"), 1: ("friend.org", "/", None, "allow"), 3: ("bad.net", "/fr/1", "net/fr/", "block"), 4: ("bad.net", "/en/1", None, "block"), 5: ("linker.org", "", None, "block"), 6: ("innocent.org", "/a/b", None, "allow"), 7: ("", "", None, "allow"), 9: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 10: ("shop.example.com", "/en/1", "example.com/en/", "block"), 11: ("example.net", "/es/", "net/es/", "block"), 12: ("notexample.com", "", None, "allow")}
+    want = {
+        0: ("good.example.com", "/x", "com/", "allow"), 1: ("friend.org", "/", None, "allow"), 3: ("bad.net", "/fr/1", "net/fr/", "block"),
+        4: ("bad.net", "/en/1", None, "block"), 5: ("linker.org", "", None, "block"), 6: ("innocent.org", "/a/b", None, "allow"),
+        7: ("", "", None, "allow"), 9: ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        10: ("shop.example.com", "/en/1", "example.com/en/", "block"), 11: ("example.net", "/es/", "net/es/", "block"),
+        12: ("notexample.com", "", None, "allow")
+    }
     assert {k: (rows[k].host, rows[k].path, rows[k].rule, rows[k].verdict) for k in want} == want
     assert rows[1].trust > rows[2].trust > 0 and rows[5].distrust > 0 and rows[6].distrust == 0
     assert url_graph.judge(df.limit(0)).count() == 0
@@ -243,7 +257,10 @@ def test_url_verdicts_and_graph(spark):
 
 def test_linkers_of_a_popular_blocked_host(spark):
     pages = [(f"http://bad{n}.net/fr/", "") for n in (10, 100, 10_000)] + [("http://weak.net/fr/", ""), *[(f"http://weak.net/en/{k}", "") for k in range(999)]]
-    pages += [(f"http://l{k}of{n}.org/", f'<a href="http://bad{n}.net/">') for n in (10, 100, 10_000) for k in range(n)] + [("http://ofweak.org/", '<a href="http://weak.net/">')]
+    pages += [
+        (f"http://l{k}of{n}.org/", f'<a href="http://bad{n}.net/">')
+        for n in (10, 100, 10_000) for k in range(n)
+    ] + [("http://ofweak.org/", '<a href="http://weak.net/">')]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     got = Counter((r.host.split("of")[1], r.verdict) for r in url_graph.judge(df).collect() if "of" in r.host)
     assert got == {("10.org", "block"): 10, ("100.org", "block"): 100, ("10000.org", "block"): 10_000, ("weak.org", "allow"): 1}
@@ -257,7 +274,10 @@ def test_walk_against_brute_force(spark, tmp_path):
     edges = [e for e in edges if e[0] != e[1]]
     seeds = {f"h{k}": url_graph.ONE * (k + 1) // 7 for k in range(0, 30, 7)}
     cfg = url_graph.Propagation()
-    got = url_graph.walk(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(seeds.items()), "host string, mass long"), cfg, Scratch(spark, "walk"), "w")
+    got = url_graph.walk(
+        spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(seeds.items()), "host string, mass long"), cfg,
+        Scratch(spark, "walk"), "w"
+    )
     out = Counter(s for s, _ in edges)
     base = {h: m * 15 // 100 for h, m in seeds.items()}
     rank = dict(base)
@@ -324,7 +344,9 @@ def test_word_hashes_cut_as_words(monkeypatch):
 
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
-    rows = spark.createDataFrame([(None, "same words here"), (3, "same words here"), (3, "same words here"), (None, "alone in this")], "doc_id long, text string")
+    rows = spark.createDataFrame(
+        [(None, "same words here"), (3, "same words here"), (3, "same words here"), (None, "alone in this")], "doc_id long, text string"
+    )
     got = sorted((r.doc_id or -1, r.component_id) for r in near_dedup.near_duplicates(rows).collect() if r.component_id is not None)
     assert got == [(-1, 3), (3, 3), (3, 3)]
 
@@ -567,7 +589,13 @@ def test_passages_of_lines_of_any_length(spark):
 def test_template_is_reversible():
     rng = random.Random(1)
     for _ in range(300):
-        turns = [("".join(rng.choice("ab<>/\\\n lgnturn") for _ in range(rng.randrange(5))), "".join(rng.choice("<>/\\\nlgn turn é😀") for _ in range(rng.randrange(20)))) for _ in range(rng.randrange(5))]
+        turns = [
+            (
+                "".join(rng.choice("ab<>/\\\n lgnturn") for _ in range(rng.randrange(5))),
+                "".join(rng.choice("<>/\\\nlgn turn é😀") for _ in range(rng.randrange(20)))
+            )
+            for _ in range(rng.randrange(5))
+        ]
         turns.append(("assistant", "<turn user>\\l\\\n</turn>"))
         text, spans = chat.format_turns(turns)
         assert chat.parse_turns(text) == turns
@@ -586,7 +614,10 @@ def test_reply_paths_against_brute_force(spark):
             parent = None if k == 0 else rng.randrange(k) if t % 3 else k - 1
             tree[(t, k)] = (parent, float(rng.randrange(5)))
             rows.append((t, k, parent, "user" if k % 2 else "assistant", f"t{k}", tree[(t, k)][1]))
-    rows += [(99, 1, 2, "user", "loop", 1.0), (99, 2, 1, "user", "loop", 1.0), (50, 7, 8, "user", "orphan", None), (50, None, None, "user", "no id", 1.0), rows[0]]
+    rows += [
+        (99, 1, 2, "user", "loop", 1.0), (99, 2, 1, "user", "loop", 1.0), (50, 7, 8, "user", "orphan", None),
+        (50, None, None, "user", "no id", 1.0), rows[0]
+    ]
     df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
     want = {}
     for t in range(12):
@@ -720,7 +751,9 @@ def test_query_against_sql(spark, db, name):
     columns = sorted(df.columns)
     want = db.sql(queries.ORACLE_SQL[name])
     assert sorted(want.columns) == columns
-    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(map(repr, want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(
+        map(repr, want.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+    )
 
 
 def test_op1_digests(spark, db):
@@ -728,7 +761,9 @@ def test_op1_digests(spark, db):
     for r in queries.QUERIES["op1_media"](spark, DATA).collect():
         data = text[r.doc_id].encode()
         payload = media.pad(data)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
+            len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
+        )
         stored = media.write_stream(payload)
         assert plain_demux(stored) == payload
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
@@ -739,7 +774,9 @@ def test_op4_and_op6(spark, db):
     ids = sorted(text)
     want = brute_components([text[k] for k in ids], near_dedup.NearDup(words=3, num=85))
     for r in queries.QUERIES["op4_near_dedup"](spark, DATA).collect():
-        assert (r.n_shingles, r.component_id, r.kept) == (want[ids.index(r.doc_id)][0], ids[want[ids.index(r.doc_id)][1]], r.doc_id == ids[want[ids.index(r.doc_id)][1]])
+        assert (r.n_shingles, r.component_id, r.kept) == (
+            want[ids.index(r.doc_id)][0], ids[want[ids.index(r.doc_id)][1]], r.doc_id == ids[want[ids.index(r.doc_id)][1]]
+        )
     rows = queries.QUERIES["op6_sharding"](spark, DATA).collect()
     load = Counter()
     for r in rows:

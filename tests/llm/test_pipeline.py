@@ -24,7 +24,10 @@ def corpus(spark, tmp_path_factory):
         w[rng.randrange(80)] = rng.choice(["moronic", "worthless"])
         texts[k] = " ".join(w)
     leaks, passages, copies = [301, 302], [303, 304, 305], [306, 307, 308]
-    texts += [None, f"{texts[1]} {item}", f"{item} {texts[2]}", *[f"{prose(3000 + k, 30, 4000)}\n{passage}" for k in range(3)], copy, copy + " tail", mutate(copy, 0.01, rng), ""]
+    texts += [
+        None, f"{texts[1]} {item}", f"{item} {texts[2]}", *[f"{prose(3000 + k, 30, 4000)}\n{passage}" for k in range(3)], copy,
+        copy + " tail", mutate(copy, 0.01, rng), ""
+    ]
     rows = [(k, t, "en", "src0", None if t is None else len(t)) for k, t in enumerate(texts)]
     spark.createDataFrame([*rows, (None, "without id", None, None, None)], COLUMNS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")

@@ -75,14 +75,19 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "reply-paths")
-    kept = nodes.filter("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x"))
+    kept = nodes.filter("node is not null").groupBy("tree", "node").agg(
+        F.min(F.struct("parent", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("x")
+    )
     kept = scratch.write(kept.select("tree", "node", "x.*"), "nodes")
 
     up = kept.select(F.col("tree"), F.col("node").alias("above")).alias("u")
     links = kept.alias("n").join(up, F.col("n.tree").eqNullSafe(F.col("u.tree")) & (F.col("n.parent") == F.col("u.above")), "left")
     # far: the ancestor 2**k up; steps, total: how many messages and what score from there (not included) to here.
     # Rows that have reached their root are done and are only looked up, so a round costs what is still open.
-    start = scratch.write(links.select("n.tree", "n.node", F.col("u.above").alias("far"), F.lit(1).cast("long").alias("steps"), F.col("n.score").alias("total")), "jump-0")
+    start = scratch.write(
+        links.select("n.tree", "n.node", F.col("u.above").alias("far"), F.lit(1).cast("long").alias("steps"), F.col("n.score").alias("total")),
+        "jump-0"
+    )
     jumps, done, open_before = [start.filter("far is not null")], [start.filter("far is null")], None
     while True:
         open_now = jumps[-1].count()
@@ -91,7 +96,10 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         open_before = open_now
         a, b = jumps[-1].alias("a"), reduce(DataFrame.unionByName, [jumps[-1], *done]).alias("b")
         met = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.far") == F.col("b.node")))
-        met = scratch.write(met.select("a.tree", "a.node", "b.far", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")), f"jump-{len(jumps)}")
+        met = scratch.write(
+            met.select("a.tree", "a.node", "b.far", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")),
+            f"jump-{len(jumps)}"
+        )
         jumps.append(met.filter("far is not null"))
         done.append(met.filter("far is null"))
 
@@ -112,7 +120,10 @@ def reply_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
         further = on_path.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("at_"))).withColumn("at", F.col("far"))
         parts.append(scratch.write(further.select(*on_path.columns), f"path-{len(parts)}"))
     on_path = reduce(DataFrame.unionByName, parts)
-    told = kept.join(depth.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("steps").alias("depth")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+    told = kept.join(
+        depth.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("steps").alias("depth")),
+        F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
+    )
     told = told.select(F.col("tree").alias("t"), "node", "role", "text", "depth")
     joined = on_path.join(told, F.col("tree").eqNullSafe(F.col("t")) & (F.col("at") == F.col("node")))
     return joined.select("tree", "leaf", "path_rank", "path_score", "depth", "node", "role", "text")
@@ -151,7 +162,12 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             turns = parse_turns(formatted)
             loss = "".join(unescape(formatted[s["start"] : s["end"]]) for s in spans)
             told = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((conv, len(turns), hashlib.sha256(told.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted)))
+            rows.append(
+                (
+                    conv, len(turns), hashlib.sha256(told.encode("utf-8", "surrogatepass")).hexdigest(), len(loss),
+                    hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted)
+                )
+            )
         yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 

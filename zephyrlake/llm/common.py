@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +56,19 @@ class Scratch:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
 
+#: Rows that a Python worker gets at once, at most.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends at most BATCH_ROWS rows at once to Python workers from now on: ten thousand long texts, Spark's default, are
+    held several times over outside an executor's heap."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def releasing(run: Callable) -> Callable:
     """run, a function over a partition's batches, that gives freed memory back to the system at the partition's end: Python workers live on,
     and what one stage took would else be missing to the next."""
@@ -67,8 +79,8 @@ def releasing(run: Callable) -> Callable:
         finally:
             gc.collect()
             pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
     return over
 

@@ -90,7 +90,9 @@ def word_hashes(text: Column) -> Column:
 def _joined(hashes: Column, k: int) -> Column:
     """Hashes of the k-word shingles in order; none where there are fewer words."""
     at = F.sequence(F.lit(0), F.size(hashes) - k)
-    return F.when(F.size(hashes) >= k, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(
+        F.size(hashes) >= k, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingle_hashes(text: Column, lengths: tuple[int, ...]) -> Column:
@@ -111,7 +113,10 @@ def item_hashes(text: Column, cfg: Decontamination) -> Column:
     return F.when(some, let(word_hashes(text), lambda h: F.filter(told(h), lambda x: F.size(h) >= cfg.shortest)))
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", cfg: Decontamination | None = None) -> DataFrame:
+def find_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
+    cfg: Decontamination | None = None
+) -> DataFrame:
     """(id, item, n_item_shingles, n_shared, containment) of each item contained in a text to the threshold."""
     cfg = cfg or Decontamination()
     spark = docs.sparkSession
@@ -144,12 +149,17 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_c
     full = may.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("v"), F.explode(shingle_hashes(F.col(text_col), lengths)).alias("h"))
     if small:
         full = full.join(F.broadcast(item.select("h").distinct()), "h", "left_semi")
-    wanted = candidates.alias("c").join(hint(item.alias("t")), F.col("c.item").eqNullSafe(F.col("t.item"))).select("id", "version", "c.item", "size", F.col("t.h").alias("g"))
+    wanted = candidates.alias("c").join(
+        hint(item.alias("t")), F.col("c.item").eqNullSafe(F.col("t.item"))
+    ).select("id", "version", "c.item", "size", F.col("t.h").alias("g"))
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("version") == F.col("v")) & (F.col("g") == F.col("h"))
     shared = wanted.join(full.hint("merge"), same).groupBy("id", "version", "item", "size").agg(F.count_distinct("h").alias("shared"))
     contained = shared.filter(cfg.den * F.col("shared") >= cfg.num * F.col("size")).groupBy("id", "item", "size").agg(F.max("shared").alias("shared"))
     share = (F.col("shared") / F.col("size")).alias("containment")
-    return contained.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_item_shingles"), F.col("shared").alias("n_shared"), share)
+    return contained.select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_item_shingles"), F.col("shared").alias("n_shared"),
+        share
+    )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

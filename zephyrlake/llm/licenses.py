@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import read
+from zephyrlake.llm.common import in_small_batches, read, releasing
 
 _WORD = re.compile(r"[^\W_+]+(?:\.[^\W_]+)*\+*")
 
@@ -221,7 +221,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "id long, license_id string, coverage double, matched_words long, first_word long, last_word long, text_words long"
-    return rows.mapInPandas(run, kind).withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInPandas(releasing(run), kind).withColumnRenamed("id", id_col)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,16 +87,24 @@ def _runs(rows: DataFrame, repeated: DataFrame, cfg: LineDedup) -> DataFrame:
     copies = may.join(repeated.hint("merge"), "h").filter(~is_first)
     copies = copies.groupBy("id", "version", "pos").agg(*[F.first(c).alias(c) for c in ("h", "words", "lines")])  # rows of equal id and text are one
     run = F.col("pos") - F.row_number().over(Window.partitionBy("id", "version").orderBy("pos"))
-    of = copies.withColumn("run", run).groupBy("id", "version", "run").agg(F.sum("words").alias("words"), F.sum("lines").alias("lines"), F.collect_list(F.struct("pos", "h")).alias("c"))
+    of = copies.withColumn("run", run).groupBy("id", "version", "run").agg(
+        F.sum("words").alias("words"), F.sum("lines").alias("lines"), F.collect_list(F.struct("pos", "h")).alias("c")
+    )
     gone = (F.col("words") >= cfg.long_words) | ((F.col("lines") >= 2) & (F.col("words") >= cfg.least_words))
     return of.filter(gone).select("id", "version", F.explode("c").alias("c")).select("id", "version", "c.*")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: LineDedup | None = None, count_col: str = "removed_chunks") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: LineDedup | None = None, count_col: str = "removed_chunks"
+) -> DataFrame:
     """docs with runs of repeated chunks taken out of text_col, and count_col (long): how many chunks went."""
     cfg = cfg or LineDedup()
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    told = F.transform(line_chunks(F.col(text_col), cfg), lambda c: F.struct(c["pos"].alias("pos"), F.xxhash64(c["text"]).alias("h"), c["words"].alias("words"), c["lines"].alias("lines")))
+    told = F.transform(
+        line_chunks(F.col(text_col), cfg), lambda c: F.struct(
+            c["pos"].alias("pos"), F.xxhash64(c["text"]).alias("h"), c["words"].alias("words"), c["lines"].alias("lines")
+        )
+    )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.explode(told).alias("c"))
     rows = scratch.write(rows.select("id", "version", "c.*"), "rows")
 
@@ -114,7 +122,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = lambda df, c: df.select(F.col("id").alias(i), F.col("version").alias(v), F.col(c).alias(g))
     held, _ = split_by_slots(docs, slot_of(id_col, F.xxhash64(text_col)), wanted.select(slot_of("id", "version")))
     held = held.join(named(wanted, "c").hint("merge"), same)
-    text_of = let(line_chunks(F.col(text_col), cfg), lambda c: F.transform(F.col(g), lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), x["is_first"].alias("is_first"), F.get(c, x["pos"])["text"].alias("text"))))
+    text_of = let(
+        line_chunks(F.col(text_col), cfg), lambda c: F.transform(
+            F.col(g), lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), x["is_first"].alias("is_first"), F.get(c, x["pos"])["text"].alias("text"))
+        )
+    )
     texts = held.select(F.col(i).alias("id"), F.col(v).alias("version"), F.explode(text_of).alias("c"))
     texts = scratch.write(texts.select("id", "version", "c.*"), "texts")
     first = texts.filter("is_first").select("h", F.col("text").alias("first_text")).dropDuplicates(["h"])

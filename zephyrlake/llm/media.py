@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zephyrlake.llm.common import read
+from zephyrlake.llm.common import in_small_batches, read, releasing
 
 PACKET, UNIT, TICKS, RAP_EVERY = 188, 576, 6480, 16
 PAT_PID, PMT_PID, ES_PID, PRIVATE = 0, 0x1000, 0x0100, 0xBD
@@ -301,7 +301,12 @@ def index(df: DataFrame, media_col: str = "media", index_col: str = "media_index
         rows = []
         for m in media:
             s = read_stream(m)
-            rows.append((s.packets, s.programs, s.streams, s.errors, s.jumps, s.repeats, s.lost_sync, s.bad_sections, [dict(zip(names, u, strict=True)) for u in s.units]))
+            rows.append(
+                (
+                    s.packets, s.programs, s.streams, s.errors, s.jumps, s.repeats, s.lost_sync, s.bad_sections,
+                    [dict(zip(names, u, strict=True)) for u in s.units]
+                )
+            )
         return pd.DataFrame(rows, columns=["packets", "programs", "streams", "errors", "jumps", "repeats", "lost_sync", "bad_sections", "units"])
 
     return df.withColumn(index_col, run(F.col(media_col)))
@@ -315,11 +320,51 @@ def _round_trip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             media = write_stream(pad(data))
             s = read_stream(media)
             back = s.payload.get(ES_PID, b"")
-            rows.append((doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
+            rows.append(
+                (
+                    doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media),
+                    hashlib.sha256(media).hexdigest(), feature(s)
+                )
+            )
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text of documents stored as a transport stream, read back and indexed; digests only, so no stream leaves its task."""
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return read(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_round_trip, kind)
+    return in_small_batches(read(spark, sf_dir, "documents")).select("doc_id", "text").mapInPandas(releasing(_round_trip), kind)
+
+
+#: The stream by the letter of its layout: four packets a unit, the tables before every sixteenth, all in hexadecimal digits.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT list(c ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256)))),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, greatest(1, (n_bytes + 575) // 576) AS units,
+    rpad(hex(encode(coalesce(text, ''))), CAST(units * 1152 AS INTEGER), 'F') AS payload FROM documents),
+k AS (SELECT doc_id, CAST(unnest(range(units)) AS BIGINT) AS k, payload FROM d),
+u AS (
+  SELECT doc_id, k, (k * 6480) & 8589934591 AS pts, k % 16 = 0 AS rap, (4 * k) % 16 AS c, substr(payload, CAST(k * 1152 + 1 AS INTEGER), 1152) AS unit FROM k),
+p AS (
+  SELECT *, '000001BD0248848005' || format('{:02X}{:02X}{:02X}{:02X}{:02X}', 33 | ((pts >> 29) & 14), (pts >> 22) & 255, 1 | ((pts >> 14) & 254), (pts >> 7) & 255, 1 | ((pts << 1) & 254)) || unit AS pes,
+    CASE WHEN rap THEN 176 ELSE 184 END AS room FROM u),
+q AS (
+  SELECT doc_id, k,
+    CASE WHEN rap THEN
+      '474000' || format('{:02X}', 16 | ((k // 16) & 15)) || rpad('0000B00D0001C100000001F0002AB104B2', 368, 'F') ||
+      '475000' || format('{:02X}', 16 | ((k // 16) & 15)) || rpad('0002B0120001C10000E100F00006E100F000BE7FA052', 368, 'F') ||
+      '474100' || format('{:02X}', 48 | c) || '0750' || format('{:012X}', (pts << 15) | 32256)
+    ELSE '474100' || format('{:02X}', 16 | c) END || substr(pes, 1, 2 * room) ||
+    '470100' || format('{:02X}', 16 | (c + 1)) || substr(pes, 2 * room + 1, 368) ||
+    '470100' || format('{:02X}', 16 | (c + 2)) || substr(pes, 2 * room + 369, 368) ||
+    '470100' || format('{:02X}', 48 | (c + 3)) || CASE WHEN rap THEN '8900' || repeat('F', 272) ELSE '9100' || repeat('F', 288) END || substr(pes, 2 * room + 737) AS packets FROM p),
+m AS (SELECT doc_id, string_agg(packets, '' ORDER BY k) AS media FROM q GROUP BY doc_id),
+e AS (SELECT doc_id, [CAST(4294967295 AS BIGINT)] || [CAST('0x' || x AS BIGINT) for x in regexp_extract_all(right(payload, 64), '..')] AS tail FROM d)
+SELECT d.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(units * 576 AS BIGINT) AS payload_bytes, sha256(unhex(payload)) AS payload_sha256,
+  xor(list_reduce(tail, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS tail_crc32, CAST(length(media) // 2 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'mpegts packets=' || (4 * units + 2 * ((units + 15) // 16)) || ' programs=1 streams=256:6 units=' || units || ' random_access=' || ((units + 15) // 16) || ' pts=0..' || ((units - 1) * 6480)
+    || ' jumps=0 lost_sync=0 bad_sections=0 errors=0 damaged=0' AS feature
+FROM d JOIN m ON d.doc_id = m.doc_id JOIN e ON d.doc_id = e.doc_id, t
+"""

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import ASCII_LOWER, Scratch, read, releasing, slot_of, split_by_slots
+from zephyrlake.llm.common import ASCII_LOWER, Scratch, in_small_batches, read, releasing, slot_of, split_by_slots
 
 UNIVERSE_BITS = 20
 #: The hashes' odd multipliers; any odd 64-bit numbers do.
@@ -284,7 +284,10 @@ def _open(member: DataFrame, first: DataFrame) -> DataFrame:
     """(bucket, class, comp): members of the buckets of three or more that the stars leave spanning components; of buckets with the same members one."""
     labelled = member.join(first.withColumnRenamed("v", "class"), "class", "left").select("bucket", "class", F.coalesce("c", "class").alias("comp"))
     same = [F.sum(F.xxhash64("class", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
-    spans = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a"), F.max("class").alias("z"), *same)
+    spans = labelled.groupBy("bucket").agg(
+        F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("class").alias("a"), F.max("class").alias("z"),
+        *same
+    )
     spans = spans.filter("m > 2 and lo < hi").groupBy("m", "a", "z", "s1", "s2").agg(F.min("bucket").alias("bucket"))
     return labelled.join(spans.select("bucket"), "bucket")
 
@@ -293,8 +296,11 @@ def _blocks(rows: DataFrame, cfg: NearDup, scratch: Scratch) -> DataFrame:
     """(bucket, i, j, block, class, comp): the block pairs of each bucket; rows has bucket, class, comp, n (shingles)."""
     by_comp = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     blocks = lambda m, n: F.greatest(F.ceil(m / cfg.block_rows), F.ceil(n / cfg.block)).cast("int")
-    totals = by_comp.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", (-F.col("comp")).alias("c"), "n")).alias("most"))
-    totals = totals.select("bucket", (-F.col("most.c")).alias("base"), blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("others"), blocks(F.col("most.m"), F.col("most.n")).alias("own"))
+    totals = by_comp.groupBy("bucket").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", F.bitwise_not("comp").alias("c"), "n")).alias("most"))
+    totals = totals.select(
+        "bucket", F.bitwise_not("most.c").alias("base"), blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("others"),
+        blocks(F.col("most.m"), F.col("most.n")).alias("own")
+    )
     totals = scratch.write(totals, "totals")  # written, so that Spark can split a large bucket where the two are joined
     dealt = rows.join(totals.hint("merge"), "bucket").withColumn("is_base", F.col("comp") == F.col("base"))
     block = F.when(F.col("is_base"), F.col("others") + F.pmod(F.xxhash64("class"), F.col("own"))).otherwise(F.pmod(F.xxhash64("class"), F.col("others")))
@@ -307,12 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, class_id, component_id for each row: class_id is the smallest id of equal word sequences, component_id the smallest that links reach."""
     cfg, spark = cfg or NearDup(), docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version"),
+        F.col(text_col).cast("string").alias("text")
+    )
     kind = "id long, version long, n long, digest binary, bands array<long>"
-    signed = scratch.write(docs.mapInPandas(releasing(_sign(cfg)), kind), "signed")
+    signed = scratch.write(in_small_batches(docs).mapInPandas(releasing(_sign(cfg)), kind), "signed")
 
     # least: the smallest id; one: a row that has the class's text
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.struct("id", "version")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.filter("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("least"), F.min(F.struct("id", "version")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
     classes = numbered(classes, scratch)
     # a bucket is a band's key; one member has nothing to be compared with
     member = classes.select(F.explode("bands").alias("bucket"), "class")
@@ -344,11 +355,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = scratch.write(final.join(second, "comp", "left").select("class", "least", F.coalesce("top", "comp").alias("comp")), "final")
     smallest = final.groupBy("comp").agg(F.min("least").alias("component"))
     final = final.join(smallest, "comp").select("class", "component")
-    final = classes.select("digest", "class", "least").join(final, "class", "left").select("digest", "least", F.coalesce("component", "least").alias("component"))
+    final = classes.select("digest", "class", "least").join(final, "class", "left").select(
+        "digest", "least", F.coalesce("component", "least").alias("component")
+    )
     final = scratch.write(signed.select("id", "n", "digest").join(final, "digest", "left"), "result")
     for name in ("signed", "member", "pairs", "ends", "texts", "stars", "open", "totals", "links", "final"):
         scratch.drop(name)
-    return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    return final.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("class_id"),
+        F.coalesce("component", "id").alias("component_id")
+    )
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import read, releasing
+from zephyrlake.llm.common import in_small_batches, read, releasing
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -254,7 +254,10 @@ class Pieces:
         count = (sym != GONE).astype(np.int64)
         odd = np.flatnonzero((sym >= LETTER) & (sym != GONE))
         kinds, of = np.unique(sym[odd], return_inverse=True)
-        spelling = [[self.bytes_.get(b, self.unknown) for b in (SPACE if k == LITERAL_SYMBOL else chr(k - LETTER)).encode("utf-8", "surrogatepass")] for k in kinds.tolist()]
+        spelling = [
+            [self.bytes_.get(b, self.unknown) for b in (SPACE if k == LITERAL_SYMBOL else chr(k - LETTER)).encode("utf-8", "surrogatepass")]
+            for k in kinds.tolist()
+        ]
         if len(odd):
             count[odd] = np.array([len(x) for x in spelling])[of]
         upto = np.concatenate([[0], np.cumsum(count)])
@@ -339,7 +342,9 @@ class Encoder:
         ids, before = [], [np.zeros(1, np.int64)]
         at = 0
         while at < len(starts):  # a text of more letters in parts, between runs
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + self.cfg.letters, "right")) - 1) if len(points) - starts[at] > self.cfg.letters else len(starts)
+            to = max(
+                at + 1, int(np.searchsorted(starts, starts[at] + self.cfg.letters, "right")) - 1
+            ) if len(points) - starts[at] > self.cfg.letters else len(starts)
             end = int(starts[to]) if to < len(starts) else len(points)
             sym = self.pieces.letter[points[starts[at] : end]]
             self.pieces.work(sym, starts[at:to] - starts[at], run_key[at:to], self.bar)
@@ -371,10 +376,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 rows, texts = c.column("id").to_pylist(), c.column("text").to_pylist()
                 ids = e.encode_all(texts, rows)
                 ok = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([c.column("id"), _ids_column(ids), pa.array(list(map(len, ids)), pa.int64()), pa.array(ok)], ["id", "ids", "n_pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays(
+                    [c.column("id"), _ids_column(ids), pa.array(list(map(len, ids)), pa.int64()), pa.array(ok)],
+                    ["id", "ids", "n_pieces", "lossless"]
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(releasing(run), "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
+    return in_small_batches(rows).mapInArrow(releasing(run), "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:

@@ -119,7 +119,10 @@ def _placed(keys: DataFrame, cfg: Sharding, scratch: Scratch, total: int, count:
     w = Window.partitionBy("range").orderBy("h", "i", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
     placed = dealt.withColumn("bytes_in", upto("bytes")).withColumn("rows_in", upto("n")).join(F.broadcast(places), "range")
-    return placed.select("h", "i", "size", "n", (F.col("bytes_before") + F.col("bytes_in")).cast("long").alias("start"), (F.col("rows_before") + F.col("rows_in")).cast("long").alias("place"))
+    return placed.select(
+        "h", "i", "size", "n", (F.col("bytes_before") + F.col("bytes_in")).cast("long").alias("start"),
+        (F.col("rows_before") + F.col("rows_in")).cast("long").alias("place")
+    )
 
 
 def assign(rows: DataFrame, hash_col: str, id_col: str, size_col: str, cfg: Sharding | None = None) -> DataFrame:
@@ -131,7 +134,10 @@ def assign(rows: DataFrame, hash_col: str, id_col: str, size_col: str, cfg: Shar
     scratch = Scratch(rows.sparkSession, "shards")
     kept = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     # own names are apart from the rows' columns, which are one
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(hash_col).alias("h"), F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("i"), F.col(size_col).alias("size"))
+    rows = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(hash_col).alias("h"),
+        F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("i"), F.col(size_col).alias("size")
+    )
     keys = rows.groupBy("h", "i", "size").agg(F.count("*").alias("n"))
     keys = scratch.write(keys.withColumn("bytes", F.col("size") * F.col("n")), "keys")
     total, count = keys.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -158,7 +164,9 @@ def assign(rows: DataFrame, hash_col: str, id_col: str, size_col: str, cfg: Shar
     by_part = by_part.withColumn("ahead", F.sum("of").over(Window.partitionBy(*key).orderBy("part")) - F.col("of")).drop("of")
     number = F.row_number().over(Window.partitionBy(*key, "part").orderBy("draw")) - 1
     again = again.withColumn("number", number).join(by_part, [*key, "part"]).withColumn("copy", (F.col("ahead") + F.col("number")).cast("long"))
-    told = once.select("row", "size", "start", "place", "copy").unionByName(again.select("row", "size", "start", "place", "copy")).withColumn("shard", shard_of("copy"))
+    told = once.select("row", "size", "start", "place", "copy").unionByName(
+        again.select("row", "size", "start", "place", "copy")
+    ).withColumn("shard", shard_of("copy"))
     told = told.join(F.broadcast(first), "shard")  # a row for each shard
     return told.select(*[F.col("row").getField(c).alias(c) for c in kept], "shard", (F.col("place") + F.col("copy") - F.col("first")).alias("slot"))
 
@@ -166,7 +174,10 @@ def assign(rows: DataFrame, hash_col: str, id_col: str, size_col: str, cfg: Shar
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents to 16 shards of near equal bytes."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("text_hash"))
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long").alias("text_hash")
+    )
     rows = rows.fillna(1, ["size"])
     made = assign(rows, "text_hash", "doc_id", "size")
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "text_hash")

@@ -38,10 +38,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrlake.llm.common import Scratch, read, releasing
+from zephyrlake.llm.common import Scratch, in_small_batches, read, releasing
 
 #: Verbs of reporting and words of address, lower case.
-REPORTING = frozenset("said says wrote writes called calls quoted quote quotes replied shouted dit disait écrit sagte schrieb nannte dijo escribió llamó".split())
+REPORTING = frozenset(
+    "said says wrote writes called calls quoted quote quotes replied shouted dit disait écrit sagte schrieb nannte dijo escribió llamó".split()
+)
 ADDRESS = frozenset("you your you're u du dich dein ihr tu toi vous votre tú usted ustedes vosotros".split())
 QUOTES = frozenset("\"“”„«»‹›")
 #: Lengths of stems.
@@ -221,7 +223,9 @@ def evidence(text: str | None, m: Matcher, cfg: ToxicConfig) -> float:
 
 def training_rows(labels: DataFrame, id_col: str, label_col: str, keep: Column, cfg: ToxicConfig) -> DataFrame:
     """(id, y) of at most about cfg.sample rows, chosen by the id's hash: the bound is the parameter."""
-    rows = labels.filter(keep & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("z"))
+    rows = labels.filter(keep & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
+        F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("z")
+    )
     rows = rows.filter("y = z").select("id", "y")
     share = min(1.0, cfg.sample / max(1, rows.count()))
     return rows.filter(F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -307,13 +311,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2e-5, rounds: int = 40
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cfg: ToxicConfig | None = None) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    cfg: ToxicConfig | None = None
+) -> Model:
     """A model from the labelled rows that keep (a condition on labels) admits."""
     cfg = cfg or ToxicConfig()
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = training_rows(labels.select(F.col(id_col), F.col(label_col)), id_col, label_col, keep, cfg)
     # at most about cfg.sample rows of twelve bytes: small enough to send to every executor
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
+    train = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
     train = scratch.write(train.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"), "train")
     pos, n = train.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     neg = n - pos
@@ -321,7 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     prior = math.log(base / (1 - base))
     if not pos or not neg:
         return Model(weights=(prior, 0.0), config=cfg)
-    counts = train.mapInPandas(releasing(_count_terms), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = train.mapInPandas(
+        releasing(_count_terms), "term string, pos long, neg long"
+    ).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.col("pos") / (pos + 1) / ((F.col("neg") + 1) / (neg + 1))
     # terms of the sample that pass: choose_terms decides, this only spares the driver the others
     some = counts.filter((F.col("pos") >= cfg.least_docs) & (ratio >= 0.99 * cfg.least_ratio)).collect()

@@ -89,7 +89,9 @@ def walk(edges: DataFrame, seeds: DataFrame, cfg: Propagation, scratch: Scratch,
     if edges.isEmpty():
         return rank.filter("rank > 0")
     for k in range(cfg.rounds):
-        sent = edges.join(rank, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), F.expr(f"rank * {cfg.damping} div (100 * degree)").alias("part"))
+        sent = edges.join(rank, F.col("src") == F.col("host")).select(
+            F.col("dst").alias("host"), F.expr(f"rank * {cfg.damping} div (100 * degree)").alias("part")
+        )
         sent = sent.groupBy("host").agg(F.sum("part").alias("part"))
         rank = sent.join(start, "host", "full").select("host", (F.coalesce("part", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("rank")).filter("rank > 0")
         if (k + 1) % cfg.cut == 0 or k + 1 == cfg.rounds:
@@ -106,7 +108,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = seen.select(id_col, "host", "path", name.alias("rule"), verdict.alias("ruled"))
 
-    edges = pages.select(host.alias("src"), F.explode(F.array_distinct(links_of(F.col(html_col)))).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
+    edges = pages.select(
+        host.alias("src"), F.explode(F.array_distinct(links_of(F.col(html_col)))).alias("dst")
+    ).filter("src <> '' and dst <> '' and src <> dst").distinct()
     edges = scratch.write(edges, "edges")
     share = lambda v: F.floor(F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)) * F.lit(ONE) / F.count("*")).cast("long")
     hosts = scratch.write(ruled.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
@@ -121,12 +125,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         reach = walk(turned, hosts.filter(strong).select("host", F.col("blocked").alias("mass")), cfg, scratch, "reach")
     own = F.when(strong, F.expr(f"blocked * {100 - cfg.damping} div 100")).otherwise(0)
 
-    known = hosts.select("host", own.alias("own")).join(reach.withColumnRenamed("rank", "reach"), "host", "left").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0, ["trust", "distrust", "reach"])
+    known = hosts.select("host", own.alias("own")).join(
+        reach.withColumnRenamed("rank", "reach"), "host", "left"
+    ).join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
+        distrust.withColumnRenamed("rank", "distrust"), "host", "left"
+    ).fillna(0, ["trust", "distrust", "reach"])
     much = (F.col("distrust") * 10_000 >= F.lit(mean) * cfg.least_percent * (100 - cfg.damping)) | (F.col("reach") > F.col("own"))
     bad = (F.col("distrust") > cfg.margin * F.col("trust")) & much & (F.col("distrust") > 0)
     known = known.select("host", "trust", "distrust", bad.alias("bad"))
     out = ruled.join(known, "host", "left")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    return out.select(
+        id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust",
+        "distrust"
+    )
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
