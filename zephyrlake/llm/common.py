@@ -98,8 +98,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-#: Residues of a hash, for tables that are broadcast: their size is bounded whatever they are made from.
-SLOTS = 1 << 20
+#: Residues of a hash, for tables that are broadcast as bits: their size is bounded whatever they are made from.
+SLOTS, BITS = 1 << 22, 64
 
 
 def slot_of(*columns) -> Column:
@@ -107,10 +107,12 @@ def slot_of(*columns) -> Column:
 
 
 def split_by_slots(rows: DataFrame, slot: Column, slots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose slot is among slots, the others): at most SLOTS integers are broadcast, and only the first part needs a shuffle."""
-    name = free_name(rows, "some_slot")
-    some = F.broadcast(slots.toDF(name).distinct())
-    return rows.join(some, slot == F.col(name), "left_semi"), rows.join(some, slot == F.col(name), "left_anti")
+    """(rows whose slot is among slots, the others): at most SLOTS / BITS numbers of 64 bits are broadcast, and only the first part needs a shuffle."""
+    word, bits = free_name(rows, "slot_word"), free_name(rows, "slot_bits")
+    each = slots.toDF("slot").select(F.expr(f"slot div {BITS}").alias(word), F.expr(f"shiftleft(1L, slot % {BITS})").alias("bit"))
+    some = F.broadcast(each.groupBy(word).agg(F.bit_or("bit").alias(bits)))
+    there = (F.floor(slot / BITS) == F.col(word)) & (F.getbit(F.col(bits), slot % BITS) == 1)
+    return rows.join(some, there, "left_semi"), rows.join(some, there, "left_anti")
 
 
 def without(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
