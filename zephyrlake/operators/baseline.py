@@ -26,7 +26,7 @@ BOOSTED = {
     "seed": 42, "maxBins": 128
 }
 #: Memory for a level's sums of nodes, on which results don't depend; and rows of a partition: with fewer, sending sums costs more than making them.
-FITTING, PARTITION_ROWS = {"maxMemoryInMB": 512}, 4_000
+FITTING, PARTITION_ROWS = {"maxMemoryInMB": 512}, 1_500
 CALENDAR = ("month", "day", "hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos")
 
 
