@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -25,8 +26,10 @@ BOOSTED = {
     "maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 8, "featureSubsetStrategy": "onethird",
     "seed": 42, "maxBins": 128
 }
-#: Memory for a level's sums of nodes, on which results don't depend; and rows of a partition: with fewer, sending sums costs more than making them.
-FITTING, PARTITION_ROWS = {"maxMemoryInMB": 512}, 1_500
+#: Memory in MB for the sums of the nodes that a task splits at once; rows of a partition of boosted trees: with fewer, sending sums costs more than making them.
+NODES_MB, PARTITION_ROWS = 64, 1_500
+#: Forests are grown in parts of some trees each, a task to a part: at most so many parts, a part for so many rows times trees, and rows of a task.
+PARTS, PART_WORK, TASK_ROWS = 16, 250_000, 500_000
 CALENDAR = ("month", "day", "hour", "dayofweek", "is_weekend", "hour_sin", "hour_cos", "month_sin", "month_cos")
 
 
@@ -79,30 +82,55 @@ def fit_forests(
 ) -> Bundle:
     """One forest (or a row of boosted trees) for each target on its rows with an answer. Gaps take medians of all training rows.
 
-    Rows are dealt and sorted by the key first: bagging depends on their layout, so equal
-    input and partition count give equal forests. Targets are fitted side by side.
+    A forest is grown in parts, side by side: each has some of its trees, a seed of its own and all rows in one task, up to TASK_ROWS. So the sums
+    of a node's bins, which by far outweigh deep trees' rows, meet with no others, and come in one order. Rows are dealt by the key's hash
+    and sorted: bagging depends on their layout, so equal input gives equal forests.
     """
     imputer = fit_median_imputer(rows, features)
     filled = imputer.transform(rows.select(key, *targets, *features), keep=(key, *targets))
-    matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x")
-    parts = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-matrix.count() // PARTITION_ROWS))
-    matrix = matrix.repartitionByRange(max(1, parts), key).sortWithinPartitions(key).persist()
-    made = (lambda t: GBTRegressor(labelCol=t, **BOOSTED | FITTING | (params or {}))) if boosted else (
-        lambda t: RandomForestRegressor(labelCol=t, **FOREST | FITTING | (params or {}))
-    )
+    tie = F.xxhash64(*targets, *[F.col(f"`{c}`") for c in features]).alias("_tie")
+    matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x", tie).persist()
+    params = (BOOSTED if boosted else FOREST) | {"maxMemoryInMB": NODES_MB} | (params or {})
 
-    def fit(t: str):
-        return made(t).setFeaturesCol("x").setPredictionCol("p").fit(matrix.filter(F.col(t).isNotNull()))
+    def fit(t: str, n: int, more: dict) -> RandomForestRegressionModel | GBTRegressionModel:
+        most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(most, -(-n // PARTITION_ROWS)) if boosted else -(-n // TASK_ROWS)
+        dealt = matrix.filter(F.col(t).isNotNull()).repartition(tasks, key).sortWithinPartitions(key, "_tie").select(t, "x")
+        made = GBTRegressor if boosted else RandomForestRegressor
+        return made(labelCol=t, **params | more).setFeaturesCol("x").setPredictionCol("p").fit(dealt)
 
     try:
         answers = matrix.agg(*[F.count(t).alias(t) for t in targets]).first().asDict()
         for t in targets:
             require(answers[t] > 0, f"{t}: no rows with an answer")
-        with ThreadPoolExecutor(len(targets)) as pool:
-            models = dict(zip(targets, pool.map(fit, targets), strict=True))
+        jobs = [(t, answers[t], more) for t in targets for more in ([{}] if boosted else forest_parts(answers[t], params))]
+        with ThreadPoolExecutor(max(len(targets), rows.sparkSession.sparkContext.defaultParallelism)) as pool:
+            fitted = list(pool.map(lambda job: fit(*job), jobs))
     finally:
         matrix.unpersist()
-    return Bundle(imputer, models, tuple(features), answers)
+    by = {t: [m for m, job in zip(fitted, jobs, strict=True) if job[0] == t] for t in targets}
+    return Bundle(imputer, {t: one_forest(ms) for t, ms in by.items()}, tuple(features), answers)
+
+
+def forest_parts(n: int, params: dict) -> list[dict]:
+    """Trees and seed of each part of a forest over n rows; seeds are apart by more than the tasks of a part, whose places are added to them."""
+    trees = params["numTrees"]
+    parts = max(1, min(PARTS, trees, -(-n * trees // PART_WORK)))
+    return [{"numTrees": trees // parts + (k < trees % parts), "seed": params["seed"] + 1_000_003 * k} for k in range(parts)]
+
+
+def one_forest(parts: list[RandomForestRegressionModel | GBTRegressionModel]) -> RandomForestRegressionModel | GBTRegressionModel:
+    """A forest of the trees of all parts, in their order."""
+    if len(parts) == 1:
+        return parts[0]
+    gateway = SparkContext._active_spark_context._gateway
+    ml, first = gateway.jvm.org.apache.spark.ml, parts[0]._java_obj
+    trees = [t for p in parts for t in p._java_obj.trees()]
+    held = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
+    for k, t in enumerate(trees):
+        held[k] = t
+    made = first.copyValues(ml.regression.RandomForestRegressionModel(first.uid(), held, first.numFeatures()), ml.param.ParamMap.empty())
+    return parts[0]._copyValues(RandomForestRegressionModel(made.set("numTrees", len(trees))), {})._set(numTrees=len(trees))
 
 
 def blend(predictions: list[DataFrame], keys: list[str], weights: list[float] | None = None) -> DataFrame:
