@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,11 +60,18 @@ def wind_vectors(df: DataFrame, source: str, pairs: tuple[WindPair, ...] | None
     made = {}
     for p in pairs:
         u, v = F.col(p.u).cast("double"), F.col(p.v).cast("double")
-        speed = F.hypot(u, v)
+        speed = length(u, v)
         made |= dict(zip(p.outputs, (speed, F.when(speed > calm, -u / speed), F.when(speed > calm, -v / speed)), strict=True))
     return df.select("*", *[c.alias(n) for n, c in made.items()])
 
 
+def length(u: Column, v: Column) -> Column:
+    """The square root of the sum of squares, both rounded correctly: hypot may be off by the last bit, which moves a speed on a bin's edge into another bin.
+    Only where squares leave the normal range hypot takes over."""
+    squares = u * u + v * v
+    return F.when(squares.between(1e-290, 1e300), F.sqrt(squares)).otherwise(F.hypot(u, v))
+
+
 def resultant_length(df: DataFrame, by: list[str], sin: str, cos: str, name: str = "resultant") -> DataFrame:
     """Length of the mean direction vector of each group: 1 where all agree, 0 where they cancel out."""
     return df.groupBy(*by).agg(F.hypot(F.avg(sin), F.avg(cos)).alias(name))
