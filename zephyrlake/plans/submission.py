@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrlake.operators.contracts import require
@@ -81,13 +81,20 @@ def require_valid(submission: DataFrame, sample: DataFrame, rows: int = SUBMISSI
     return report
 
 
+def id_order(c: str = "forecast_id") -> list[Column]:
+    """Ids by the text before their final number, then by that number: forecast_99999 comes before forecast_100000."""
+    text = F.rtrim(c, F.lit("0123456789"))
+    number = F.ltrim(F.substring(c, F.length(text) + 1, F.length(c)), F.lit("0"))
+    return [text, F.length(number), number, F.col(c)]
+
+
 def canonical_bytes(df: DataFrame, encoding: str = "utf-8-sig") -> bytes:
     """The CSV of a submission of template size: header, rows by id, line feeds, seconds in times, shortest decimals."""
     require(encoding in ENCODINGS, f"encoding must be one of {ENCODINGS}, got {encoding!r}")
     place = "row_place"
     columns = [c for c in df.columns if c != place]
     times = {f.name for f in df.schema if f.dataType.typeName().startswith("timestamp")}
-    rows = df.orderBy(place if place in df.columns else "forecast_id").select(
+    rows = df.orderBy(*([place] if place in df.columns else id_order())).select(
         *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in times else F.col(c) for c in columns]
     ).collect()
     cell = lambda v: "" if v is None else repr(v) if isinstance(v, float) else str(v)
