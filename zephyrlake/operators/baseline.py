@@ -86,8 +86,13 @@ def fit_forests(
     of a node's bins, which by far outweigh deep trees' rows, meet with no others, and come in one order. Rows are dealt by the key's hash
     and sorted: bagging depends on their layout, so equal input gives equal forests.
     """
-    imputer = fit_median_imputer(rows, features)
-    filled = imputer.transform(rows.select(key, *targets, *features), keep=(key, *targets))
+    held = rows.select(key, *targets, *features).persist()  # medians take some passes
+    try:
+        imputer = fit_median_imputer(held, features)
+    except BaseException:
+        held.unpersist()
+        raise
+    filled = imputer.transform(held, keep=(key, *targets))
     tie = F.xxhash64(*targets, *[F.col(f"`{c}`") for c in features]).alias("_tie")
     matrix = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled).select(key, *targets, "x", tie).persist()
     params = (BOOSTED if boosted else FOREST) | {"maxMemoryInMB": NODES_MB} | (params or {})
@@ -101,6 +106,7 @@ def fit_forests(
 
     try:
         answers = matrix.agg(*[F.count(t).alias(t) for t in targets]).first().asDict()
+        held.unpersist()
         for t in targets:
             require(answers[t] > 0, f"{t}: no rows with an answer")
         jobs = [(t, answers[t], more) for t in targets for more in ([{}] if boosted else forest_parts(answers[t], params))]
@@ -108,6 +114,7 @@ def fit_forests(
             fitted = list(pool.map(lambda job: fit(*job), jobs))
     finally:
         matrix.unpersist()
+        held.unpersist()
     by = {t: [m for m, job in zip(fitted, jobs, strict=True) if job[0] == t] for t in targets}
     return Bundle(imputer, {t: one_forest(ms) for t, ms in by.items()}, tuple(features), answers)
 
