@@ -100,7 +100,9 @@ def fit_forests(
     def fit(t: str, n: int, more: dict) -> RandomForestRegressionModel | GBTRegressionModel:
         most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         tasks = min(most, -(-n // PARTITION_ROWS)) if boosted else -(-n // TASK_ROWS)
-        dealt = matrix.filter(F.col(t).isNotNull()).repartition(tasks, key).sortWithinPartitions(key, "_tie").select(t, "x")
+        answered = matrix.filter(F.col(t).isNotNull())
+        dealt = answered.repartition(1) if tasks == 1 else answered.repartition(tasks, key)  # sessions may raise the tasks of a key, not a single one
+        dealt = dealt.sortWithinPartitions(key, "_tie").select(t, "x")
         made = GBTRegressor if boosted else RandomForestRegressor
         return made(labelCol=t, **params | more).setFeaturesCol("x").setPredictionCol("p").fit(dealt)
 
